@@ -36,6 +36,13 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in visible else chr(next(rest)) for b in range(256)]
 
 
+def cut_at_spaces(text: str) -> list[str]:
+    """Pieces of a text; all but the first stand without the space before them."""
+    if UNEVEN.search(text):
+        return [p if k == 0 else p[1:] for k, p in enumerate(CUT.split(text))]
+    return text.split(" ")
+
+
 class Bpe:
     """One vocabulary with its memo of encoded pieces."""
 
@@ -166,12 +173,6 @@ class Bpe:
 
     # Texts
 
-    def cut(self, text: str) -> list[str]:
-        """Pieces of a text; all but the first stand without the space before them."""
-        if UNEVEN.search(text):
-            return [p if k == 0 else p[1:] for k, p in enumerate(CUT.split(text))]
-        return text.split(" ")
-
     def learn(self, pieces: set[str]) -> None:
         """Put the ids of pieces, each with a space before it, in the memo."""
         find, parts, new = self.pattern.findall, {}, set()
@@ -199,7 +200,7 @@ class Bpe:
             for n, (p, i) in enumerate(plan[-1]):
                 if i >= 0:
                     plan[-1][n] = (p, len(plain))
-                    plain.append(self.cut(p))
+                    plain.append(cut_at_spaces(p))
         if len(self.pieces) > MEMO:
             self.pieces.clear()
         unknown: set[str] = set()

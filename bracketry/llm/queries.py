@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from .op1 import op1_token_files
 from .op10 import op10_bpe
 
-QUERIES = {"op10_bpe": op10_bpe}
+QUERIES = {"op1_token_files": op1_token_files, "op10_bpe": op10_bpe}
 ORACLE_SQL: dict[str, str] = {}
