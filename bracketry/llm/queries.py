@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from .op1 import op1_token_files
 from .op5 import op5_simhash
+from .op7 import op7_toxicity
 from .op10 import op10_bpe
 
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op5_simhash": op5_simhash,
+    "op7_toxicity": op7_toxicity,
     "op10_bpe": op10_bpe,
 }
 ORACLE_SQL: dict[str, str] = {}
