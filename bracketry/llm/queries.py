@@ -5,12 +5,15 @@ from __future__ import annotations
 from .op1 import op1_token_files
 from .op5 import op5_simhash
 from .op7 import op7_toxicity
+from .op9 import SQL as OP9_SQL
+from .op9 import op9_quality
 from .op10 import op10_bpe
 
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op5_simhash": op5_simhash,
     "op7_toxicity": op7_toxicity,
+    "op9_quality": op9_quality,
     "op10_bpe": op10_bpe,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op9_quality": OP9_SQL}
