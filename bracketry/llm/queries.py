@@ -5,6 +5,8 @@ from __future__ import annotations
 from .op1 import op1_token_files
 from .op5 import op5_simhash
 from .op7 import op7_toxicity
+from .op8 import SQL as OP8_SQL
+from .op8 import op8_line_dedup
 from .op9 import SQL as OP9_SQL
 from .op9 import op9_quality
 from .op10 import op10_bpe
@@ -13,7 +15,8 @@ QUERIES = {
     "op1_token_files": op1_token_files,
     "op5_simhash": op5_simhash,
     "op7_toxicity": op7_toxicity,
+    "op8_line_dedup": op8_line_dedup,
     "op9_quality": op9_quality,
     "op10_bpe": op10_bpe,
 }
-ORACLE_SQL = {"op9_quality": OP9_SQL}
+ORACLE_SQL = {"op8_line_dedup": OP8_SQL, "op9_quality": OP9_SQL}
