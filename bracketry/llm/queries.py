@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .op1 import op1_token_files
+from .op2 import SQL as OP2_SQL
+from .op2 import op2_decontamination
 from .op5 import op5_simhash
 from .op7 import op7_toxicity
 from .op8 import SQL as OP8_SQL
@@ -13,10 +15,11 @@ from .op10 import op10_bpe
 
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op2_decontamination": op2_decontamination,
     "op5_simhash": op5_simhash,
     "op7_toxicity": op7_toxicity,
     "op8_line_dedup": op8_line_dedup,
     "op9_quality": op9_quality,
     "op10_bpe": op10_bpe,
 }
-ORACLE_SQL = {"op8_line_dedup": OP8_SQL, "op9_quality": OP9_SQL}
+ORACLE_SQL = {"op2_decontamination": OP2_SQL, "op8_line_dedup": OP8_SQL, "op9_quality": OP9_SQL}
