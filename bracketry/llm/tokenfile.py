@@ -48,18 +48,21 @@ class LibraryEncoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.size = self.tokenizer.get_vocab_size()
         self.pieces: dict[str, bytes] = {}
+        marks = list(".,;:!?")
+        self.marks = dict(zip(marks, self._library(marks), strict=True))
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, unknown: list[str]) -> None:
-        # a word and one closing mark are two pre-tokens
-        split = [p[-1] in ".,;:!?" and p[:-1].isalpha() for p in unknown]
-        heads = {" " + (p[:-1] if s else p) for p, s in zip(unknown, split, strict=True)}
-        heads.update(p[-1] for p, s in zip(unknown, split, strict=True) if s)
-        of = dict(zip(heads, self._library(list(heads)), strict=True))
-        for p, s in zip(unknown, split, strict=True):
-            self.pieces[p] = of[" " + p[:-1]] + of[p[-1]] if s else of[" " + p]
+        # a word and one closing mark are two pre-tokens; the word may be known, and is from now on
+        known, marks = self.pieces, self.marks
+        marked = [p for p in unknown if p[-1:] in marks and p[:-1].isalpha()]
+        taken = set(marked)
+        new = list({*(p for p in unknown if p not in taken), *(h for p in marked if (h := p[:-1]) not in known)})
+        known.update(zip(new, self._library([" " + p for p in new]), strict=True))
+        for p in marked:
+            known[p] = known[p[:-1]] + marks[p[-1]]
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers. A text with a special token's string goes to the library whole."""
@@ -70,7 +73,7 @@ class LibraryEncoder:
         unknown: set[str] = set()
         for pieces in cut:
             unknown.update(pieces[1:])
-        self._learn([p for p in unknown if p not in self.pieces] or [])
+        self._learn([p for p in unknown if p not in self.pieces])
         first = self._library([p[0] for p in cut])
         get = self.pieces.__getitem__
         return [a + b"".join(map(get, p[1:])) for a, p in zip(first, cut, strict=True)]
