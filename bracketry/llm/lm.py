@@ -30,7 +30,9 @@ END = "\n"
 OWN_UNITS, CLASSES, WIDTH = 448, 64, 16
 UNITS = OWN_UNITS + CLASSES
 FREQUENT = 200_000
-ROUNDS, BATCH, NOISE, RATE, SEED = 3, 2048, 64, 0.1, 7
+ROUNDS, BATCH, NOISE, RATE, SEED = 3, 1024, 48, 0.3, 7
+#: Tokens below which a replica goes over its slice again, up to EPOCHS times.
+FEW, EPOCHS = 300 * BATCH, 8
 #: Distinct tokens that a task counts before it hands on what it has.
 HELD = 400_000
 
@@ -167,7 +169,18 @@ class Replica:
 
     @staticmethod
     def _scatter(at: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        return np.stack([np.bincount(at, rows[:, j], UNITS) for j in range(rows.shape[1])], axis=1).astype(np.float32)
+        order = np.argsort(at)
+        own = at[order]
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        out = np.zeros((UNITS, rows.shape[1]), np.float32)
+        out[own[first]] = np.add.reduceat(rows[order], first, axis=0)
+        return out
+
+    def learn(self, unit: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
+        mixed = self.r.permutation(len(unit))
+        for i in range(0, len(mixed), BATCH):
+            at = mixed[i : i + BATCH]
+            self.batch(unit[at], one[at], two[at])
 
     def batch(self, unit: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
         p, n = self.p, len(unit)
@@ -175,14 +188,18 @@ class Replica:
         a, b = p.context[one], p.context[two]
         guess = p.position[0] * a + p.position[1] * b
         own = p.target[unit]
-        good = 1 / (1 + np.exp(np.clip((guess * own).sum(1) + p.bias[unit] - self.log_noise[unit], -30, 30)))
-        bad = 1 / (1 + np.exp(-np.clip(guess @ p.target[noise].T + p.bias[noise] - self.log_noise[noise], -30, 30)))
+        good = 1 / (1 + np.exp(np.einsum("ij,ij->i", guess, own) + p.bias[unit] - self.log_noise[unit]))
+        bad = guess @ p.target[noise].T
+        bad += p.bias[noise] - self.log_noise[noise]
+        np.minimum(bad, 30, out=bad)
+        np.exp(bad, out=bad)
+        bad /= 1 + bad
         d_guess = good[:, None] * own - bad @ p.target[noise]
         d_target = self._scatter(unit, good[:, None] * guess)
         np.subtract.at(d_target, noise, bad.T @ guess)
         d_bias = np.bincount(unit, good, UNITS).astype(np.float32)
         np.subtract.at(d_bias, noise, bad.sum(0))
-        d_context = self._scatter(one, d_guess * p.position[0]) + self._scatter(two, d_guess * p.position[1])
+        d_context = self._scatter(np.concatenate([one, two]), np.concatenate([d_guess * p.position[0], d_guess * p.position[1]]))
         d_position = np.stack([(d_guess * a).sum(0), (d_guess * b).sum(0)])
         for k, (x, g) in enumerate(((p.context, d_context), (p.target, d_target), (p.position, d_position), (p.bias, d_bias))):
             self._step(k, x, g / n)
@@ -199,18 +216,21 @@ def train(docs: DataFrame, v: Vocabulary, id_col: str, text_col: str) -> Paramet
         def replica(batches, r=r, held=held):
             from pyspark import TaskContext
 
-            own, n = None, 0
+            own, n, kept = None, 0, []
             for b in batches:
                 texts = b.column(0).to_pylist()
                 for k in range(0, len(texts), 256):
                     own = own or Replica(Parameters.of(held.value), words.value, SEED + 1000 * r + TaskContext.get().partitionId())
                     _, _, _, unit, one, two, _ = units_of(words.value, texts[k : k + 256])
-                    mixed = own.r.permutation(len(unit))
-                    for i in range(0, len(mixed), BATCH):
-                        at = mixed[i : i + BATCH]
-                        own.batch(unit[at], one[at], two[at])
+                    own.learn(unit, one, two)
                     n += len(unit)
+                    if n < FEW:
+                        kept.append((unit, one, two))
             if own:
+                if n < FEW:
+                    few = [np.concatenate(x) for x in zip(*kept, strict=True)]
+                    for _ in range(min(EPOCHS, FEW // n) - 1):
+                        own.learn(*few)
                 x = own.p.flat()
                 yield pa.RecordBatch.from_pydict({"at": pa.array(np.arange(len(x) + 1), pa.int32()), "x": pa.array(np.append(x * n, n), pa.float64())})
 
