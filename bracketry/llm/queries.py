@@ -5,6 +5,7 @@ from __future__ import annotations
 from .op1 import op1_token_files
 from .op2 import SQL as OP2_SQL
 from .op2 import op2_decontamination
+from .op3 import op3_language_id
 from .op4 import op4_lm_score
 from .op5 import op5_simhash
 from .op7 import op7_toxicity
@@ -17,6 +18,7 @@ from .op10 import op10_bpe
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_decontamination": op2_decontamination,
+    "op3_language_id": op3_language_id,
     "op4_lm_score": op4_lm_score,
     "op5_simhash": op5_simhash,
     "op7_toxicity": op7_toxicity,
