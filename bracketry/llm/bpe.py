@@ -217,6 +217,18 @@ class Bpe:
         done = [b"".join(map(word, self.pattern.findall(p[0]))) + b"".join(map(piece, p[1:])) for p in plain]
         return [b"".join(done[i] if i >= 0 else self.special[p].to_bytes(4, "little") for p, i in own) for own in plan]
 
+    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces, each with its own space before it if it has one."""
+        if len(self.pieces) > MEMO:
+            self.pieces.clear()
+        unknown = {p[1:] for p in pieces if p[:1] == " "} - self.pieces.keys()
+        if unknown:
+            self.learn(unknown)
+        parts = {p: self.pattern.findall(p) for p in pieces if p[:1] != " "}
+        new = list({w for ws in parts.values() for w in ws} - self.words.keys())
+        self.words.update(zip(new, self.encode_words([w.encode() for w in new]), strict=True))
+        return [self.pieces[p[1:]] if p[:1] == " " else b"".join(map(self.words.__getitem__, parts[p])) for p in pieces]
+
     def decode(self, ids: bytes) -> str:
         """Text of ids; bytes that are no UTF-8 become U+FFFD, ids that the vocabulary lacks nothing."""
         got = np.frombuffer(ids, "<u4")

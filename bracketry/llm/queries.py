@@ -8,6 +8,7 @@ from .op2 import op2_decontamination
 from .op3 import op3_language_id
 from .op4 import op4_lm_score
 from .op5 import op5_simhash
+from .op6 import op6_token_counts
 from .op7 import op7_toxicity
 from .op8 import SQL as OP8_SQL
 from .op8 import op8_line_dedup
@@ -21,6 +22,7 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_lm_score": op4_lm_score,
     "op5_simhash": op5_simhash,
+    "op6_token_counts": op6_token_counts,
     "op7_toxicity": op7_toxicity,
     "op8_line_dedup": op8_line_dedup,
     "op9_quality": op9_quality,
