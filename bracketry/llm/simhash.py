@@ -15,7 +15,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -173,3 +173,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = known.join(least, "root").select(F.col("node").alias("fp"), "component_id")
     of = firsts.join(found, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
     return prints.join(of, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each group of near-duplicates: that of the smallest id, and the smallest text among equal ids.
+
+    A null id counts as smaller than any other. Columns stay as they are.
+    """
+    keyed = docs.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))))
+    first = near_duplicates(keyed, "_id", text_col).select(F.col("component_id").alias("_first")).distinct()
+    own = Window.partitionBy("_id").orderBy(F.col(text_col).asc_nulls_first())
+    kept = keyed.join(first, F.col("_id") == F.col("_first"), "left_semi").withColumn("_place", F.row_number().over(own))
+    return kept.where("_place = 1").drop("_id", "_place")
