@@ -15,17 +15,19 @@ import functools
 import os
 import struct
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import blocks, cut_at_spaces
+from .bpe import cut_at_spaces
 from .common import materialize
 
 #: zstandard's skippable frames and its seekable format.
@@ -33,6 +35,18 @@ INDEX_MAGIC, TABLE_MAGIC, FOOTER_MAGIC, CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x8F
 #: Entries that the memo of encoded pieces may hold.
 MEMO = 1_500_000
 LEVEL = 3
+#: A space that white space or the end follows: such a text can't be cut at every space.
+UNEVEN = r" (?:[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]|$)"
+
+
+def slices(texts: pa.Array, limit: int = 16_000_000) -> Iterator[pa.Array]:
+    """Consecutive texts of about limit bytes."""
+    sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(texts):
+        stop = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + limit, side="right")))
+        yield texts.slice(start, stop - start)
+        start = stop
 
 
 class LibraryEncoder:
@@ -52,7 +66,7 @@ class LibraryEncoder:
         self.marks = dict(zip(marks, self._library(marks), strict=True))
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, unknown: list[str]) -> None:
         # a word and one closing mark are two pre-tokens; the word may be known, and is from now on
@@ -64,19 +78,43 @@ class LibraryEncoder:
         for p in marked:
             known[p] = known[p[:-1]] + marks[p[-1]]
 
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """Ids as little-endian unsigned 32-bit integers. A text with a special token's string goes to the library whole."""
-        whole = {i for i, t in enumerate(texts) if any(s in t for s in self.special)}
-        cut = [[t] if i in whole else cut_at_spaces(t) for i, t in enumerate(texts)]
+    def cut(self, texts: pa.Array) -> pa.ListArray:
+        """Pieces of texts; a text with a special token's string is one piece."""
+        pieces = pc.split_pattern(texts, " ")
+        odd = pc.match_substring_regex(texts, UNEVEN)
+        for s in self.special:
+            odd = pc.or_(odd, pc.match_substring(texts, s))
+        if not pc.any(odd).as_py():
+            return pieces
+        own = [[t] if any(s in t for s in self.special) else cut_at_spaces(t) for t in texts.filter(odd).to_pylist()]
+        at = np.arange(len(texts))
+        at[odd.to_numpy(zero_copy_only=False)] = len(texts) + np.arange(len(own))
+        return pa.concat_arrays([pieces, pa.array(own, pieces.type)]).take(pa.array(at))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of texts without nulls in a row, and where each text's begin and end."""
+        lists = self.cut(texts)
+        bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        coded = lists.flatten().dictionary_encode()
+        at, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
         if len(self.pieces) > MEMO:
             self.pieces.clear()
-        unknown: set[str] = set()
-        for pieces in cut:
-            unknown.update(pieces[1:])
-        self._learn([p for p in unknown if p not in self.pieces])
-        first = self._library([p[0] for p in cut])
-        get = self.pieces.__getitem__
-        return [a + b"".join(map(get, p[1:])) for a, p in zip(first, cut, strict=True)]
+        self._learn([w for w in words if w not in self.pieces])
+        # a text's first piece has no space before it
+        first = bounds[:-1]
+        own = [*map(self.pieces.__getitem__, words), *self._library([words[i] for i in at[first].tolist()])]
+        at[first] = len(words) + np.arange(len(first))
+        ids = np.frombuffer(b"".join(own), "<u4")
+        sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        starts = np.cumsum(sizes) - sizes
+        take, ends = sizes[at], np.cumsum(sizes[at])
+        ids = ids[np.repeat(starts[at] - (ends - take), take) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        return ids, np.concatenate([[0], ends])[bounds]
+
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        ids, bounds = self.encode(pa.array(texts, pa.string()))
+        return [ids[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 @functools.lru_cache(2)
@@ -93,12 +131,13 @@ def frames(text: Column, key: Column, path: str, end_id: int, bounds: list[int])
 
     @F.arrow_udf("struct<frame: binary, part: int>")
     def frame(texts: pa.Array, keys: pa.Array) -> pa.Array:
-        encoder, width = library(path), width_of(path)
-        press, end = zstandard.ZstdCompressor(level=LEVEL), end_id.to_bytes(4, "little")
+        encoder, kind = library(path), f"<u{width_of(path)}"
+        press, end = zstandard.ZstdCompressor(level=LEVEL), np.array([end_id], kind).tobytes()
         out: list[bytes] = []
-        for part in blocks([t or "" for t in texts.to_pylist()]):
-            ids = (np.frombuffer(x + end, "<u4").astype(f"<u{width}") for x in encoder.encode_batch(part))
-            out += [press.compress(x.tobytes()) for x in ids]
+        for part in slices(texts.fill_null("")):
+            ids, ends = encoder.encode(part)
+            ids = ids.astype(kind)
+            out += [press.compress(ids[a:b].tobytes() + end) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
         at = np.searchsorted(np.array(bounds, np.int64), keys.fill_null(-(2**63)).to_numpy(zero_copy_only=False), side="left")
         return pa.StructArray.from_arrays([pa.array(out, pa.binary()), pa.array(at.astype(np.int32))], ["frame", "part"])
 
