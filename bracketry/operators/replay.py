@@ -1,0 +1,33 @@
+"""Ratings replayed over time.
+
+Both sides of a contest change at once, so that a history cannot be cut by entity. It is cut by period: all contests of a
+period are judged by the ratings before it, which is one join and one grouped sum, whatever the size. Ratings after a
+period are a stored table.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .graph import _stored
+
+START, K = 1500.0, 32.0
+
+
+def elo(sides: DataFrame, period: str) -> DataFrame:
+    """(entity, period, before, after, n) from rows (entity, opponent, result, period); draws change nothing."""
+    ends = sides.select(period).distinct().orderBy(period).collect()  # a calendar, not data
+    decided = _stored(sides.where(F.col("result") != "D").select("entity", "opponent", "result", period))
+    now = decided.select("entity").distinct().withColumn("rating", F.lit(START))
+    out = None
+    for (p,) in ends:
+        own = decided.where(F.col(period) == F.lit(p))
+        judged = own.join(now, "entity").join(now.select(F.col("entity").alias("opponent"), F.col("rating").alias("other")), "opponent")
+        gain = K * (F.when(F.col("result") == "W", 1.0).otherwise(0.0) - 1 / (1 + F.pow(F.lit(10.0), (F.col("other") - F.col("rating")) / 400)))
+        moved = judged.groupBy("entity").agg(F.first("rating").alias("before"), F.sum(gain).alias("gain"), F.count("*").alias("n"))
+        rows = moved.select("entity", F.lit(p).alias(period), "before", (F.col("before") + F.col("gain")).alias("after"), "n")
+        rows = _stored(rows)
+        now = _stored(now.join(rows.select("entity", "after"), "entity", "left").select("entity", F.coalesce("after", "rating").alias("rating")))
+        out = rows if out is None else out.unionAll(rows)
+    return out
