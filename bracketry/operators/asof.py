@@ -46,9 +46,7 @@ def contained(left: DataFrame, spans: DataFrame, time: str, start: str, end: str
     upto = F.least(F.coalesce(bucket(F.col(end)), F.lit(last)), F.lit(last))
     listed = spans.where(bucket(F.col(start)) <= last).withColumn("_b", F.explode(F.sequence(bucket(F.col(start)), F.greatest(upto, bucket(F.col(start))))))
     placed = left.withColumn("_b", bucket(F.col(time)))
-    own = [placed[k] == listed[k] for k in keys] + [placed["_b"] == listed["_b"], placed[time] >= listed[start], listed[end].isNull() | (placed[time] <= listed[end])]
-    drop = [listed[k] for k in keys] + [listed["_b"], placed["_b"]]
-    out = placed.join(listed, own, how)
-    for c in drop:
-        out = out.drop(c)
-    return out
+    within = F.col("l." + time).between(F.col("s." + start), F.coalesce(F.col("s." + end), F.col("l." + time)))
+    same = [F.col(f"l.{k}") == F.col(f"s.{k}") for k in [*keys, "_b"]]
+    values = [F.col(f"s.{c}") for c in spans.columns if c not in keys]
+    return placed.alias("l").join(listed.alias("s"), [*same, within], how).select(*[F.col(f"l.{c}") for c in left.columns], *values)

@@ -1,0 +1,263 @@
+"""Joins in time and by interval, latest rows, sorting, paging and searches."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..operators import asof
+from ..operators import history as H
+from ..operators.twosided import pair_key
+from .base import AS_OF, CONTEST, contests, perspectives, table
+from .registry import query
+
+#: Monthly score of every customer with an order in a month, dated at the month's end.
+SNAP = CONTEST + """, snap AS (
+  SELECT o_custkey AS entity, CAST(last_day(CAST(o_orderdate AS DATE)) AS DATE) AS dated, round(sum(o_totalprice), 2) AS spend FROM orders GROUP BY ALL
+), board AS (
+  SELECT dated, entity, rank FROM (SELECT dated, entity, row_number() OVER (PARTITION BY dated ORDER BY spend DESC, entity) AS rank FROM snap) WHERE rank <= 15
+)"""
+
+
+def snapshots(spark, sf):
+    o = table(spark, sf, "orders")
+    return o.groupBy(F.col("o_custkey").alias("entity"), F.last_day(F.to_date("o_orderdate")).alias("dated")).agg(F.round(F.sum("o_totalprice"), 2).alias("spend"))
+
+
+def board(spark, sf):
+    w = Window.partitionBy("dated").orderBy(F.desc("spend"), "entity")
+    return snapshots(spark, sf).withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 15").select("dated", "entity", "rank")
+
+
+def _asof(spark, sf, strict, days=None):
+    left = perspectives(spark, sf).select("entity", "contest_id", "day")
+    return asof.as_of(left, snapshots(spark, sf), "entity", "day", "dated", ["spend"], strict, days).select("entity", "contest_id", "spend", "as_of")
+
+
+@query(SNAP + " SELECT s.entity, contest_id, spend, dated AS as_of FROM side s ASOF LEFT JOIN snap ON s.entity = snap.entity AND s.day > snap.dated")
+def q_asof_strict(spark, sf):
+    return _asof(spark, sf, True)
+
+
+@query(SNAP + " SELECT s.entity, contest_id, spend, dated AS as_of FROM side s ASOF LEFT JOIN snap ON s.entity = snap.entity AND s.day >= snap.dated")
+def q_asof_inclusive(spark, sf):
+    return _asof(spark, sf, False)
+
+
+@query(SNAP + """
+SELECT s.entity, contest_id, CASE WHEN day - dated <= 90 THEN spend END AS spend, CASE WHEN day - dated <= 90 THEN dated END AS as_of
+FROM side s ASOF LEFT JOIN snap ON s.entity = snap.entity AND s.day >= snap.dated""")
+def q_asof_lookback(spark, sf):
+    return _asof(spark, sf, False, 90)
+
+
+@query(SNAP + """
+SELECT s.entity, contest_id, published, rank FROM (
+  SELECT s.entity, contest_id, CASE WHEN s.day - c.dated <= 40 THEN c.dated END AS published FROM side s ASOF LEFT JOIN (SELECT DISTINCT dated FROM board) c ON s.day > c.dated) s
+LEFT JOIN board b ON b.dated = s.published AND b.entity = s.entity""")
+def q_asof_calendar(spark, sf):
+    b = board(spark, sf)
+    days = b.select("dated").distinct()
+    left = asof.on_calendar(perspectives(spark, sf).select("entity", "contest_id", "day"), days, "day", "dated", 40)
+    return left.join(b.withColumnRenamed("dated", "published"), ["published", "entity"], "left").select("entity", "contest_id", "published", "rank")
+
+
+@query(SNAP + """
+SELECT s.entity, s.contest_id, spend FROM (SELECT entity, contest_id, day - 180 AS shifted FROM side) s
+ASOF LEFT JOIN snap ON s.entity = snap.entity AND s.shifted >= snap.dated WHERE s.shifted - snap.dated <= 120""")
+def q_asof_tolerance(spark, sf):
+    left = perspectives(spark, sf).select("entity", "contest_id", F.date_sub("day", 180).alias("shifted"))
+    return asof.as_of(left, snapshots(spark, sf), "entity", "shifted", "dated", ["spend"], False, 120).where("as_of is not null").select("entity", "contest_id", "spend")
+
+
+@query(SNAP + """, cal AS (SELECT DISTINCT dated FROM board)
+SELECT entity, dated, count(o.at2) AS own, (SELECT count(*) FROM cal c WHERE c.dated >= b.dated - 365 AND c.dated < b.dated) AS published
+FROM board b LEFT JOIN (SELECT entity AS e2, dated AS at2 FROM board) o ON o.e2 = b.entity AND o.at2 >= b.dated - 365 AND o.at2 < b.dated GROUP BY ALL""")
+def q_rank_share_year(spark, sf):
+    b = board(spark, sf).withColumn("n", F.datediff("dated", F.lit("1970-01-01")))
+    own = F.count("*").over(Window.partitionBy("entity").orderBy("n").rangeBetween(-365, -1))
+    cal = b.select("dated", "n").distinct()
+    one = Window.orderBy("n").rangeBetween(-365, -1)  # a calendar of months
+    return b.select("entity", "dated", own.alias("own")).join(F.broadcast(cal.select("dated", F.count("*").over(one).alias("published"))), "dated")
+
+
+#: Reigns: the first customer of a division in each quarter, to its end; the last one is open.
+REIGN = CONTEST + """, q AS (
+  SELECT division, date_trunc('quarter', day) AS q, a_id, min(contest_id) AS c, min(day) AS d0 FROM contest WHERE contest_id % 50 = 0 GROUP BY ALL
+), r AS (SELECT division, CAST(q AS DATE) AS start, a_id AS holder FROM (SELECT *, row_number() OVER (PARTITION BY division, q ORDER BY c) AS k FROM q) WHERE k = 1),
+reign AS (SELECT division, start, holder, CAST(lead(start) OVER (PARTITION BY division ORDER BY start) - 1 AS DATE) AS finish FROM r)"""
+
+
+def reigns(spark, sf):
+    c = contests(spark, sf).where("contest_id % 50 = 0").select("division", F.trunc("day", "quarter").alias("start"), "a_id", "contest_id")
+    first = H.first_by(c, ["division", "start"], [F.col("contest_id")]).select("division", "start", F.col("a_id").alias("holder"))
+    return first.withColumn("finish", F.date_sub(F.lead("start").over(Window.partitionBy("division").orderBy("start")), 1))
+
+
+@query(REIGN + " SELECT contest_id, contest.division, holder FROM contest JOIN reign ON contest.division = reign.division AND day >= start AND (finish IS NULL OR day <= finish)")
+def q_interval_join(spark, sf):
+    left = contests(spark, sf).select("contest_id", "division", "day")
+    return asof.contained(left, reigns(spark, sf), "day", "start", "finish", ["division"]).select("contest_id", "division", "holder")
+
+
+@query(CONTEST + """, m AS (SELECT entity, opponent, max(day) AS day FROM side WHERE entity < 40 GROUP BY ALL)
+SELECT x.entity AS a, y.entity AS b, x.opponent, x.day AS day_a, y.day AS day_b FROM m x JOIN m y ON x.opponent = y.opponent AND x.entity < y.entity""")
+def q_common_neighbours(spark, sf):
+    m = perspectives(spark, sf).where("entity < 40").groupBy("entity", "opponent").agg(F.max("day").alias("day"))
+    x, y = m.select(F.col("entity").alias("a"), "opponent", F.col("day").alias("day_a")), m.select(F.col("entity").alias("b"), "opponent", F.col("day").alias("day_b"))
+    return x.join(y, "opponent").where("a < b").select("a", "b", "opponent", "day_a", "day_b")
+
+
+@query(CONTEST + """
+SELECT concat(least(a_id, b_id), '-', greatest(a_id, b_id)) AS pair, count(*) AS n, count(*) FILTER (winner_id = least(a_id, b_id)) AS low_wins, max(day) AS last
+FROM contest GROUP BY ALL""")
+def q_head_to_head(spark, sf):
+    c = contests(spark, sf).withColumn("pair", pair_key(F.col("a_id"), F.col("b_id")))
+    return c.groupBy("pair").agg(F.count("*").alias("n"), F.count(F.when(F.col("winner_id") == F.least("a_id", "b_id"), 1)).alias("low_wins"), F.max("day").alias("last"))
+
+
+@query("SELECT c_custkey, o_orderkey, round(o_totalprice, 2) AS price FROM customer LEFT JOIN LATERAL (SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = c_custkey ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1) ON true")
+def q_lateral_top1(spark, sf):
+    newest = table(spark, sf, "orders").groupBy("o_custkey").agg(F.max_by(F.struct("o_orderkey", "o_totalprice"), F.struct("o_orderdate", "o_orderkey")).alias("o"))
+    c = table(spark, sf, "customer")
+    return c.join(newest, c.c_custkey == newest.o_custkey, "left").select("c_custkey", "o.o_orderkey", F.round("o.o_totalprice", 2).alias("price"))
+
+
+@query("SELECT s_suppkey, s_name FROM supplier WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_quantity >= 49 AND l_returnflag = 'R')")
+def q_semi(spark, sf):
+    s, items = table(spark, sf, "supplier"), table(spark, sf, "lineitem").where("l_quantity >= 49 and l_returnflag = 'R'")
+    return s.join(items, s.s_suppkey == items.l_suppkey, "left_semi").select("s_suppkey", "s_name")
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_discount >= 0.08)")
+def q_anti(spark, sf):
+    p, items = table(spark, sf, "part"), table(spark, sf, "lineitem").where("l_discount >= 0.08")
+    return p.join(items, p.p_partkey == items.l_partkey, "left_anti").select("p_partkey", "p_name")
+
+
+@query("SELECT o_custkey, o_orderkey, o_orderpriority FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY (o_orderpriority = '1-URGENT') DESC, o_orderdate DESC, o_orderkey) AS k FROM orders) WHERE k = 1")
+def q_distinct_on(spark, sf):
+    order = [(F.col("o_orderpriority") == "1-URGENT").desc(), F.desc("o_orderdate"), F.col("o_orderkey")]
+    return H.first_by(table(spark, sf, "orders"), ["o_custkey"], order).select("o_custkey", "o_orderkey", "o_orderpriority")
+
+
+@query("SELECT c_custkey, c_name, total, total > 60 AS has_more FROM (SELECT c_custkey, c_name, c_acctbal, (SELECT count(*) FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 0) AS total FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 0) ORDER BY c_acctbal DESC, c_custkey LIMIT 20 OFFSET 40")
+def q_page_with_total(spark, sf):
+    own = table(spark, sf, "customer").where("c_mktsegment = 'BUILDING' and c_acctbal > 0")
+    total = own.agg(F.count("*").alias("total"))
+    page = own.orderBy(F.desc("c_acctbal"), "c_custkey").offset(40).limit(20)
+    return page.crossJoin(F.broadcast(total)).select("c_custkey", "c_name", "total", (F.col("total") > 60).alias("has_more"))
+
+
+@query("SELECT c_custkey, last FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderdate) AS last FROM orders WHERE o_orderkey % 7 = 0 GROUP BY 1) ON o_custkey = c_custkey ORDER BY last DESC NULLS LAST, c_nationkey, c_custkey LIMIT 50")
+def q_multi_sort_nulls_last(spark, sf):
+    last = table(spark, sf, "orders").where("o_orderkey % 7 = 0").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderdate").alias("last"))
+    return table(spark, sf, "customer").join(last, "c_custkey", "left").orderBy(F.col("last").desc_nulls_last(), "c_nationkey", "c_custkey").limit(50).select("c_custkey", "last")
+
+
+@query("""
+WITH t AS (SELECT p_partkey, p_name, p_retailprice, CASE WHEN p_name = 'red ring' THEN 4 WHEN starts_with(p_name, 'red') THEN 3 WHEN p_brand LIKE '%7' THEN 2 WHEN contains(p_name, 'ring') THEN 1 ELSE 0 END AS tier FROM part)
+SELECT p_partkey, tier, round(tier * 1000 + p_retailprice / 100, 4) AS rank_score FROM t WHERE tier > 0 ORDER BY rank_score DESC, p_partkey LIMIT 40""")
+def q_match_tier_search(spark, sf):
+    p = table(spark, sf, "part")
+    tier = F.when(F.col("p_name") == "red ring", 4).when(F.startswith("p_name", F.lit("red")), 3).when(F.col("p_brand").like("%7"), 2).when(F.contains("p_name", F.lit("ring")), 1).otherwise(0)
+    scored = p.withColumn("tier", tier).where("tier > 0").withColumn("rank_score", F.round(F.col("tier") * 1000 + F.col("p_retailprice") / 100, 4))
+    return scored.orderBy(F.desc("rank_score"), "p_partkey").limit(40).select("p_partkey", "tier", "rank_score")
+
+
+@query("SELECT * FROM (SELECT 'customer' AS kind, c_custkey AS id, c_acctbal AS balance FROM customer UNION ALL SELECT 'supplier', s_suppkey, s_acctbal FROM supplier) ORDER BY balance DESC, kind, id LIMIT 25")
+def q_union_pool_topk(spark, sf):
+    c = table(spark, sf, "customer").select(F.lit("customer").alias("kind"), F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance"))
+    s = table(spark, sf, "supplier").select(F.lit("supplier").alias("kind"), F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("balance"))
+    return c.unionByName(s).orderBy(F.desc("balance"), "kind", "id").limit(25)
+
+
+@query("""
+SELECT CAST(row_number() OVER (ORDER BY spend DESC, o_custkey) AS BIGINT) AS place, o_custkey, spend FROM (SELECT o_custkey, round(sum(o_totalprice), 2) AS spend FROM orders GROUP BY 1) ORDER BY place LIMIT 50""")
+def q_leaderboard(spark, sf):
+    top = table(spark, sf, "orders").groupBy("o_custkey").agg(F.round(F.sum("o_totalprice"), 2).alias("spend")).orderBy(F.desc("spend"), "o_custkey").limit(50)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("spend"), "o_custkey")).cast("long"))  # of the fifty
+
+
+@query("""
+WITH k AS (SELECT o_custkey, list_distinct(list(o_orderpriority)) AS ps, any_value(c_mktsegment) AS seg FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 20 = 0 GROUP BY 1),
+me AS (SELECT * FROM k ORDER BY o_custkey LIMIT 1)
+SELECT k.o_custkey, CAST(3 * len(list_intersect(k.ps, me.ps)) + CASE WHEN k.seg = me.seg THEN 1 ELSE 0 END AS BIGINT) AS score FROM k, me WHERE k.o_custkey <> me.o_custkey ORDER BY score DESC, k.o_custkey LIMIT 30""")
+def q_overlap_rank(spark, sf):
+    o, c = table(spark, sf, "orders").where("o_orderkey % 20 = 0"), table(spark, sf, "customer")
+    k = o.join(c, o.o_custkey == c.c_custkey).groupBy("o_custkey").agg(F.collect_set("o_orderpriority").alias("ps"), F.first("c_mktsegment").alias("seg"))
+    me = k.orderBy("o_custkey").limit(1).select(F.col("o_custkey").alias("m"), F.col("ps").alias("mps"), F.col("seg").alias("mseg"))
+    score = 3 * F.size(F.array_intersect("ps", "mps")) + F.when(F.col("seg") == F.col("mseg"), 1).otherwise(0)
+    return k.crossJoin(F.broadcast(me)).where("o_custkey <> m").select("o_custkey", score.cast("long").alias("score")).orderBy(F.desc("score"), "o_custkey").limit(30)
+
+
+@query("""
+WITH q AS (SELECT embedding AS e, label AS l FROM embeddings WHERE vec_id = 7)
+SELECT vec_id, round(exp(-sqrt(list_sum(list_transform(list_zip(embedding, e), lambda z: (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)) ** 2))) / 0.5), 6) AS similarity
+FROM embeddings, q WHERE label = l AND vec_id <> 7 ORDER BY similarity DESC, vec_id LIMIT 6""")
+def q_knn_style(spark, sf):
+    e = table(spark, sf, "embeddings")
+    me = e.where("vec_id = 7").select(F.col("embedding").alias("q"), F.col("label").alias("ql"))
+    gap = F.aggregate(F.zip_with("embedding", "q", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, x: s + x)
+    near = e.where("vec_id <> 7").crossJoin(F.broadcast(me)).where("label = ql").select("vec_id", F.round(F.exp(-F.sqrt(gap) / 0.5), 6).alias("similarity"))
+    return near.orderBy(F.desc("similarity"), "vec_id").limit(6)
+
+
+@query("SELECT CAST(least(p_size, 30) AS BIGINT) AS size, p_brand, p_name FROM part EXCEPT SELECT 5, 'Brand#1', 'red ring'")
+def q_set_difference(spark, sf):
+    p = table(spark, sf, "part").select(F.least("p_size", F.lit(30)).cast("long").alias("size"), "p_brand", "p_name")
+    gone = spark.createDataFrame([(5, "Brand#1", "red ring")], "size long, p_brand string, p_name string")
+    return p.subtract(gone)
+
+
+@query("SELECT c_nationkey AS nation FROM customer INTERSECT SELECT s_nationkey FROM supplier")
+def q_set_intersection(spark, sf):
+    return table(spark, sf, "customer").select(F.col("c_nationkey").alias("nation")).intersect(table(spark, sf, "supplier").select("s_nationkey"))
+
+
+@query(f"""
+SELECT o_orderkey, CASE WHEN p BETWEEN 1 AND 2 THEN 'early' WHEN o_orderdate >= TIMESTAMP '{AS_OF}' - INTERVAL 1 YEAR THEN 'late' ELSE 'other' END AS class
+FROM (SELECT *, CAST(left(o_orderpriority, 1) AS INTEGER) AS p FROM orders) WHERE o_totalprice > 100000 AND o_orderstatus IN ('F', 'P') AND o_custkey IS DISTINCT FROM 5""")
+def q_optional_conjuncts(spark, sf):
+    from functools import reduce
+
+    wanted = {"price": F.col("o_totalprice") > 100000, "status": F.col("o_orderstatus").isin("F", "P"), "other": ~F.col("o_custkey").eqNullSafe(F.lit(5)), "none": None}
+    cond = reduce(lambda a, b: a & b, [c for c in wanted.values() if c is not None], F.lit(True))
+    p = F.substring("o_orderpriority", 1, 1).cast("int")
+    late = F.col("o_orderdate") >= F.lit(AS_OF).cast("timestamp") - F.expr("interval 1 year")
+    return table(spark, sf, "orders").where(cond).select("o_orderkey", F.when(p.between(1, 2), "early").when(late, "late").otherwise("other").alias("class"))
+
+
+@query("SELECT user_id, json_k, count(*) AS n FROM (SELECT user_id, CAST(json_extract(props, '$.k') AS BIGINT) AS json_k FROM events) WHERE json_k >= 90 GROUP BY ALL")
+def q_json_nested(spark, sf):
+    k = F.get_json_object("props", "$.k").cast("long")
+    return table(spark, sf, "events").select("user_id", k.alias("json_k")).where("json_k >= 90").groupBy("user_id", "json_k").agg(F.count("*").alias("n"))
+
+
+@query("SELECT user_id, arg_max(event_type, (n, event_type)) AS top, max(n) AS n FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) GROUP BY user_id")
+def q_json_argmax(spark, sf):
+    n = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    return n.groupBy("user_id").agg(F.max_by("event_type", F.struct("n", "event_type")).alias("top"), F.max("n").alias("n"))
+
+
+@query("""
+SELECT conv_id, count(*) AS turns, count(*) FILTER (role = 'user') AS user_turns, string_agg(role, '>' ORDER BY turn) AS roles, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY conv_id""")
+def q_thread_tree(spark, sf):
+    c = table(spark, sf, "conversations")
+    roles = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]), ">")
+    return c.groupBy("conv_id").agg(F.count("*").alias("turns"), F.count(F.when(F.col("role") == "user", 1)).alias("user_turns"), roles.alias("roles"), F.sum(F.char_length("text")).cast("long").alias("chars"))
+
+
+@query(CONTEST + """
+SELECT division, CAST(year(day) AS INTEGER) AS year, round(median(purse), 4) AS median, round(quantile_cont(purse, 0.9), 4) AS p90, round(quantile_cont(purse, 0.99), 4) AS p99, round(stddev_pop(purse), 4) AS spread FROM contest GROUP BY ALL""")
+def q_quantiles(spark, sf):
+    r = lambda c, a: F.round(c, 4).alias(a)
+    return contests(spark, sf).groupBy("division", F.year("day").alias("year")).agg(r(F.median("purse"), "median"), r(F.percentile("purse", 0.9), "p90"), r(F.percentile("purse", 0.99), "p99"), r(F.stddev_pop("purse"), "spread"))
+
+
+@query("SELECT n_name, r_name, count(*) AS customers, round(avg(c_acctbal), 4) AS mean_balance FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL HAVING count(*) >= 20")
+def q_star_join(spark, sf):
+    c, n, r = (table(spark, sf, t) for t in ("customer", "nation", "region"))
+    j = c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
+    return j.groupBy("n_name", "r_name").agg(F.count("*").alias("customers"), F.round(F.avg("c_acctbal"), 4).alias("mean_balance")).where("customers >= 20")
+
