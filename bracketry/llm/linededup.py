@@ -92,12 +92,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     empty one has one. Rows with equal ids and texts count as one and keep the same lines. Null ids come first. An empty
     table gives no rows.
     """
-    gone = repeated_lines(docs, id_col, text_col, least)
-    left = docs.withColumn("_t", text_key(F.col(text_col)))
-    both = left.join(gone, left[id_col].eqNullSafe(gone["d"]) & (left["_t"] == gone["t"]), "left")
-    lines = F.split(F.col(text_col), "\n")
-    rest = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed"))
-    text = F.when(F.col("removed").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(rest, lambda i: F.get(lines, i)), "\n"))
+    gone = repeated_lines(docs, id_col, text_col, least).toDF("_line_doc", "_line_key", "_line_gone")
     names = [c for c in docs.columns if c not in ("n_lines", "removed")]
-    out = [text.alias(c) if c == text_col else left[c] for c in names]
-    return both.select(*out, F.coalesce(F.when(F.col(text_col).isNotNull(), F.size(lines)), F.lit(0)).alias("n_lines"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
+    left = docs.select(*names)
+    same = F.col(id_col).eqNullSafe(F.col("_line_doc")) & (text_key(F.col(text_col)) == F.col("_line_key"))
+    lines, removed = F.split(F.col(text_col), "\n"), F.col("_line_gone")
+    rest = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), removed)
+    text = F.when(removed.isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(rest, lambda i: F.get(lines, i)), "\n"))
+    out = [text.alias(c) if c == text_col else F.col(c) for c in names]
+    n = F.when(F.col(text_col).isNotNull(), F.size(lines)).otherwise(0)
+    return left.join(gone, same, "left").select(*out, n.alias("n_lines"), F.coalesce(removed, F.array().cast("array<int>")).alias("removed"))
