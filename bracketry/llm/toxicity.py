@@ -8,7 +8,9 @@ phrase don't count. The lexicon, its weights and further exception phrases are l
 from __future__ import annotations
 
 import functools
+import itertools
 import math
+import re
 import unicodedata
 from collections import Counter
 from dataclasses import dataclass
@@ -20,7 +22,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod
+from .common import crc_mod, materialize
 
 #: Signs and digits read as letters, and letters of other scripts that look like Latin ones.
 SIGNS = dict(zip("013457@$!", "oieastasi", strict=True))
@@ -35,9 +37,14 @@ LOOK_ALIKE = dict(
 PHRASES = ("trash can", "trash bin", "clown fish", "idiot proof", "pond scum", "soap scum", "stupid question")
 #: Labelled rows from which the lexicon is learned, at most; a sample by hash of the id where there are more.
 MAX_LABELLED = 20_000
-#: A term needs so many toxic documents, so high a share of them, and so many standard errors above the base share.
-MIN_DOCS, MIN_SHARE, MIN_Z = 5, 0.8, 6.0
+#: A term needs so many toxic documents, a rate so many times that of others, and so many standard errors above them.
+MIN_DOCS, MIN_LIFT, MIN_Z = 5, 4.0, 6.0
+#: Occurrences in one document that count, lengths of word beginnings that may stand for all their forms, and different
+#: forms that toxic documents must have.
+CAPPED, STEMS, MIN_FORMS = 5, range(4, 9), 3
 THRESHOLD = 0.7
+#: Terms that a task counts before it hands on what it has.
+HELD = 300_000
 WORD = regex.compile(r"\p{L}+")
 
 
@@ -54,33 +61,65 @@ class _Fold(dict):
 
 FOLD = _Fold()
 DIGITS = str.maketrans(SIGNS)
-MIXED = regex.compile(r"[^\s]*(?:[A-Za-z\p{L}][013457@$!]+|[013457@$!]+[A-Za-z\p{L}])[^\s]*")
+SIGNED = re.compile(r"(?<!\S)[^\s013457@$!]*+[013457@$!]\S*")
+BESIDE = regex.compile(r"\p{L}[013457@$!]|[013457@$!]\p{L}")
+
+
+@functools.cache
+def _ones() -> np.ndarray:
+    """Code points that fold to one other, in a row; 0 where a code point folds to none or several."""
+    codes = np.zeros(0x110000, "<u4")
+    for c in itertools.chain(range(1, 0xD800), range(0xE000, 0x20000)):
+        out = _folded(chr(c))
+        if len(out) == 1:
+            codes[c] = ord(out)
+    return codes
+
+
+def _spelled(m: re.Match) -> str:
+    """A piece with signs and digits; they count as letters where one stands beside a letter, but for marks at the end."""
+    piece = m[0]
+    body = piece.rstrip("!")
+    if body.isalpha():
+        return body + " " * (len(piece) - len(body))
+    return body.translate(DIGITS) + " " * (len(piece) - len(body)) if BESIDE.search(piece) else piece
 
 
 def fold(text: str) -> str:
-    """Case, look-alike letters and signs folded; a sign or digit counts as a letter only within a word that has letters."""
-    low = text.lower() if text.isascii() else text.translate(FOLD)
-    return MIXED.sub(lambda m: m[0].rstrip("!").translate(DIGITS) + " " * (len(m[0]) - len(m[0].rstrip("!"))), low)
+    """Case, look-alike letters and signs folded; a sign or digit counts as a letter only within a word that has letters.
+
+    A one may stand for i or l, so that all three become i.
+    """
+    if text.isascii():
+        low = text.lower()
+    else:
+        text = text.replace("ß", "ss")
+        codes = _ones()[np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")]
+        low = codes.tobytes().decode("utf-32-le") if codes.all() else text.translate(FOLD)
+    return SIGNED.sub(_spelled, low).replace("l", "i")
 
 
 @dataclass(frozen=True)
 class Model:
-    """Weights of folded terms, exception phrases and the three coefficients of the score."""
+    """Weights of folded terms, exception phrases, the bias and the coefficients of features().
+
+    A term with a star at its end stands for every word that begins so, others for whole words.
+    """
 
     weights: tuple[tuple[str, float], ...]
     phrases: tuple[str, ...]
     bias: float
-    present: float
-    dense: float
+    slopes: tuple[float, ...]
 
 
 @functools.lru_cache(4)
 def automaton(weights: tuple[tuple[str, float], ...], phrases: tuple[str, ...]):
     a = ahocorasick.Automaton()
     for term, w in weights:
-        a.add_word(term, (len(term), w))
-    for p in phrases:
-        a.add_word(p, (len(p), None))
+        stem = fold(term.rstrip("*"))
+        a.add_word(stem, (len(stem), w, term[-1] != "*"))
+    for p in map(fold, phrases):
+        a.add_word(p, (len(p), None, True))
     if len(a):
         a.make_automaton()
     return a
@@ -92,9 +131,9 @@ def matches(text: str, weights, phrases) -> tuple[int, float]:
     if not len(a):
         return 0, 0.0
     found, shields = [], []
-    for end, (size, w) in a.iter(folded):
+    for end, (size, w, whole) in a.iter(folded):
         start = end - size + 1
-        if (start and folded[start - 1].isalpha()) or (end + 1 < len(folded) and folded[end + 1].isalpha()):
+        if (start and folded[start - 1].isalpha()) or (whole and end + 1 < len(folded) and folded[end + 1].isalpha()):
             continue
         (found if w is not None else shields).append((start, end, w))
     if shields and found:
@@ -102,11 +141,11 @@ def matches(text: str, weights, phrases) -> tuple[int, float]:
     return len(found), sum(w for _, _, w in found)
 
 
-def features(text: str, weights, phrases) -> tuple[float, float, int]:
-    """Weight that saturates, weight for the length in words, and the number of matches."""
+def features(text: str, weights, phrases) -> tuple[tuple[float, float, float], int]:
+    """Figures from 0 to 1: the weight of all matches, that weight for the root of the words and for the words; and the matches."""
     n, total = matches(text, weights, phrases)
     size = text.count(" ") + text.count("\n") + 1
-    return 1 - math.exp(-total), min(1.0, total / math.sqrt(size)), n
+    return (min(1.0, math.log1p(total) / 5), min(1.0, total / math.sqrt(size) / 4), min(1.0, 5 * total / size)), n
 
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -115,50 +154,101 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) ->
     n = known.count()
     known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < math.ceil((1 << 20) * min(1.0, MAX_LABELLED / max(n, 1)))).select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_toxic"))
     # the sample has a fixed bound, whatever the tables
-    return docs.join(F.broadcast(known), F.col(id_col) == F.col("_id")).select(F.col(text_col).alias("text"), F.col("_toxic").alias("toxic"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(known), "_id")
+    # copies and most near copies share their least shingle: each passage teaches once
+    words = F.split(F.coalesce("text", F.lit("")), r"\s+")
+    least = F.array_min(F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 2, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, 3))))
+    own = rows.groupBy(F.col("_toxic").alias("toxic"), least.alias("_least")).agg(F.min("text").alias("text"))
+    return materialize(own.select("text", "toxic"), "labelled")
+
 
+def _counts(terms_of):
+    """Documents and occurrences of a term in each class, summed up in each task; terms_of counts the terms of a text's words."""
 
-def _counts(rows):
-    """Documents of each class that have a word, or a word with its neighbour, summed up for each task."""
-    own: Counter = Counter()
-    for b in rows:
-        for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            words = WORD.findall(fold(text or ""))
-            own.update((w, toxic) for w in {*words, *map(" ".join, zip(words, words[1:], strict=False)), ""})
-    if own:
-        yield pa.RecordBatch.from_pydict({"term": [t for t, _ in own], "toxic": pa.array([c for _, c in own], pa.int32()), "n": pa.array(own.values(), pa.int64())})
+    def counted(rows):
+        docs, times = Counter(), Counter()
+        for b in rows:
+            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for w, k in terms_of(WORD.findall(fold(text or ""))).items():
+                    docs[w, toxic] += 1
+                    times[w, toxic] += k
+                if len(docs) > HELD:
+                    yield _batch(docs, times)
+                    docs.clear(), times.clear()
+        if docs:
+            yield _batch(docs, times)
+
+    return counted
+
+
+def _batch(docs: Counter, times: Counter) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"term": [t for t, _ in docs], "toxic": pa.array([c for _, c in docs], pa.int32()), "n": pa.array(docs.values(), pa.int64()), "k": pa.array(times.values(), pa.int64())})
+
+
+def _words_and_stems(words: list[str]) -> dict[str, int]:
+    own = Counter(words)
+    for w, k in list(own.items()):
+        for m in STEMS:
+            if len(w) > m:
+                own[w[:m] + "*"] += k
+    return {**{w: min(k, CAPPED) for w, k in own.items()}, "": len(words)}
+
+
+def _sums(rows: DataFrame, terms_of) -> DataFrame:
+    """(term, t, f, kt, kf): documents and occurrences, toxic and not."""
+    each = rows.mapInArrow(_counts(terms_of), "term string, toxic int, n long, k long")
+    return each.groupBy("term").agg(*[F.coalesce(F.sum(F.when(F.col("toxic") == c, F.col(x))), F.lit(0)).alias(a) for x, c, a in (("n", 1, "t"), ("n", 0, "f"), ("k", 1, "kt"), ("k", 0, "kf"))])
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Learn a model from a bounded sample of labelled rows that aren't held out (crc32 of the id modulo 3 is not 1)."""
     rows = labelled(docs, labels, id_col, text_col)
-    sums = rows.mapInArrow(_counts, "term string, toxic int, n long").groupBy("term").agg(*[F.coalesce(F.sum(F.when(F.col("toxic") == c, F.col("n"))), F.lit(0)).alias(a) for c, a in ((1, "t"), (0, "f"))])
-    sums = sums.where(F.col("t") + F.col("f") >= MIN_DOCS).persist()
-    total = sums.where("term = ''").first()
+    every = materialize(_sums(rows, _words_and_stems), "terms")
+    total = every.where("term = ''").first()
     t, f = (total["t"], total["f"]) if total else (0, 0)
     if not t or not f:
-        sums.unpersist()
-        return Model((), PHRASES, math.log((t + 0.5) / (f + 0.5)), 4.0, 4.0)
-    base = t / (t + f)
-    n = F.col("t") + F.col("f")
-    z = (F.col("t") - n * base) / F.sqrt(n * base * (1 - base))
-    terms = sums.where((F.col("t") >= MIN_DOCS) & (F.col("t") / n >= MIN_SHARE) & (z >= MIN_Z) & ~F.contains("term", F.lit(" ")) & (F.col("term") != ""))
-    weights = tuple(sorted((r["term"], math.log((r["t"] + 0.5) / (r["f"] + 0.5) * (f + 1) / (t + 1))) for r in terms.collect()))
-    known = [w for w, _ in weights]
-    mild = sums.where(F.contains("term", F.lit(" ")) & (F.col("t") / n < base * 1.5) & F.exists(F.split("term", " "), lambda w: w.isin(known or [""])))
+        return Model((), PHRASES, math.log((t + 0.5) / (f + 0.5)), (1.0, 4.0, 4.0))
+    share = (total["kt"] + 1) / (total["kt"] + total["kf"] + 2)
+    k = F.col("kt") + F.col("kf")
+    z = (F.col("kt") - k * share) / F.sqrt(k * share * (1 - share))
+    lift = (F.col("kt") + 0.5) / (F.col("kf") + 0.5) * ((1 - share) / share)
+    terms = every.where((F.col("t") >= MIN_DOCS) & (lift >= MIN_LIFT) & (z >= MIN_Z) & (F.col("term") != "")).select("term", F.log(lift).alias("w"), z.alias("z"))
+    stems = terms.where(F.endswith("term", F.lit("*"))).select(F.col("term").alias("stem"))
+    forms = every.where((F.col("t") > 0) & ~F.endswith("term", F.lit("*"))).select(F.col("term").alias("form"), F.explode(F.array(*[F.concat(F.substring("term", 1, k), F.lit("*")) for k in STEMS])).alias("stem"))
+    varied = forms.join(stems, "stem").groupBy("stem").agg(F.countDistinct("form").alias("n")).where(F.col("n") >= MIN_FORMS)
+    varied = {r["stem"] for r in varied.collect()}
+    found = [r for r in terms.orderBy(F.desc("z"), "term").collect() if r["term"][-1] != "*" or r["term"] in varied]
+    weights = tuple(sorted((r["term"], r["w"]) for r in _apart(found)))
+    known = {w for w, _ in weights}
+    beside = _sums(rows, lambda words: Counter(f"{a} {b}" for a, b in itertools.pairwise(words) if a in known or b in known))
+    mild = beside.where((F.col("t") + F.col("f") >= MIN_DOCS) & (F.col("t") / (F.col("t") + F.col("f")) < 1.5 * t / (t + f)))
     phrases = tuple(sorted({*PHRASES, *(r["term"] for r in mild.collect())}))
-    sums.unpersist()
 
     def points(batches):
         for b in batches:
-            x = [(*features(text or "", weights, phrases)[:2], toxic) for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-            c = Counter((round(p, 2), round(d, 2), y) for p, d, y in x)
-            yield pa.RecordBatch.from_pydict({"p": [k[0] for k in c], "d": [k[1] for k in c], "y": pa.array([k[2] for k in c], pa.int32()), "n": pa.array(c.values(), pa.int64())})
-
-    # features are rounded to hundredths: at most 101 x 101 x 2 rows come to the driver
-    grid = rows.mapInArrow(points, "p double, d double, y int, n long").groupBy("p", "d", "y").agg(F.sum("n").alias("n")).collect()
-    bias, present, dense = _logistic(np.array([(1, r["p"], r["d"]) for r in grid]), np.array([r["y"] for r in grid], float), np.array([r["n"] for r in grid], float))
-    return Model(weights, phrases, bias, present, dense)
+            x = [(features(text or "", weights, phrases)[0], toxic) for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            c = Counter((*(round(v, 2) for v in p), y) for p, y in x)
+            yield pa.RecordBatch.from_pydict({"x": pa.array([k[:-1] for k in c], pa.list_(pa.float64())), "y": pa.array([k[-1] for k in c], pa.int32()), "n": pa.array(c.values(), pa.int64())})
+
+    # no more rows than the sample has, and features are rounded to hundredths
+    grid = rows.mapInArrow(points, "x array<double>, y int, n long").groupBy("x", "y").agg(F.sum("n").alias("n")).collect()
+    bias, *slopes = _logistic(np.array([(1, *r["x"]) for r in grid]), np.array([r["y"] for r in grid], float), np.array([r["n"] for r in grid], float))
+    return Model(weights, phrases, bias, tuple(slopes))
+
+
+def _apart(terms: list) -> list:
+    """Terms in order less those that cover, or are covered by, one before them."""
+    stems, parts, out = set(), set(), []
+    for r in terms:
+        word, many = r["term"].rstrip("*"), r["term"][-1] == "*"
+        own = {word[:k] for k in STEMS if k < len(word) + (not many)}
+        if own & stems or (many and word in parts):
+            continue
+        out.append(r)
+        parts |= own
+        if many:
+            stems.add(word)
+    return out
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, penalty: float = 0.05) -> list[float]:
@@ -180,8 +270,8 @@ def score(text: Column, model: Model) -> Column:
     @F.arrow_udf("struct<score: double, n_matches: int>")
     def scored(texts: pa.Array) -> pa.Array:
         x = [features(t or "", m.weights, m.phrases) for t in texts.to_pylist()]
-        s = [1 / (1 + math.exp(-max(-30.0, min(30.0, m.bias + m.present * p + m.dense * d)))) for p, d, _ in x]
-        return pa.StructArray.from_arrays([pa.array(s, pa.float64()), pa.array([n for *_, n in x], pa.int32())], ["score", "n_matches"])
+        s = [1 / (1 + math.exp(-max(-30.0, min(30.0, m.bias + sum(a * b for a, b in zip(m.slopes, p, strict=True)))))) for p, _ in x]
+        return pa.StructArray.from_arrays([pa.array(s, pa.float64()), pa.array([n for _, n in x], pa.int32())], ["score", "n_matches"])
 
     return scored(text.cast("string"))
 
