@@ -26,6 +26,8 @@ CUT = regex.compile(r"(?<!^)(?= \S)", regex.V1)
 UNEVEN = regex.compile(r" (?:\s|$)")
 #: Entries that a memo may hold, and bytes of a word up to which trees go in rows.
 MEMO = 600_000
+#: Marks that are a pre-token of their own after a word.
+MARKS = frozenset(".,;:?!")
 ROW_BYTES = 256
 
 
@@ -177,7 +179,13 @@ class Bpe:
         """Put the ids of pieces, each with a space before it, in the memo."""
         find, parts, new = self.pattern.findall, {}, set()
         for p in pieces:
-            parts[p] = own = (" " + p,) if p.isalpha() else find(" " + p)
+            if p.isalpha():
+                own = (" " + p,)
+            elif p[-1:] in MARKS and p[:-1].isalpha():
+                own = (" " + p[:-1], p[-1])
+            else:
+                own = find(" " + p)
+            parts[p] = own
             new.update(own)
         if len(self.words) > MEMO:
             self.words.clear()
