@@ -81,15 +81,15 @@ def q_rank_share_year(spark, sf):
     return b.select("entity", "dated", own.alias("own")).join(F.broadcast(cal.select("dated", F.count("*").over(one).alias("published"))), "dated")
 
 
-#: Reigns: the first customer of a division in each quarter, to its end; the last one is open.
+#: Reigns: the first customer of a division in each quarter with a contest over five rounds, to its end; the last one is open.
 REIGN = CONTEST + """, q AS (
-  SELECT division, date_trunc('quarter', day) AS q, a_id, min(contest_id) AS c, min(day) AS d0 FROM contest WHERE contest_id % 50 = 0 GROUP BY ALL
+  SELECT division, date_trunc('quarter', day) AS q, a_id, min(contest_id) AS c, min(day) AS d0 FROM contest WHERE scheduled = 5 GROUP BY ALL
 ), r AS (SELECT division, CAST(q AS DATE) AS start, a_id AS holder FROM (SELECT *, row_number() OVER (PARTITION BY division, q ORDER BY c) AS k FROM q) WHERE k = 1),
 reign AS (SELECT division, start, holder, CAST(lead(start) OVER (PARTITION BY division ORDER BY start) - 1 AS DATE) AS finish FROM r)"""
 
 
 def reigns(spark, sf):
-    c = contests(spark, sf).where("contest_id % 50 = 0").select("division", F.trunc("day", "quarter").alias("start"), "a_id", "contest_id")
+    c = contests(spark, sf).where("scheduled = 5").select("division", F.trunc("day", "quarter").alias("start"), "a_id", "contest_id")
     first = H.first_by(c, ["division", "start"], [F.col("contest_id")]).select("division", "start", F.col("a_id").alias("holder"))
     return first.withColumn("finish", F.date_sub(F.lead("start").over(Window.partitionBy("division").orderBy("start")), 1))
 
@@ -100,12 +100,16 @@ def q_interval_join(spark, sf):
     return asof.contained(left, reigns(spark, sf), "day", "start", "finish", ["division"]).select("contest_id", "division", "holder")
 
 
-@query(CONTEST + """, m AS (SELECT entity, opponent, max(day) AS day FROM side WHERE entity < 40 GROUP BY ALL)
-SELECT x.entity AS a, y.entity AS b, x.opponent, x.day AS day_a, y.day AS day_b FROM m x JOIN m y ON x.opponent = y.opponent AND x.entity < y.entity""")
+@query(CONTEST + """, m AS (SELECT entity, opponent, max(day) AS day FROM side GROUP BY ALL)
+SELECT contest_id, count(y.opponent) AS shared, max(CASE WHEN y.opponent IS NOT NULL THEN greatest(x.day, y.day) END) AS latest
+FROM contest c JOIN m x ON x.entity = c.a_id LEFT JOIN m y ON y.entity = c.b_id AND y.opponent = x.opponent GROUP BY contest_id""")
 def q_common_neighbours(spark, sf):
-    m = perspectives(spark, sf).where("entity < 40").groupBy("entity", "opponent").agg(F.max("day").alias("day"))
-    x, y = m.select(F.col("entity").alias("a"), "opponent", F.col("day").alias("day_a")), m.select(F.col("entity").alias("b"), "opponent", F.col("day").alias("day_b"))
-    return x.join(y, "opponent").where("a < b").select("a", "b", "opponent", "day_a", "day_b")
+    """Opponents that the two sides of each contest share, from each side's list: no pairs within an opponent's group."""
+    m = perspectives(spark, sf).groupBy("entity", "opponent").agg(F.max("day").alias("day"))
+    x = m.select(F.col("entity").alias("a_id"), "opponent", F.col("day").alias("day_a"))
+    y = m.select(F.col("entity").alias("b_id"), "opponent", F.col("day").alias("day_b"))
+    both = contests(spark, sf).select("contest_id", "a_id", "b_id").join(x, "a_id").join(y, ["b_id", "opponent"], "left")
+    return both.groupBy("contest_id").agg(F.count("day_b").alias("shared"), F.max(F.when(F.col("day_b").isNotNull(), F.greatest("day_a", "day_b"))).alias("latest"))
 
 
 @query(CONTEST + """
@@ -149,9 +153,9 @@ def q_page_with_total(spark, sf):
     return page.crossJoin(F.broadcast(total)).select("c_custkey", "c_name", "total", (F.col("total") > 60).alias("has_more"))
 
 
-@query("SELECT c_custkey, last FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderdate) AS last FROM orders WHERE o_orderkey % 7 = 0 GROUP BY 1) ON o_custkey = c_custkey ORDER BY last DESC NULLS LAST, c_nationkey, c_custkey LIMIT 50")
+@query("SELECT c_custkey, last FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderdate) AS last FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P' GROUP BY 1) ON o_custkey = c_custkey ORDER BY last DESC NULLS LAST, c_nationkey, c_custkey LIMIT 50")
 def q_multi_sort_nulls_last(spark, sf):
-    last = table(spark, sf, "orders").where("o_orderkey % 7 = 0").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderdate").alias("last"))
+    last = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT' and o_orderstatus = 'P'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderdate").alias("last"))
     return table(spark, sf, "customer").join(last, "c_custkey", "left").orderBy(F.col("last").desc_nulls_last(), "c_nationkey", "c_custkey").limit(50).select("c_custkey", "last")
 
 
@@ -180,11 +184,11 @@ def q_leaderboard(spark, sf):
 
 
 @query("""
-WITH k AS (SELECT o_custkey, list_distinct(list(o_orderpriority)) AS ps, any_value(c_mktsegment) AS seg FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 20 = 0 GROUP BY 1),
+WITH k AS (SELECT o_custkey, list_distinct(list(o_orderpriority)) AS ps, any_value(c_mktsegment) AS seg FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1),
 me AS (SELECT * FROM k ORDER BY o_custkey LIMIT 1)
 SELECT k.o_custkey, CAST(3 * len(list_intersect(k.ps, me.ps)) + CASE WHEN k.seg = me.seg THEN 1 ELSE 0 END AS BIGINT) AS score FROM k, me WHERE k.o_custkey <> me.o_custkey ORDER BY score DESC, k.o_custkey LIMIT 30""")
 def q_overlap_rank(spark, sf):
-    o, c = table(spark, sf, "orders").where("o_orderkey % 20 = 0"), table(spark, sf, "customer")
+    o, c = table(spark, sf, "orders"), table(spark, sf, "customer")
     k = o.join(c, o.o_custkey == c.c_custkey).groupBy("o_custkey").agg(F.collect_set("o_orderpriority").alias("ps"), F.first("c_mktsegment").alias("seg"))
     me = k.orderBy("o_custkey").limit(1).select(F.col("o_custkey").alias("m"), F.col("ps").alias("mps"), F.col("seg").alias("mseg"))
     score = 3 * F.size(F.array_intersect("ps", "mps")) + F.when(F.col("seg") == F.col("mseg"), 1).otherwise(0)
