@@ -11,6 +11,7 @@ can be encoded on their own and kept in a bounded memo.
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 
 import numpy as np
@@ -175,30 +176,47 @@ class Bpe:
 
     # Texts
 
+    def _encode_words(self, words: set[str]) -> None:
+        """Put the ids of pre-tokens in the memo."""
+        listed = list(words - self.words.keys())
+        self.words.update(zip(listed, self.encode_words([w.encode() for w in listed]), strict=True))
+
     def learn(self, pieces: set[str]) -> None:
         """Put the ids of pieces, each with a space before it, in the memo."""
-        find, parts, new = self.pattern.findall, {}, set()
+        find, get = self.pattern.findall, self.words.__getitem__
+        plain, marked, others = [], [], []
         for p in pieces:
-            if p.isalpha():
-                own = (" " + p,)
-            elif p[-1:] in MARKS and p[:-1].isalpha():
-                own = (" " + p[:-1], p[-1])
-            else:
-                own = find(" " + p)
-            parts[p] = own
-            new.update(own)
+            (plain if p.isalpha() else marked if p[-1:] in MARKS and p[:-1].isalpha() else others).append(p)
+        heads, bodies = [" " + p for p in plain], [" " + p[:-1] for p in marked]
+        parts = [find(" " + p) for p in others]
         if len(self.words) > MEMO:
             self.words.clear()
-        else:
-            new -= self.words.keys()
-        listed = list(new)
-        self.words.update(zip(listed, self.encode_words([w.encode() for w in listed]), strict=True))
-        get = self.words.__getitem__
-        for p, own in parts.items():
-            self.pieces[p] = get(own[0]) if len(own) == 1 else b"".join(map(get, own))
+        self._encode_words({*heads, *bodies, *MARKS, *itertools.chain.from_iterable(parts)})
+        mark = {m: self.words[m] for m in MARKS}
+        self.pieces.update(zip(plain, map(get, heads), strict=True))
+        self.pieces.update((p, get(w) + mark[p[-1]]) for p, w in zip(marked, bodies, strict=True))
+        self.pieces.update((p, b"".join(map(get, own))) for p, own in zip(others, parts, strict=True))
         if len(self.words) > 2 * MEMO:
             self.words.clear()
 
+    def know(self, plain: list[list[str]]) -> None:
+        """Learn all pieces of texts cut at spaces, and the pre-tokens of their first pieces."""
+        if len(self.pieces) > MEMO:
+            self.pieces.clear()
+        unknown: set[str] = set()
+        for pieces in plain:
+            unknown.update(pieces[1:])
+        unknown -= self.pieces.keys()
+        if unknown:
+            self.learn(unknown)
+        self._encode_words({w for pieces in plain for w in self.pattern.findall(pieces[0])})
+
+    def counts(self, plain: list[list[str]]) -> list[int]:
+        """Tokens of texts cut at spaces."""
+        self.know(plain)
+        piece, word = self.pieces.__getitem__, self.words.__getitem__
+        return [(sum(map(len, map(word, self.pattern.findall(p[0])))) + sum(map(len, map(piece, p[1:])))) // 4 for p in plain]
+
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, special tokens in it included, as little-endian unsigned 32-bit integers."""
         plain, plan = [], []
@@ -209,18 +227,7 @@ class Bpe:
                 if i >= 0:
                     plan[-1][n] = (p, len(plain))
                     plain.append(cut_at_spaces(p))
-        if len(self.pieces) > MEMO:
-            self.pieces.clear()
-        unknown: set[str] = set()
-        for pieces in plain:
-            unknown.update(pieces[1:])
-        unknown -= self.pieces.keys()
-        if unknown:
-            self.learn(unknown)
-        first = [w for pieces in plain for w in self.pattern.findall(pieces[0])]
-        unknown = set(first) - self.words.keys()
-        listed = list(unknown)
-        self.words.update(zip(listed, self.encode_words([w.encode() for w in listed]), strict=True))
+        self.know(plain)
         piece, word = self.pieces.__getitem__, self.words.__getitem__
         done = [b"".join(map(word, self.pattern.findall(p[0]))) + b"".join(map(piece, p[1:])) for p in plain]
         return [b"".join(done[i] if i >= 0 else self.special[p].to_bytes(4, "little") for p, i in own) for own in plan]
@@ -233,8 +240,7 @@ class Bpe:
         if unknown:
             self.learn(unknown)
         parts = {p: self.pattern.findall(p) for p in pieces if p[:1] != " "}
-        new = list({w for ws in parts.values() for w in ws} - self.words.keys())
-        self.words.update(zip(new, self.encode_words([w.encode() for w in new]), strict=True))
+        self._encode_words({w for ws in parts.values() for w in ws})
         return [self.pieces[p[1:]] if p[:1] == " " else b"".join(map(self.words.__getitem__, parts[p])) for p in pieces]
 
     def decode(self, ids: bytes) -> str:

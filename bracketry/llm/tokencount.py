@@ -1,6 +1,6 @@
 """Token counts that follow edits.
 
-A document keeps a segment tree over its pieces (runs of pre-tokens between cuts that hold whatever stands around them). Every
+A document that is edited keeps a segment tree over its pieces (runs of pre-tokens between cuts that hold whatever stands around them). Every
 node has the characters and the tokens below it. An edit finds the pieces that it touches by going down the tree, encodes
 those alone with one piece of context on either side, and changes the sums on the paths above.
 """
@@ -123,14 +123,15 @@ def recount(text: Column, edits: Column, path: str) -> Column:
 
         edits_of = iter(lists.to_pylist())
         for part in blocks([t or "" for t in texts.to_pylist()]):
-            cut = [whole_pieces(t) for t in part]
-            counts = iter(sizes([p for ps in cut for p in ps]))
-            for pieces in cut:
-                tree = Tree(pieces, [next(counts) for _ in pieces])
-                before, own, encoded = tree.n_tokens, next(edits_of) or [], 0
-                for e in own:
-                    encoded += tree.edit(e["start"], e["stop"], e["text"] or "", count)
-                out.append({"before": before, "after": tree.n_tokens, "n_edits": len(own), "n_pieces": len(pieces), "n_encoded": encoded, "text": tree.text() if own else "".join(pieces)})
+            cut = [cut_at_spaces(t) for t in part]
+            for text, first, before in zip(part, cut, bpe.counts(cut), strict=True):
+                own, encoded, after, n = next(edits_of) or [], 0, before, len(first) - (len(first) > 1 and not first[0])
+                if own:
+                    pieces = whole_pieces(text)
+                    tree = Tree(pieces, sizes(pieces))
+                    encoded = sum(tree.edit(e["start"], e["stop"], e["text"] or "", count) for e in own)
+                    after, text = tree.n_tokens, tree.text()
+                out.append({"before": before, "after": after, "n_edits": len(own), "n_pieces": n, "n_encoded": encoded, "text": text})
         kind = pa.struct([("before", pa.int64()), ("after", pa.int64()), ("n_edits", pa.int32()), ("n_pieces", pa.int32()), ("n_encoded", pa.int32()), ("text", pa.string())])
         return pa.array(out, kind)
 

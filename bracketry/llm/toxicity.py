@@ -156,8 +156,9 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) ->
     # the sample has a fixed bound, whatever the tables
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(known), "_id")
     # copies and most near copies share their least shingle: each passage teaches once
-    words = F.split(F.coalesce("text", F.lit("")), r"\s+")
-    least = F.array_min(F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 2, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, 3))))
+    words = F.array(F.split(F.coalesce("text", F.lit("")), r"\s+"))
+    # an array of one: the words are split once, not for each shingle
+    least = F.get(F.transform(words, lambda ws: F.array_min(F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - 2, F.lit(1))), lambda i: F.xxhash64(F.slice(ws, i, 3))))), 0)
     own = rows.groupBy(F.col("_toxic").alias("toxic"), least.alias("_least")).agg(F.min("text").alias("text"))
     return materialize(own.select("text", "toxic"), "labelled")
 
