@@ -57,7 +57,7 @@ class Bpe:
         pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         keys = np.array([vocab[a] << 32 | vocab[b] for a, b in pairs], dtype=np.int64)
         order = np.argsort(keys)
-        self.keys, self.rank_at = keys[order], order.astype(np.int64)
+        self.keys, self.rank_at = keys[order], order.astype(np.int32)
         self.merged = np.array([vocab[a + b] for a, b in pairs], dtype=np.int64)
         self.pair_rank = {int(k): r for r, k in enumerate(keys)}
         self.byte_id = np.array([vocab[s] for s in symbols], dtype=np.int64)
@@ -76,22 +76,22 @@ class Bpe:
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, the number of merges where there is none."""
-        key = left << 32 | right
+        key = left.astype(np.int64) << 32 | right
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.rank_at[at], len(self.merged))
+        return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.rank_at[at], np.int32(len(self.merged)))
 
     def _rows(self, words: list[bytes], leaves: int) -> list[bytes]:
         """Encode words of at most leaves + 1 bytes, a tree in each row."""
         n, width, none = len(words), leaves + 1, len(self.merged)
         sizes = np.fromiter(map(len, words), np.int64, n)
-        at = np.arange(width)
-        ids = np.full((n, width), -1, np.int64)
+        at = np.arange(width, dtype=np.int32)
+        ids = np.full((n, width), -1, np.int32)
         inside = at < sizes[:, None]
         ids[inside] = self.byte_id[np.frombuffer(b"".join(words), np.uint8)]
-        after = np.where(at + 1 < sizes[:, None], at + 1, -1)
+        after = np.where(at + 1 < sizes[:, None], at + 1, np.int32(-1))
         before = np.broadcast_to(at - 1, (n, width)).copy()
-        tree = np.empty((n, 2 * leaves), np.int64)
-        tree[:, leaves:] = self._ranks(ids[:, :-1], ids[:, 1:]) * leaves + np.arange(leaves)
+        tree = np.empty((n, 2 * leaves), np.int32)
+        tree[:, leaves:] = self._ranks(ids[:, :-1], ids[:, 1:]) * leaves + at[:-1]
         s = leaves // 2
         while s:
             tree[:, s : 2 * s] = np.minimum(tree[:, 2 * s : 4 * s : 2], tree[:, 2 * s + 1 : 4 * s : 2])
