@@ -94,3 +94,30 @@ def ridge(df: DataFrame, target: str, features: list[str], penalty: float) -> di
     at = lambda a, b: got.get((a, b), got.get((b, a)))
     gram = np.array([[at(a, b) for b in names] for a in names], float) + penalty * np.diag([0.0, *[1.0] * len(features)])
     return dict(zip(names, np.linalg.solve(gram, np.array([at(a, "y") for a in names], float)).tolist(), strict=True))
+
+
+def permutation(df: DataFrame, key: str, by: str, x: str, y: str, replicates: int, seed: int = 5) -> DataFrame:
+    """(observed, p): the mean product of x and y, and the share of replicates that reach it with y dealt anew within groups.
+
+    A replicate pairs the rows of a group in the order of two hashes, so that the same seed gives the same deal. Rows move
+    once a replicate; each deal is sorted by its own group and replicate, never as a whole.
+    """
+    group = Window.partitionBy("rep", by)
+    rows = df.select(key, by, x, y).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    order = lambda salt: F.row_number().over(group.orderBy(F.xxhash64(F.lit(seed + salt), F.col(key), F.col("rep")), key))
+    dealt = rows.select("rep", by, x, y, order(0).alias("i"), order(1).alias("j"))
+    a, b = dealt.select("rep", by, F.col("i").alias("k"), x), dealt.select("rep", by, F.col("j").alias("k"), y)
+    means = a.join(b, ["rep", by, "k"]).groupBy("rep").agg(F.avg(F.col(x) * F.col(y)).alias("m"))
+    observed = df.agg(F.avg(F.col(x) * F.col(y)).alias("observed"))
+    return means.crossJoin(F.broadcast(observed)).groupBy("observed").agg(((F.count(F.when(F.col("m") >= F.col("observed"), 1)) + 1) / (F.count("*") + 1)).alias("p"))
+
+
+def isotonic(df: DataFrame, p: str, y: str) -> DataFrame:
+    """(boundary, value): the rising step function nearest to y, over sums at each different p."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import IsotonicRegression
+
+    sums = df.groupBy(p).agg(F.avg(y).alias("label"), F.count("*").cast("double").alias("weight"))
+    rows = VectorAssembler(inputCols=[p], outputCol="features").transform(sums)
+    model = IsotonicRegression(weightCol="weight").fit(rows)
+    return df.sparkSession.createDataFrame(list(zip(model.boundaries.toArray().tolist(), model.predictions.toArray().tolist(), strict=True)), "boundary double, value double")
