@@ -36,6 +36,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def join_by_size(left: DataFrame, right: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """Inner join with a stored right that has one row a key, and in size how many rows of left the key has.
+
+    Keys with over a thousandth of these rows are under a thousand, whatever the input: they are broadcast, so that no task
+    gets all rows of one. The others are joined by a shuffle.
+    """
+    total = right.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    hot = F.col(size) * 1000 > total
+    often = F.broadcast(right.where(hot))
+    rest = left.join(often.select(*keys), keys, "left_anti").join(right.where(~hot), keys)
+    return left.join(often, keys).unionByName(rest)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z alone."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

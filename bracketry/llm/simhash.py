@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_by_size, materialize
 from .components import components
 
 BITS, RADIUS, SEED = 64, 2, 42
@@ -166,13 +166,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of docs other than the two are not read.
     """
     prints = materialize(docs.select(F.col(id_col).alias("id"), simhash(F.col(text_col)).alias("fp")), "prints")
-    firsts = materialize(prints.groupBy("fp").agg(F.min("id").alias("first")), "firsts")
+    firsts = materialize(prints.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("copies")), "firsts")
     nodes = components(links(firsts.select("fp")))
     known = nodes.join(firsts, nodes.node == firsts.fp).select("node", "root", "first")
     least = known.groupBy("root").agg(F.min("first").alias("component_id"))
     found = known.join(least, "root").select(F.col("node").alias("fp"), "component_id")
-    of = firsts.join(found, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return prints.join(of, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    of = firsts.join(found, "fp", "left").select("fp", "copies", F.coalesce("component_id", "first").alias("component_id"))
+    return join_by_size(prints, materialize(of, "classes"), ["fp"], "copies").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
