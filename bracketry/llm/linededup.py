@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialize
+from .common import SPACE, join_by_size, materialize
 
 MIN_WORDS = 50
 
@@ -77,8 +77,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     both = runs.alias("n").join(at.alias("p"), same("n", "p") & (F.col("n.start") == F.col("p.seq"))).join(at.alias("q"), same("n", "q") & (F.col("n.last") == F.col("q.seq")))
     named = both.select("n.d", "n.t", "n.start", "n.m", F.get("p.r", F.col("level")).alias("x"), F.get("q.r", F.col("level")).alias("y")).where("x is not null and y is not null")
     named = materialize(named.withColumn("at", F.struct("d", "t", "start")), "runs")
-    first = named.groupBy("m", "x", "y").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = named.join(first, ["m", "x", "y"]).where(F.col("at") > F.col("first"))
+    first = materialize(named.groupBy("m", "x", "y").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1"), "firsts")
+    later = join_by_size(named, first, ["m", "x", "y"], "n").where(F.col("at") > F.col("first"))
     gone = later.select("d", "t", F.explode(F.sequence("start", F.col("start") + F.col("m") - 1)).alias("seq")).distinct()
     gone = gone.alias("g").join(now.select("d", "t", "seq", "line_no").alias("p"), same("g", "p") & (F.col("g.seq") == F.col("p.seq"))).select("g.d", "g.t", "line_no")
     return gone.groupBy("d", "t").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
