@@ -13,9 +13,11 @@ from __future__ import annotations
 import functools
 import itertools
 import json
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,6 +26,8 @@ from pyspark.sql import functions as F
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A place where pieces may be cut, and what rules out cutting at every space.
 CUT = regex.compile(r"(?<!^)(?= \S)", regex.V1)
+#: The same for Arrow's patterns, which take white space as ASCII alone.
+UNEVEN_RE2 = r" (?:[\s\x0B\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]|$)"
 UNEVEN = regex.compile(r" (?:\s|$)")
 #: Entries that a memo may hold, and bytes of a word up to which trees go in rows.
 MEMO = 600_000
@@ -68,6 +72,8 @@ class Bpe:
             self.bytes_of[i] = bytes(of_symbol[c] for c in token)
         for token, i in self.special.items():
             self.bytes_of[i] = token.encode()
+        self.all_bytes = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+        self.byte_sizes = np.fromiter(map(len, self.bytes_of), np.int64, len(self.bytes_of))
         self.pattern = regex.compile(PATTERN)
         self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
@@ -160,17 +166,18 @@ class Bpe:
     def encode_words(self, words: list[bytes]) -> list[bytes]:
         """Ids of each pre-token as little-endian unsigned 32-bit integers."""
         out: list[bytes] = [b""] * len(words)
-        classes: dict[int, list[int]] = {}
-        for i, w in enumerate(words):
-            if len(w) > ROW_BYTES:
-                out[i] = self._one(w)
-            elif w:
-                classes.setdefault(max(1, 1 << (len(w) - 2).bit_length()) if len(w) > 1 else 1, []).append(i)
-        for leaves, at in classes.items():
-            block = max(1, (1 << 18) // leaves)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        for i in np.flatnonzero(sizes > ROW_BYTES).tolist():
+            out[i] = self._one(words[i])
+        # the least power of two that has a leaf for each pair
+        levels = np.ceil(np.log2(np.maximum(sizes - 1, 1))).astype(np.int64)
+        levels[(sizes == 0) | (sizes > ROW_BYTES)] = -1
+        for level in np.unique(levels[levels >= 0]).tolist():
+            at = np.flatnonzero(levels == level).tolist()
+            block = max(1, (1 << 18) >> level)
             for k in range(0, len(at), block):
                 part = at[k : k + block]
-                for i, ids in zip(part, self._rows([words[i] for i in part], leaves), strict=True):
+                for i, ids in zip(part, self._rows([words[i] for i in part], 1 << level), strict=True):
                     out[i] = ids
         return out
 
@@ -199,8 +206,8 @@ class Bpe:
         if len(self.words) > 2 * MEMO:
             self.words.clear()
 
-    def know(self, plain: list[list[str]]) -> None:
-        """Learn all pieces of texts cut at spaces, and the pre-tokens of their first pieces."""
+    def _know(self, plain: list[list[str]]) -> list[list[str]]:
+        """Learn all pieces of texts cut at spaces; gives the pre-tokens of their first pieces, which are learned as well."""
         if len(self.pieces) > MEMO:
             self.pieces.clear()
         unknown: set[str] = set()
@@ -209,13 +216,60 @@ class Bpe:
         unknown -= self.pieces.keys()
         if unknown:
             self.learn(unknown)
-        self._encode_words({w for pieces in plain for w in self.pattern.findall(pieces[0])})
-
-    def counts(self, plain: list[list[str]]) -> list[int]:
-        """Tokens of texts cut at spaces."""
-        self.know(plain)
-        piece, word = self.pieces.__getitem__, self.words.__getitem__
-        return [(sum(map(len, map(word, self.pattern.findall(p[0])))) + sum(map(len, map(piece, p[1:])))) // 4 for p in plain]
+        firsts = [self.pattern.findall(pieces[0]) for pieces in plain]
+        self._encode_words(set(itertools.chain.from_iterable(firsts)))
+        return firsts
+
+    def encode_array(self, texts: pa.Array, special: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of texts without nulls: all ids in a row, where each text's begin and end, and how many pieces each has."""
+        pieces = pc.split_pattern(texts, " ")
+        whole = np.zeros(len(texts), bool)
+        for token in self.special if special else ():
+            whole |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        odd = whole | pc.match_substring_regex(texts, UNEVEN_RE2).to_numpy(zero_copy_only=False)
+        if odd.any():
+            own = [[""] if w else cut_at_spaces(t) for w, t in zip(whole[odd].tolist(), texts.filter(pa.array(odd)).to_pylist(), strict=True)]
+            at = np.arange(len(texts))
+            at[odd] = len(texts) + np.arange(len(own))
+            pieces = pa.concat_arrays([pieces, pa.array(own, pieces.type)]).take(pa.array(at))
+        bounds = pieces.offsets.to_numpy() - pieces.offsets[0].as_py()
+        coded = pieces.flatten().dictionary_encode()
+        at, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        if len(self.pieces) > MEMO:
+            self.pieces.clear()
+        if unknown := {w for w in words if w not in self.pieces}:
+            self.learn(unknown)
+        # a text's first piece has no space before it; a text with a special token's string stands whole in its place
+        first = bounds[:-1]
+        parts = [self.pattern.findall(words[i]) for i in at[first].tolist()]
+        self._encode_words(set(itertools.chain.from_iterable(parts)))
+        starts_with = [b"".join(map(self.words.__getitem__, p)) for p in parts]
+        for i in np.flatnonzero(whole).tolist():
+            starts_with[i] = self.encode_batch([texts[i].as_py()])[0]
+        own = [*map(self.pieces.__getitem__, words), *starts_with]
+        at[first] = len(words) + np.arange(len(first))
+        sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        ids, ends = gathered(np.frombuffer(b"".join(own), "<u4"), sizes, at)
+        return ids, np.concatenate([[0], ends])[bounds], np.diff(bounds)
+
+    def decode_array(self, ids: pa.Array) -> pa.Array:
+        """Texts of binary ids without nulls."""
+        offsets = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1].astype(np.int64)
+        flat = np.frombuffer(ids.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].tobytes()
+        got, bounds = np.frombuffer(flat, "<u4"), (offsets - offsets[0]) // 4
+        if not len(got) or got.max() >= len(self.bytes_of):
+            return pa.array(map(self.decode, ids.to_pylist()), pa.string())
+        out, ends = gathered(self.all_bytes, self.byte_sizes, got.astype(np.int64))
+        at = np.concatenate([[0], ends])[bounds]
+        # bytes that are UTF-8 as a whole, with no character across two texts, are so in each text
+        begins = out[at[:-1][np.diff(at) > 0]]
+        try:
+            if ((begins & 0xC0) == 0x80).any():
+                raise UnicodeError
+            str(memoryview(out), "utf-8")
+        except UnicodeError:
+            return pa.array(map(self.decode, ids.to_pylist()), pa.string())
+        return pa.Array.from_buffers(pa.string(), len(ids), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(out)])
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, special tokens in it included, as little-endian unsigned 32-bit integers."""
@@ -227,9 +281,9 @@ class Bpe:
                 if i >= 0:
                     plan[-1][n] = (p, len(plain))
                     plain.append(cut_at_spaces(p))
-        self.know(plain)
+        firsts = self._know(plain)
         piece, word = self.pieces.__getitem__, self.words.__getitem__
-        done = [b"".join(map(word, self.pattern.findall(p[0]))) + b"".join(map(piece, p[1:])) for p in plain]
+        done = [b"".join([*map(word, f), *map(piece, p[1:])]) for f, p in zip(firsts, plain, strict=True)]
         return [b"".join(done[i] if i >= 0 else self.special[p].to_bytes(4, "little") for p, i in own) for own in plan]
 
     def encode_pieces(self, pieces: list[str]) -> list[bytes]:
@@ -256,17 +310,22 @@ def load(path: str) -> Bpe:
     return Bpe(path)
 
 
-def blocks(values: list, limit: int = 2_000_000):
-    """Consecutive values of about limit characters."""
-    part, size = [], 0
-    for v in values:
-        part.append(v)
-        size += len(v)
-        if size >= limit:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
+def gathered(values: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of values, of the given sizes one after the other, put together in the order of at; and where each ends."""
+    starts = np.cumsum(sizes) - sizes
+    take = sizes[at]
+    ends = np.cumsum(take)
+    return values[np.repeat(starts[at] - (ends - take), take) + np.arange(int(ends[-1]) if len(ends) else 0)], ends
+
+
+def slices(values: pa.Array, limit: int = 8_000_000) -> Iterator[pa.Array]:
+    """Consecutive values of about limit bytes."""
+    sizes = np.cumsum(pc.binary_length(values).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(values):
+        stop = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + limit, side="right")))
+        yield values.slice(start, stop - start)
+        start = stop
 
 
 def encode(text: Column, path: str) -> Column:
@@ -278,10 +337,11 @@ def encode(text: Column, path: str) -> Column:
 
     @F.arrow_udf("binary")
     def ids(texts: pa.Array) -> pa.Array:
-        bpe, out = load(path), []
-        for part in blocks([t or "" for t in texts.to_pylist()]):
-            out += bpe.encode_batch(part)
-        return pa.array(out, pa.binary())
+        out = [pa.array([], pa.binary())]
+        for part in slices(texts.fill_null("")):
+            flat, bounds, _ = load(path).encode_array(part)
+            out.append(pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer((4 * bounds).astype(np.int32)), pa.py_buffer(flat)]))
+        return pa.concat_arrays(out)
 
     return ids(text.cast("string"))
 
@@ -291,8 +351,9 @@ def decode(ids: Column, path: str) -> Column:
 
     @F.arrow_udf("string")
     def text(values: pa.Array) -> pa.Array:
-        bpe = load(path)
-        return pa.array([None if v is None else bpe.decode(v) for v in values.to_pylist()], pa.string())
+        out = [pa.array([], pa.string()), *(load(path).decode_array(part) for part in slices(values.fill_null(b"")))]
+        texts = pa.concat_arrays(out)
+        return pc.if_else(values.is_null(), pa.scalar(None, pa.string()), texts) if values.null_count else texts
 
     return text(ids)
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import blocks, cut_at_spaces, load
+from .bpe import cut_at_spaces, load, slices
 
 EDITS = "array<struct<start: int, stop: int, text: string>>"
 
@@ -122,10 +122,11 @@ def recount(text: Column, edits: Column, path: str) -> Column:
             return sum(sizes(pieces))
 
         edits_of = iter(lists.to_pylist())
-        for part in blocks([t or "" for t in texts.to_pylist()]):
-            cut = [cut_at_spaces(t) for t in part]
-            for text, first, before in zip(part, cut, bpe.counts(cut), strict=True):
-                own, encoded, after, n = next(edits_of) or [], 0, before, len(first) - (len(first) > 1 and not first[0])
+        for part in slices(texts.fill_null("")):
+            _, bounds, lengths = bpe.encode_array(part, special=False)
+            for text, before, n in zip(part.to_pylist(), np.diff(bounds).tolist(), lengths.tolist(), strict=True):
+                own, encoded, after = next(edits_of) or [], 0, before
+                n -= n > 1 and text[0] == " "  # the empty piece before a leading space
                 if own:
                     pieces = whole_pieces(text)
                     tree = Tree(pieces, sizes(pieces))

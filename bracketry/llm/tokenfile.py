@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import cut_at_spaces
+from .bpe import UNEVEN_RE2, cut_at_spaces, gathered, slices
 from .common import materialize
 
 #: zstandard's skippable frames and its seekable format.
@@ -35,18 +35,6 @@ INDEX_MAGIC, TABLE_MAGIC, FOOTER_MAGIC, CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x8F
 #: Entries that the memo of encoded pieces may hold.
 MEMO = 1_500_000
 LEVEL = 3
-#: A space that white space or the end follows: such a text can't be cut at every space.
-UNEVEN = r" (?:[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]|$)"
-
-
-def slices(texts: pa.Array, limit: int = 16_000_000) -> Iterator[pa.Array]:
-    """Consecutive texts of about limit bytes."""
-    sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
-    start = 0
-    while start < len(texts):
-        stop = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + limit, side="right")))
-        yield texts.slice(start, stop - start)
-        start = stop
 
 
 class LibraryEncoder:
@@ -81,7 +69,7 @@ class LibraryEncoder:
     def cut(self, texts: pa.Array) -> pa.ListArray:
         """Pieces of texts; a text with a special token's string is one piece."""
         pieces = pc.split_pattern(texts, " ")
-        odd = pc.match_substring_regex(texts, UNEVEN)
+        odd = pc.match_substring_regex(texts, UNEVEN_RE2)
         for s in self.special:
             odd = pc.or_(odd, pc.match_substring(texts, s))
         if not pc.any(odd).as_py():
@@ -104,11 +92,8 @@ class LibraryEncoder:
         first = bounds[:-1]
         own = [*map(self.pieces.__getitem__, words), *self._library([words[i] for i in at[first].tolist()])]
         at[first] = len(words) + np.arange(len(first))
-        ids = np.frombuffer(b"".join(own), "<u4")
         sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
-        starts = np.cumsum(sizes) - sizes
-        take, ends = sizes[at], np.cumsum(sizes[at])
-        ids = ids[np.repeat(starts[at] - (ends - take), take) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        ids, ends = gathered(np.frombuffer(b"".join(own), "<u4"), sizes, at)
         return ids, np.concatenate([[0], ends])[bounds]
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
@@ -134,7 +119,7 @@ def frames(text: Column, key: Column, path: str, end_id: int, bounds: list[int])
         encoder, kind = library(path), f"<u{width_of(path)}"
         press, end = zstandard.ZstdCompressor(level=LEVEL), np.array([end_id], kind).tobytes()
         out: list[bytes] = []
-        for part in slices(texts.fill_null("")):
+        for part in slices(texts.fill_null(""), 16_000_000):
             ids, ends = encoder.encode(part)
             ids = ids.astype(kind)
             out += [press.compress(ids[a:b].tobytes() + end) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]

@@ -6,6 +6,7 @@ import hashlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -32,7 +33,10 @@ def library_ids(text: str) -> list[int]:
 
 
 def own_ids(texts: list[str]) -> list[list[int]]:
-    return [np.frombuffer(b, "<u4").tolist() for b in bpe.load(PATH).encode_batch(texts)]
+    ids, bounds, _ = bpe.load(PATH).encode_array(pa.array(texts, pa.string()))
+    out = [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    assert out == [np.frombuffer(b, "<u4").tolist() for b in bpe.load(PATH).encode_batch(texts)]
+    return out
 
 
 def test_texts_of_all_kinds():
@@ -54,7 +58,10 @@ def test_text_of_few_letters(text):
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 50256), max_size=40))
 def test_any_ids_decode_as_in_the_library(ids):
-    assert bpe.load(PATH).decode(np.array(ids, "<u4").tobytes()) == LIBRARY.decode(ids, skip_special_tokens=False)
+    packed, want = np.array(ids, "<u4").tobytes(), LIBRARY.decode(ids, skip_special_tokens=False)
+    assert bpe.load(PATH).decode(packed) == want
+    cut = np.array([ids[:1]], "<u4").tobytes()
+    assert bpe.load(PATH).decode_array(pa.array([b"", cut, packed, packed[len(cut) :]], pa.binary()).slice(1)).to_pylist()[::2] == [bpe.load(PATH).decode(cut), bpe.load(PATH).decode(packed[len(cut) :])]
 
 
 def test_long_words_and_rows_agree():
