@@ -185,7 +185,7 @@ class Bpe:
 
     def _encode_words(self, words: set[str]) -> None:
         """Put the ids of pre-tokens in the memo."""
-        listed = list(words - self.words.keys())
+        listed = [w for w in words if w not in self.words]
         self.words.update(zip(listed, self.encode_words([w.encode() for w in listed]), strict=True))
 
     def learn(self, pieces: set[str]) -> None:
@@ -213,7 +213,7 @@ class Bpe:
         unknown: set[str] = set()
         for pieces in plain:
             unknown.update(pieces[1:])
-        unknown -= self.pieces.keys()
+        unknown = {p for p in unknown if p not in self.pieces}
         if unknown:
             self.learn(unknown)
         firsts = [self.pattern.findall(pieces[0]) for pieces in plain]
@@ -290,7 +290,7 @@ class Bpe:
         """Ids of pieces, each with its own space before it if it has one."""
         if len(self.pieces) > MEMO:
             self.pieces.clear()
-        unknown = {p[1:] for p in pieces if p[:1] == " "} - self.pieces.keys()
+        unknown = {p[1:] for p in pieces if p[:1] == " " and p[1:] not in self.pieces}
         if unknown:
             self.learn(unknown)
         parts = {p: self.pattern.findall(p) for p in pieces if p[:1] != " "}

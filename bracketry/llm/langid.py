@@ -111,7 +111,7 @@ def likelihoods(text: Column, model: np.ndarray, spark) -> Column:
             if len(memo) > MEMO:
                 memo.clear()
                 rows[0] = rows[0][:0]
-            new = list(set(itertools.chain.from_iterable(lists)) - memo.keys())
+            new = [w for w in set(itertools.chain.from_iterable(lists)) if w not in memo]
             if new:
                 at, starts = buckets_of(new)
                 memo.update(zip(new, range(len(memo), len(memo) + len(new)), strict=True))
