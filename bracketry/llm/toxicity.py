@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, materialize
+from .common import crc_mod, frugal, materialize, release
 
 #: Signs and digits read as letters, and letters of other scripts that look like Latin ones.
 SIGNS = dict(zip("013457@$!", "oieastasi", strict=True))
@@ -44,7 +44,7 @@ MIN_DOCS, MIN_LIFT, MIN_Z = 5, 4.0, 6.0
 CAPPED, STEMS, MIN_FORMS = 5, range(4, 9), 3
 THRESHOLD = 0.7
 #: Terms that a task counts before it hands on what it has.
-HELD = 300_000
+HELD = 60_000
 WORD = regex.compile(r"\p{L}+")
 
 
@@ -169,7 +169,8 @@ def _counts(terms_of):
     def counted(rows):
         docs, times = Counter(), Counter()
         for b in rows:
-            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for text, toxic in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                text = text.as_py()
                 for w, k in terms_of(WORD.findall(fold(text or ""))).items():
                     docs[w, toxic] += 1
                     times[w, toxic] += k
@@ -197,7 +198,7 @@ def _words_and_stems(words: list[str]) -> dict[str, int]:
 
 def _sums(rows: DataFrame, terms_of) -> DataFrame:
     """(term, t, f, kt, kf): documents and occurrences, toxic and not."""
-    each = rows.mapInArrow(_counts(terms_of), "term string, toxic int, n long, k long")
+    each = rows.mapInArrow(frugal(_counts(terms_of)), "term string, toxic int, n long, k long")
     return each.groupBy("term").agg(*[F.coalesce(F.sum(F.when(F.col("toxic") == c, F.col(x))), F.lit(0)).alias(a) for x, c, a in (("n", 1, "t"), ("n", 0, "f"), ("k", 1, "kt"), ("k", 0, "kf"))])
 
 
@@ -227,12 +228,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def points(batches):
         for b in batches:
-            x = [(features(text or "", weights, phrases)[0], toxic) for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            x = [(features(text.as_py() or "", weights, phrases)[0], toxic) for text, toxic in zip(b.column(0), b.column(1).to_pylist(), strict=True)]
             c = Counter((*(round(v, 2) for v in p), y) for p, y in x)
             yield pa.RecordBatch.from_pydict({"x": pa.array([k[:-1] for k in c], pa.list_(pa.float64())), "y": pa.array([k[-1] for k in c], pa.int32()), "n": pa.array(c.values(), pa.int64())})
 
     # no more rows than the sample has, and features are rounded to hundredths
-    grid = rows.mapInArrow(points, "x array<double>, y int, n long").groupBy("x", "y").agg(F.sum("n").alias("n")).collect()
+    grid = rows.mapInArrow(frugal(points), "x array<double>, y int, n long").groupBy("x", "y").agg(F.sum("n").alias("n")).collect()
     bias, *slopes = _logistic(np.array([(1, *r["x"]) for r in grid]), np.array([r["y"] for r in grid], float), np.array([r["n"] for r in grid], float))
     return Model(weights, phrases, bias, tuple(slopes))
 
@@ -270,8 +271,9 @@ def score(text: Column, model: Model) -> Column:
 
     @F.arrow_udf("struct<score: double, n_matches: int>")
     def scored(texts: pa.Array) -> pa.Array:
-        x = [features(t or "", m.weights, m.phrases) for t in texts.to_pylist()]
+        x = [features(t.as_py() or "", m.weights, m.phrases) for t in texts]
         s = [1 / (1 + math.exp(-max(-30.0, min(30.0, m.bias + sum(a * b for a, b in zip(m.slopes, p, strict=True)))))) for p, _ in x]
+        release()
         return pa.StructArray.from_arrays([pa.array(s, pa.float64()), pa.array([n for _, n in x], pa.int32())], ["score", "n_matches"])
 
     return scored(text.cast("string"))
