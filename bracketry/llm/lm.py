@@ -79,6 +79,10 @@ class Vocabulary:
     total: int
     distinct: int
 
+    @property
+    def log_total(self) -> float:
+        return float(np.log10(self.total + 0.1 * (self.distinct + 1)))
+
     def share(self, c: np.ndarray, k: np.ndarray) -> np.ndarray:
         """log10 of a token's share of its class from its count, 0 for a token that training lacks."""
         known = np.log10(np.maximum((1 - self.class_unknown[k]) * c / np.maximum(self.class_total[k], 1), 1e-300))
@@ -95,7 +99,7 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
             least = int(2 ** ((s + 1) / 8) - 1e-9) + 1
             break
         taken += n
-    rows = [(t.encode(), c) for t, c in counts.where(F.col("c") >= least).select("token", "c").collect()]
+    rows = [(t.encode(), c) for t, c in counts.where((F.col("c") >= least) | (F.col("token") == END)).select("token", "c").collect()]
     rows.sort(key=lambda r: (r[0] != END.encode(), -r[1], r[0]))
     if not rows or rows[0][0] != END.encode():
         rows.insert(0, (END.encode(), 0))
@@ -268,7 +272,7 @@ def _scored(words, params, table):
     def rows(batches):
         v, p, z = words.value, Parameters.of(params.value), table.value
         first, second = p.position[0] * p.context, p.position[1] * p.context
-        base = np.log10(v.count + 0.1)
+        base = np.log10(v.count + 0.1) - v.log_total
         inside = np.where(v.unit < OWN_UNITS, 0.0, v.share(v.count, np.maximum(v.unit - OWN_UNITS, 0)))
         for b in batches:
             ids, texts, held = b.column(0), b.column(1).to_pylist(), b.column(2)
@@ -313,10 +317,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     k = F.crc32(F.substring(F.col("token").cast("binary"), 1, 3)) % CLASSES + 1
     total, unknown = (F.element_at(F.array(*[F.lit(float(x)) for x in xs]), k.cast("int")) for xs in (v.class_total, v.class_unknown))
     share = F.when(F.col("c") > 0, F.log10((1 - unknown) * F.col("c") / total)).otherwise(F.log10(unknown))
-    sums = rare.groupBy("row").agg(F.sum(F.col("m") * F.log10(F.col("c") + 0.1)).alias("b"), F.sum(F.col("m") * share).alias("s"), F.sum(F.when(F.col("c") > 0, F.col("m"))).alias("n"))
+    sums = rare.groupBy("row").agg(F.sum(F.col("m") * (F.log10(F.col("c") + 0.1) - v.log_total)).alias("b"), F.sum(F.col("m") * share).alias("s"), F.sum(F.when(F.col("c") > 0, F.col("m"))).alias("n"))
     out = made.drop("rare").join(sums, "row", "left")
-    zero, n = F.lit(0.0), v.total + 0.1 * (v.distinct + 1)
+    zero = F.lit(0.0)
     return out.select(
         F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("n", F.lit(0))).alias("n_known"), F.lit(v.total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("b", zero) - F.col("n_tokens") * float(np.log10(n))).alias("base_score"), (F.col("score") + F.coalesce("s", zero)).alias("score"),
+        (F.col("base") + F.coalesce("b", zero)).alias("base_score"), (F.col("score") + F.coalesce("s", zero)).alias("score"),
     )

@@ -20,7 +20,7 @@ def plain_tokens(text: str | None) -> list[str]:
     low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
     for c in "\t\n\x0b\x0c\r":
         low = low.replace(c, " ")
-    return [*(w for w in low.split(" ") if w), lm.END.decode()]
+    return [*(w for w in low.split(" ") if w), lm.END]
 
 
 def brute(docs: list[tuple]) -> list[tuple]:
