@@ -30,7 +30,7 @@ CUT = regex.compile(r"(?<!^)(?= \S)", regex.V1)
 UNEVEN_RE2 = r" (?:[\s\x0B\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]|$)"
 UNEVEN = regex.compile(r" (?:\s|$)")
 #: Entries that a memo may hold, and bytes of a word up to which trees go in rows.
-MEMO = 600_000
+MEMO = 400_000
 #: Marks that are a pre-token of their own after a word.
 MARKS = frozenset(".,;:?!")
 ROW_BYTES = 256
@@ -203,7 +203,7 @@ class Bpe:
         self.pieces.update(zip(plain, map(get, heads), strict=True))
         self.pieces.update((p, get(w) + mark[p[-1]]) for p, w in zip(marked, bodies, strict=True))
         self.pieces.update((p, b"".join(map(get, own))) for p, own in zip(others, parts, strict=True))
-        if len(self.words) > 2 * MEMO:
+        if len(self.words) > MEMO:
             self.words.clear()
 
     def _know(self, plain: list[list[str]]) -> list[list[str]]:
@@ -318,7 +318,7 @@ def gathered(values: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.
     return values[np.repeat(starts[at] - (ends - take), take) + np.arange(int(ends[-1]) if len(ends) else 0)], ends
 
 
-def slices(values: pa.Array, limit: int = 8_000_000) -> Iterator[pa.Array]:
+def slices(values: pa.Array, limit: int = 2_000_000) -> Iterator[pa.Array]:
     """Consecutive values of about limit bytes."""
     sizes = np.cumsum(pc.binary_length(values).to_numpy(zero_copy_only=False))
     start = 0
