@@ -84,7 +84,8 @@ def lookup(prints: DataFrame, items: DataFrame) -> DataFrame:
     around = F.array(*[F.lit(x) for x in within(BLOCK_BITS, share)])
     of = lambda c: F.posexplode(F.array(*[_block(F.col(c), k) for k in range(BLOCKS)])).alias("block", "value")
     index = items.select("item", "own_print", of("own_print")).select("item", "own_print", "block", F.explode(F.transform(around, lambda x: x.bitwiseXOR(F.col("value")))).alias("value"))
-    found = prints.select("print", of("print")).join(index, ["block", "value"])
+    # the planner takes the listed values for as small as the items
+    found = prints.select("print", of("print")).join(index.hint("merge"), ["block", "value"])
     return found.where(F.bit_count(F.col("print").bitwiseXOR(F.col("own_print"))) <= RADIUS).select("print", "item").distinct()
 
 
