@@ -15,11 +15,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import join_by_size, materialize
 from .components import components
+from .election import elect, with_key
 
 BITS, RADIUS, SEED = 64, 2, 42
 #: Fingerprints that share a signature up to which they are compared in pairs; above it they are met half-way.
@@ -176,12 +177,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each group of near-duplicates: that of the smallest id, and the smallest text among equal ids.
-
-    A null id counts as smaller than any other. Columns stay as they are.
-    """
-    keyed = docs.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))))
-    first = near_duplicates(keyed, "_id", text_col).select(F.col("component_id").alias("_first")).distinct()
-    own = Window.partitionBy("_id").orderBy(F.col(text_col).asc_nulls_first())
-    kept = keyed.join(first, F.col("_id") == F.col("_first"), "left_semi").withColumn("_place", F.row_number().over(own))
-    return kept.where("_place = 1").drop("_id", "_place")
+    """docs with one row of each group of near-duplicates, as elect() chooses it. Columns stay as they are."""
+    keyed = with_key(docs, id_col, text_col)
+    groups = near_duplicates(keyed, "_key", text_col).select("_key", F.col("component_id").alias("_group"))
+    return elect(keyed, groups, id_col, text_col)

@@ -137,3 +137,10 @@ def test_components(spark, edges):
             x, y = sorted((root(a), root(b)))
             up[y] = x
     assert got == {k: root(k) for k in up}
+
+
+def test_survivors_keep_texts_of_null_and_equal_ids(spark):
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(30))
+    rows = [(None, text("a")), (None, text("b")), (None, text("c")), (None, text("c")), (5, text("a")), (9, text("b")), (7, text("d")), (7, text("e")), (7, text("e")), (8, text("d")), (None, None), (None, "")]
+    kept = S.survivors(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, kept)) == sorted(f"Row(doc_id={d}, text={t!r})" for d, t in [(None, text("a")), (None, text("b")), (None, text("c")), (7, text("d")), (7, text("e")), (None, None)])
