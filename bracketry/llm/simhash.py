@@ -27,10 +27,8 @@ BITS, RADIUS, SEED = 64, 2, 42
 DENSE = 32
 
 
-def fingerprint(words: list[bytes], size: int = 3, seed: int = SEED) -> int:
-    """Majority bits of the hashes of all shingles; zero without words. Signed, as Spark's long."""
-    if not words:
-        return 0
+def shingle_hashes(words: list[bytes], size: int, seed: int = SEED) -> np.ndarray:
+    """Hashes of all shingles, in order; of all words as one shingle where they are fewer than size."""
     text = b" ".join(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
@@ -38,7 +36,14 @@ def fingerprint(words: list[bytes], size: int = 3, seed: int = SEED) -> int:
     k = min(size, len(words))
     digest = xxhash.xxh64_intdigest
     spans = zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)
-    hashes = np.array([digest(text[a:b], seed) for a, b in spans], np.uint64)
+    return np.array([digest(text[a:b], seed) for a, b in spans], np.uint64)
+
+
+def fingerprint(words: list[bytes], size: int = 3, seed: int = SEED) -> int:
+    """Majority bits of the hashes of all shingles; zero without words. Signed, as Spark's long."""
+    if not words:
+        return 0
+    hashes = shingle_hashes(words, size, seed)
     counts = np.zeros(BITS, np.int64)
     for i in range(0, len(hashes), 1 << 16):
         part = hashes[i : i + (1 << 16)]

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bracketry.llm import bpe, decontaminate, linededup, simhash, toxicity
+from bracketry.llm import bpe, decontaminate, linededup, similar, toxicity
 from bracketry.llm.common import SPACE, materialize, table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -26,8 +26,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return simhash.survivors(docs).select(*docs.columns)
+    """One document of each group of near-duplicates: five-word shingles of a similarity of 0.8 and more."""
+    return similar.survivors(docs).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
