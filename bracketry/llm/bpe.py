@@ -30,7 +30,7 @@ CUT = regex.compile(r"(?<!^)(?= \S)", regex.V1)
 UNEVEN_RE2 = r" (?:[\s\x0B\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]|$)"
 UNEVEN = regex.compile(r" (?:\s|$)")
 #: Entries that a memo may hold, and bytes of a word up to which trees go in rows.
-MEMO = 400_000
+MEMO = 600_000
 #: Marks that are a pre-token of their own after a word.
 MARKS = frozenset(".,;:?!")
 ROW_BYTES = 256
@@ -64,7 +64,9 @@ class Bpe:
         self.keys, self.rank_at = keys[order], order.astype(np.int32)
         self.merged = np.array([vocab[a + b] for a, b in pairs], dtype=np.int64)
         self.pair_rank = {int(k): r for r, k in enumerate(keys)}
-        self.byte_id = np.array([vocab[s] for s in symbols], dtype=np.int64)
+        self.byte_id = np.array([vocab[s] for s in symbols], dtype=np.int32)
+        pairs_of_bytes = self._ranks(np.repeat(self.byte_id, 256), np.tile(self.byte_id, 256))
+        self.byte_rank = pairs_of_bytes.astype(np.int32)
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.special_cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.bytes_of = [b""] * (1 + max([*vocab.values(), *self.special.values()]))
@@ -86,18 +88,20 @@ class Bpe:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.rank_at[at], np.int32(len(self.merged)))
 
-    def _rows(self, words: list[bytes], leaves: int) -> list[bytes]:
-        """Encode words of at most leaves + 1 bytes, a tree in each row."""
-        n, width, none = len(words), leaves + 1, len(self.merged)
-        sizes = np.fromiter(map(len, words), np.int64, n)
+    def _rows(self, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, leaves: int) -> tuple[np.ndarray, np.ndarray]:
+        """Encode words of at most leaves + 1 bytes, a tree in each row; all ids in a row, and how many each word has."""
+        n, width, none = len(sizes), leaves + 1, len(self.merged)
         at = np.arange(width, dtype=np.int32)
-        ids = np.full((n, width), -1, np.int32)
         inside = at < sizes[:, None]
-        ids[inside] = self.byte_id[np.frombuffer(b"".join(words), np.uint8)]
+        own = np.append(flat, np.zeros(width, np.uint8))[starts[:, None] + at]
+        ids = self.byte_id[own]
+        ids[~inside] = -1
         after = np.where(at + 1 < sizes[:, None], at + 1, np.int32(-1))
         before = np.broadcast_to(at - 1, (n, width)).copy()
         tree = np.empty((n, 2 * leaves), np.int32)
-        tree[:, leaves:] = self._ranks(ids[:, :-1], ids[:, 1:]) * leaves + at[:-1]
+        ranks = self.byte_rank[own[:, :-1].astype(np.int32) << 8 | own[:, 1:]]
+        ranks[~inside[:, 1:]] = none
+        tree[:, leaves:] = ranks * leaves + at[:-1]
         s = leaves // 2
         while s:
             tree[:, s : 2 * s] = np.minimum(tree[:, 2 * s : 4 * s : 2], tree[:, 2 * s + 1 : 4 * s : 2])
@@ -128,9 +132,7 @@ class Bpe:
                 tree[rows, node] = np.minimum(tree[rows, 2 * node], tree[rows, 2 * node + 1])
                 node >>= 1
         kept = ids >= 0
-        flat, ends = ids[kept].astype("<u4").tobytes(), np.cumsum(kept.sum(1)) * 4
-        starts = np.concatenate([[0], ends[:-1]]).tolist()
-        return [flat[a:b] for a, b in zip(starts, ends.tolist(), strict=True)]
+        return ids[kept].astype("<u4"), kept.sum(1)
 
     def _one(self, word: bytes) -> bytes:
         """Encode one long word with a tree of its own."""
@@ -165,20 +167,33 @@ class Bpe:
 
     def encode_words(self, words: list[bytes]) -> list[bytes]:
         """Ids of each pre-token as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = [b""] * len(words)
         sizes = np.fromiter(map(len, words), np.int64, len(words))
+        return self._encode_flat(np.frombuffer(b"".join(words), np.uint8), np.cumsum(sizes) - sizes, sizes)
+
+    def encode_spaced(self, words: list[str]) -> list[bytes]:
+        """The same for words that have no space in them, each with a space before it."""
+        if not words:
+            return []
+        flat = np.frombuffer((" " + " ".join(words)).encode(), np.uint8)
+        starts = np.flatnonzero(flat == 0x20)
+        return self._encode_flat(flat, starts, np.diff(np.append(starts, len(flat))))
+
+    def _encode_flat(self, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+        out: list[bytes] = [b""] * len(sizes)
         for i in np.flatnonzero(sizes > ROW_BYTES).tolist():
-            out[i] = self._one(words[i])
+            out[i] = self._one(flat[starts[i] : starts[i] + sizes[i]].tobytes())
         # the least power of two that has a leaf for each pair
         levels = np.ceil(np.log2(np.maximum(sizes - 1, 1))).astype(np.int64)
         levels[(sizes == 0) | (sizes > ROW_BYTES)] = -1
         for level in np.unique(levels[levels >= 0]).tolist():
-            at = np.flatnonzero(levels == level).tolist()
+            at = np.flatnonzero(levels == level)
             block = max(1, (1 << 18) >> level)
             for k in range(0, len(at), block):
                 part = at[k : k + block]
-                for i, ids in zip(part, self._rows([words[i] for i in part], 1 << level), strict=True):
-                    out[i] = ids
+                ids, n = self._rows(flat, starts[part], sizes[part], 1 << level)
+                ids, ends = ids.tobytes(), np.cumsum(n) * 4
+                for i, a, b in zip(part.tolist(), (ends - 4 * n).tolist(), ends.tolist(), strict=True):
+                    out[i] = ids[a:b]
         return out
 
     # Texts
@@ -190,21 +205,20 @@ class Bpe:
 
     def learn(self, pieces: set[str]) -> None:
         """Put the ids of pieces, each with a space before it, in the memo."""
-        find, get = self.pattern.findall, self.words.__getitem__
-        plain, marked, others = [], [], []
+        known, plain, marked, others = self.pieces, [], [], []
         for p in pieces:
             (plain if p.isalpha() else marked if p[-1:] in MARKS and p[:-1].isalpha() else others).append(p)
-        heads, bodies = [" " + p for p in plain], [" " + p[:-1] for p in marked]
-        parts = [find(" " + p) for p in others]
-        if len(self.words) > MEMO:
-            self.words.clear()
-        self._encode_words({*heads, *bodies, *MARKS, *itertools.chain.from_iterable(parts)})
-        mark = {m: self.words[m] for m in MARKS}
-        self.pieces.update(zip(plain, map(get, heads), strict=True))
-        self.pieces.update((p, get(w) + mark[p[-1]]) for p, w in zip(marked, bodies, strict=True))
-        self.pieces.update((p, b"".join(map(get, own))) for p, own in zip(others, parts, strict=True))
-        if len(self.words) > MEMO:
+        # a word and one closing mark are two pre-tokens; the word is known from now on
+        plain += {b for p in marked if (b := p[:-1]) not in known}.difference(plain)
+        parts = [self.pattern.findall(" " + p) for p in others]
+        if len(self.words) > MEMO // 4:
             self.words.clear()
+        self._encode_words({*MARKS, *itertools.chain.from_iterable(parts)})
+        get = self.words.__getitem__
+        mark = {m: get(m) for m in MARKS}
+        known.update(zip(plain, self.encode_spaced(plain), strict=True))
+        known.update((p, known[p[:-1]] + mark[p[-1]]) for p in marked)
+        known.update((p, b"".join(map(get, own))) for p, own in zip(others, parts, strict=True))
 
     def _know(self, plain: list[list[str]]) -> list[list[str]]:
         """Learn all pieces of texts cut at spaces; gives the pre-tokens of their first pieces, which are learned as well."""
@@ -234,7 +248,7 @@ class Bpe:
             pieces = pa.concat_arrays([pieces, pa.array(own, pieces.type)]).take(pa.array(at))
         bounds = pieces.offsets.to_numpy() - pieces.offsets[0].as_py()
         coded = pieces.flatten().dictionary_encode()
-        at, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        at, words = coded.indices.to_numpy().astype(np.int64), strings(coded.dictionary)
         if len(self.pieces) > MEMO:
             self.pieces.clear()
         if unknown := {w for w in words if w not in self.pieces}:
@@ -310,6 +324,14 @@ def load(path: str) -> Bpe:
     return Bpe(path)
 
 
+def strings(values: pa.Array) -> list[str]:
+    """Values without nulls as a list, by one join and one split unless a value has a NUL in it."""
+    if not len(values):
+        return []
+    out = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values), "\0")[0].as_py().split("\0")
+    return out if len(out) == len(values) else values.to_pylist()
+
+
 def gathered(values: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Runs of values, of the given sizes one after the other, put together in the order of at; and where each ends."""
     starts = np.cumsum(sizes) - sizes
@@ -318,7 +340,7 @@ def gathered(values: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.
     return values[np.repeat(starts[at] - (ends - take), take) + np.arange(int(ends[-1]) if len(ends) else 0)], ends
 
 
-def slices(values: pa.Array, limit: int = 2_000_000) -> Iterator[pa.Array]:
+def slices(values: pa.Array, limit: int = 4_000_000) -> Iterator[pa.Array]:
     """Consecutive values of about limit bytes."""
     sizes = np.cumsum(pc.binary_length(values).to_numpy(zero_copy_only=False))
     start = 0
