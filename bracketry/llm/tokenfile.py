@@ -12,6 +12,7 @@ attempt writes under a name of its own and renames at its end, so that a repeate
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import struct
 import uuid
@@ -27,13 +28,13 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import UNEVEN_RE2, cut_at_spaces, gathered, slices
+from .bpe import UNEVEN_RE2, cut_at_spaces, gathered, slices, strings
 from .common import materialize
 
 #: zstandard's skippable frames and its seekable format.
 INDEX_MAGIC, TABLE_MAGIC, FOOTER_MAGIC, CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
 #: Entries that the memo of encoded pieces may hold.
-MEMO = 1_500_000
+MEMO = 1_100_000
 LEVEL = 3
 
 
@@ -84,7 +85,7 @@ class LibraryEncoder:
         lists = self.cut(texts)
         bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         coded = lists.flatten().dictionary_encode()
-        at, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        at, words = coded.indices.to_numpy().astype(np.int64), strings(coded.dictionary)
         if len(self.pieces) > MEMO:
             self.pieces.clear()
         self._learn([w for w in words if w not in self.pieces])
@@ -112,26 +113,39 @@ def width_of(path: str) -> int:
 
 
 def frames(text: Column, key: Column, path: str, end_id: int, bounds: list[int]) -> Column:
-    """struct<frame, part>: a document's ids with end_id in a frame of its own, and the range that its key is in."""
+    """struct<frame, n, check, part>: a document's ids with end_id in a frame of its own, how many they are, the checksum of
+    the frame's content, and the range that the key is in."""
 
-    @F.arrow_udf("struct<frame: binary, part: int>")
+    @F.arrow_udf("struct<frame: binary, n: int, check: long, part: int>")
     def frame(texts: pa.Array, keys: pa.Array) -> pa.Array:
-        encoder, kind = library(path), f"<u{width_of(path)}"
-        press, end = zstandard.ZstdCompressor(level=LEVEL), np.array([end_id], kind).tobytes()
+        encoder, kind, width = library(path), f"<u{width_of(path)}", width_of(path)
+        press, end = zstandard.ZstdCompressor(level=LEVEL).compress, np.array([end_id], kind).tobytes()
         out: list[bytes] = []
+        sizes: list[int] = []
+        checks: list[int] = []
         for part in slices(texts.fill_null(""), 16_000_000):
             ids, ends = encoder.encode(part)
-            ids = ids.astype(kind)
-            out += [press.compress(ids[a:b].tobytes() + end) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-        at = np.searchsorted(np.array(bounds, np.int64), keys.fill_null(-(2**63)).to_numpy(zero_copy_only=False), side="left")
-        return pa.StructArray.from_arrays([pa.array(out, pa.binary()), pa.array(at.astype(np.int32))], ["frame", "part"])
+            ids, at = ids.astype(kind).tobytes(), (ends * width).tolist()
+            for a, b in itertools.pairwise(at):
+                content = ids[a:b] + end
+                out.append(press(content))
+                sizes.append(len(content) // width)
+                checks.append(xxhash.xxh64_intdigest(content) & 0xFFFFFFFF)
+        parts = part_of(keys, bounds)
+        return pa.StructArray.from_arrays([pa.array(out, pa.binary()), pa.array(sizes, pa.int32()), pa.array(checks, pa.int64()), parts], ["frame", "n", "check", "part"])
 
     return frame(text.cast("string"), key.cast("long"))
 
 
+def part_of(keys: pa.Array, lasts: list[int]) -> pa.Array:
+    """The first range whose last key is not below each key; null keys are the lowest."""
+    at = np.searchsorted(np.array(lasts, np.int64), keys.fill_null(-(2**63)).to_numpy(zero_copy_only=False), side="left")
+    return pa.array(at.astype(np.int32))
+
+
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator]]:
     """Rows of each part; a task may have several parts, one after the other."""
-    rows = ((p, d, f) for b in batches for p, d, f in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True))
+    rows = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
     held = next(rows, None)
     while held is not None:
         part = held[0]
@@ -151,14 +165,13 @@ def _writer(root: str, width: int):
             fs, base = pafs.FileSystem.from_uri(root)
             fs.create_dir(base, recursive=True)
             mine, final = f"{base}/.{part:06d}-{uuid.uuid4().hex}", f"{base}/{part:06d}.zst"
-            press, ids, table, total, least, most = zstandard.ZstdDecompressor(), [], [], 0, None, None
+            ids, table, total, least, most = [], [], 0, None, None
             with fs.open_output_stream(mine) as out:
-                for doc, frame in rows:
-                    content = press.decompress(frame)
+                for doc, frame, n, check in rows:
                     out.write(frame)
                     ids.append(doc)
-                    table.append(struct.pack("<III", len(frame), len(content), xxhash.xxh64_intdigest(content) & 0xFFFFFFFF))
-                    total += len(content) // width
+                    table.append(struct.pack("<III", len(frame), n * width, check))
+                    total += n
                     if doc is not None:
                         least, most = doc if least is None else least, doc
                 known = np.array([d is not None for d in ids], np.uint8)
@@ -187,7 +200,7 @@ def write_tokens(docs: DataFrame, root: str, path: str, end_id: int, id_col: str
     cuts = docs.agg(F.percentile_approx(F.col(id_col).cast("long"), [i / n for i in range(1, n)], F.lit(100 * n)).alias("c")).first()["c"] if n > 1 else []
     bounds = sorted(set(cuts or []))
     made = docs.select(F.col(id_col).cast("long").alias("doc"), frames(F.col(text_col), F.col(id_col), path, end_id, bounds).alias("f"))
-    dealt = made.select("f.part", "doc", "f.frame").repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "doc", "frame")
+    dealt = made.select("f.part", "doc", "f.frame", "f.n", "f.check").repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "doc", "frame")
     return materialize(dealt.mapInArrow(_writer(root, width_of(path)), MANIFEST), "manifest")
 
 
@@ -227,11 +240,11 @@ def _reader(chosen: bool):
     def read(batches):
         for b in batches:
             for row in b.to_pylist():
-                file, start, wanted = TokenFile(row["path"]), row["start"], set(row["wanted"]) if chosen else None
+                file, start, wanted = TokenFile(row["path"]), row["start"], set(row["wanted"]) if chosen else ()
                 starts = start + np.concatenate([[0], np.cumsum(file.sizes)[:-1]]) if len(file.sizes) else []
                 out, size = [], 0
                 for k, doc in enumerate(file.ids):
-                    if wanted is None or doc in wanted:
+                    if not chosen or (row["nulls"] if doc is None else doc in wanted):
                         out.append((doc, int(starts[k]), int(file.sizes[k]), file.document(k)))
                         size += len(out[-1][3])
                         if size > 16_000_000:
@@ -267,7 +280,19 @@ def read_tokens(spark: SparkSession, manifest: DataFrame) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, manifest: DataFrame, wanted: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents whose ids stand in wanted. Files without one are not opened, frames of others not decompressed."""
-    files = with_starts(manifest)
-    near = wanted.select(F.col(id_col).cast("long").alias("w")).distinct().join(F.broadcast(files), F.col("w").between(F.col("first_id"), F.col("last_id")))
-    return near.groupBy("path", "start").agg(F.collect_list("w").alias("wanted")).mapInArrow(_reader(True), ROWS)
+    """The documents whose ids stand in wanted, a null one for those without an id.
+
+    Files without one are not opened, frames of others not decompressed. The last id of each file, one number a file, tells
+    which file an id is in, so that ids and files meet on an equal part.
+    """
+    lasts = manifest.orderBy("part").select("part", F.coalesce("last_id", F.lit(-(2**63))).alias("last")).collect()
+    parts, bounds = pa.array([r["part"] for r in lasts], pa.int32()), [r["last"] for r in lasts]
+
+    @F.arrow_udf("int")
+    def part(keys: pa.Array) -> pa.Array:
+        at = part_of(keys, bounds)
+        return pc.if_else(pc.less(at, len(parts)), parts.take(pc.min_element_wise(at, max(0, len(parts) - 1))), None) if len(parts) else pa.nulls(len(at), pa.int32())
+
+    near = wanted.select(F.col(id_col).cast("long").alias("w")).distinct().withColumn("part", part(F.col("w")))
+    own = near.groupBy("part").agg(F.collect_list("w").alias("wanted"), F.bool_or(F.col("w").isNull()).alias("nulls"))
+    return own.join(with_starts(manifest), "part").select("path", "start", "wanted", "nulls").mapInArrow(_reader(True), ROWS)

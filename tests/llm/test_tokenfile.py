@@ -65,6 +65,16 @@ def test_random_access_opens_what_it_needs(spark):
     assert got == {d: every[d] for d in (3, 9)}
 
 
+def test_random_access_by_null_and_repeated_ids(spark):
+    rows = [*ROWS, (None, "no id either", 0, "x"), (5, "five again", 0, "x"), *[(k, f"t{k}", 0, "") for k in range(20, 60)]]
+    manifest = write(spark, rows, 5)
+    wanted = spark.createDataFrame([(None,), (5,), (5,), (33,), (10_000,), (-4,)], "doc_id long")
+    got = sorted((r.doc_id is not None, r.doc_id, r.start, bytes(r.ids)) for r in T.read_documents(spark, manifest, wanted).collect())
+    every = sorted((r.doc_id is not None, r.doc_id, r.start, bytes(r.ids)) for r in T.read_tokens(spark, manifest).collect())
+    assert got == [r for r in every if r[1] in (None, 5, 33)]
+    assert T.read_documents(spark, write(spark, []), wanted).count() == 0
+
+
 def paths(manifest):
     return [r.path.removeprefix("file://") for r in manifest.collect()]
 
