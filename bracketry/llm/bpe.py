@@ -234,8 +234,9 @@ class Bpe:
         self._encode_words(set(itertools.chain.from_iterable(firsts)))
         return firsts
 
-    def encode_array(self, texts: pa.Array, special: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of texts without nulls: all ids in a row, where each text's begin and end, and how many pieces each has."""
+    def _coded(self, texts: pa.Array, special: bool) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+        """Of texts without nulls: ids of unlike pieces, which piece stands where in a row, where each text's begin and end,
+        and the characters of unlike pieces."""
         pieces = pc.split_pattern(texts, " ")
         whole = np.zeros(len(texts), bool)
         for token in self.special if special else ():
@@ -260,11 +261,30 @@ class Bpe:
         starts_with = [b"".join(map(self.words.__getitem__, p)) for p in parts]
         for i in np.flatnonzero(whole).tolist():
             starts_with[i] = self.encode_batch([texts[i].as_py()])[0]
-        own = [*map(self.pieces.__getitem__, words), *starts_with]
+        chars = pc.utf8_length(coded.dictionary).to_numpy(zero_copy_only=False)
+        chars = np.concatenate([chars + 1, chars[at[first]]])
         at[first] = len(words) + np.arange(len(first))
+        return [*map(self.pieces.__getitem__, words), *starts_with], at, bounds, chars
+
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Of texts without nulls: all ids in a row, and where each text's begin and end."""
+        own, at, bounds, _ = self._coded(texts, True)
         sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
         ids, ends = gathered(np.frombuffer(b"".join(own), "<u4"), sizes, at)
-        return ids, np.concatenate([[0], ends])[bounds], np.diff(bounds)
+        return ids, np.concatenate([[0], ends])[bounds]
+
+    def count_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Characters and tokens of all pieces of texts without nulls in a row, and where each text's begin and end.
+
+        Special tokens count as ordinary characters. A space that a text begins with stands with the piece after it.
+        """
+        own, at, bounds, chars = self._coded(texts, False)
+        tokens = (np.fromiter(map(len, own), np.int64, len(own)) // 4)[at]
+        chars = chars[at]
+        keep = np.ones(len(at), bool)
+        first = bounds[:-1][np.diff(bounds) > 1]
+        keep[first] = chars[first] > 0
+        return chars[keep].astype(np.int32), tokens[keep].astype(np.int32), np.concatenate([[0], np.cumsum(keep)])[bounds]
 
     def decode_array(self, ids: pa.Array) -> pa.Array:
         """Texts of binary ids without nulls."""
@@ -361,7 +381,7 @@ def encode(text: Column, path: str) -> Column:
     def ids(texts: pa.Array) -> pa.Array:
         out = [pa.array([], pa.binary())]
         for part in slices(texts.fill_null("")):
-            flat, bounds, _ = load(path).encode_array(part)
+            flat, bounds = load(path).encode_array(part)
             out.append(pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer((4 * bounds).astype(np.int32)), pa.py_buffer(flat)]))
         return pa.concat_arrays(out)
 

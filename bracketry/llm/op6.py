@@ -7,12 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .tokencount import recount, scrub
+from .tokencount import apply_edits, plant, scrub
 
 VOCABULARY = "byte_bpe_50k.json"
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path(VOCABULARY)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = docs.select("doc_id", recount(F.col("text"), scrub(F.col("text")), public_tokenizers.path(VOCABULARY)).alias("r"))
-    return found.select("doc_id", F.col("r.before").alias("n_tokens"), F.col("r.after").alias("n_tokens_edited"), F.col("r.n_edits"), F.col("r.n_pieces"), F.col("r.n_encoded"), F.md5("r.text").alias("text_md5"))
+    planted = docs.withColumn("tree", plant(F.col("text"), path)).withColumn("n_pieces", F.size("tree.chars"))
+    done = apply_edits(planted.withColumn("edits", scrub(F.col("text"))), path)
+    return done.select("doc_id", F.col("n_before").alias("n_tokens"), F.col("n_after").alias("n_tokens_edited"), "n_edits", "n_pieces", "n_encoded", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))

@@ -33,7 +33,7 @@ def library_ids(text: str) -> list[int]:
 
 
 def own_ids(texts: list[str]) -> list[list[int]]:
-    ids, bounds, _ = bpe.load(PATH).encode_array(pa.array(texts, pa.string()))
+    ids, bounds = bpe.load(PATH).encode_array(pa.array(texts, pa.string()))
     out = [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
     assert out == [np.frombuffer(b, "<u4").tolist() for b in bpe.load(PATH).encode_batch(texts)]
     return out
