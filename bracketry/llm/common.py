@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,11 +18,15 @@ SPACE = r"\x20\x09-\x0D"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a folder of our own only where none is set."""
+    """The folder in spark.checkpoint.dir, or the one that the session's checkpoints go to.
+
+    Where neither is set, a folder of our own if driver and executors are one process, else an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="bracketry-")
-        spark.sparkContext.setCheckpointDir(found)
+        if not re.fullmatch(r"local(\[[\d*,]+\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="bracketry-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
@@ -71,6 +76,26 @@ def join_by_size(left: DataFrame, right: DataFrame, keys: list[str], size: str)
     return left.join(often, keys).unionByName(rest)
 
 
+def left_join_by_size(left: DataFrame, right: DataFrame, keys: list[str], size: str, broadcast_rows: int = 0) -> DataFrame:
+    """left join with a stored right as join_by_size() takes it. Rows of left with a null key are not shuffled.
+
+    right is broadcast whole where it has no more than broadcast_rows rows.
+    """
+    values = [c for c in right.columns if c not in (*keys, size)]
+    total, n = right.agg(F.coalesce(F.sum(size), F.lit(0)), F.count("*")).first()
+    if n <= broadcast_rows:
+        return left.join(F.broadcast(right.select(*keys, *values)), keys, "left")
+    hot = F.col(size) * 1000 > total
+    often = right.where(hot).select(*keys, F.struct(*values).alias("_often"))
+    found = left.join(F.broadcast(often), keys, "left")
+    rest = F.col("_often").isNull()
+    for k in keys:
+        rest &= F.col(k).isNotNull()
+    dealt = found.where(rest).drop("_often").join(right.where(~hot).select(*keys, *values), keys, "left")
+    known = found.where(~rest).select(*left.columns, *[F.col(f"_often.{v}").alias(v) for v in values])
+    return dealt.select(*left.columns, *values).unionByName(known)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z alone."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

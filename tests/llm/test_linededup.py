@@ -56,6 +56,20 @@ def test_a_run_within_one_document(spark):
     assert got == {1: list(range(12, 36)), 2: []}
 
 
+def test_maximal_runs(spark):
+    long = [f"line {k} has five words" for k in range(40)]
+    docs = {1: ["own start", *long, "own end"], 2: [*long[:15], "a break", *long[20:]], 3: ["x", *long, "y"], 4: long[:5]}
+    got = L.repeated_runs(spark.createDataFrame([(d, "\n".join(ls)) for d, ls in docs.items()], "doc_id long, text string")).collect()
+    runs = {(r.d, tuple(r.lines), r.first_d, r.first_line) for r in got}
+    assert runs == {(2, tuple(range(15)), 1, 1), (2, tuple(range(16, 36)), 1, 21), (3, tuple(range(1, 41)), 1, 1)}
+
+
+def test_most_lines_are_one_line(spark):
+    rows = [(k, "\n".join(["the license line"] * 30 + [f"own {k}"])) for k in range(40)]
+    got = {x.doc_id: x.removed for x in L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), least=50).collect()}
+    assert got == brute(rows, 50)
+
+
 def test_edge_rows(spark):
     passage = " ".join(f"w{k}" for k in range(60))
     rows = [(1, passage, 7, "x"), (2, None, 7, "x"), (3, "", 7, None), (4, passage + "\nrest", 7, "x"), (4, passage + "\nrest", 7, "x"), (None, "start\n" + passage, 7, "x"), (5, "z " * 30_000, 7, "x"), (6, "\n\n\n", 7, "x")]
