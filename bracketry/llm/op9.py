@@ -36,7 +36,8 @@ WITH d AS (
     SELECT doc_id, text, host, trim(regexp_replace(regexp_replace(lower(x), '[0-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS line
     FROM (SELECT doc_id, text, host, unnest(string_split(text, chr(10))) AS x FROM d)) WHERE line <> ''
 ), sharing AS (
-  SELECT host, line FROM l GROUP BY host, line HAVING count(DISTINCT text) > 20
+  SELECT host, line FROM l JOIN (SELECT host, count(DISTINCT doc_id) AS n_docs FROM d GROUP BY host) USING (host)
+  GROUP BY host, line HAVING count(DISTINCT doc_id) > greatest(20, 0.01 * any_value(n_docs))
 ), gone AS (
   SELECT doc_id, CAST(sum(w) AS BIGINT) AS n FROM l JOIN sharing USING (host, line) GROUP BY doc_id
 ), r AS (

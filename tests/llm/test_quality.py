@@ -31,13 +31,21 @@ def normal(line: str) -> str:
     return " ".join(WORDS.findall(re.sub("[0-9]", "0", line.lower())))
 
 
-def removed(docs: list[tuple]) -> list[int]:
-    texts = defaultdict(set)
-    for _, text, host in docs:
+def frequent(docs: list[tuple]) -> dict:
+    """Frequent lines of each host."""
+    having, hosts = defaultdict(set), defaultdict(set)
+    for doc, text, host in docs:
+        document = (doc, text if doc is None else None)
+        hosts[host or ""].add(document)
         for x in (text or "").split("\n"):
             if normal(x):
-                texts[host or "", normal(x)].add(text)
-    return [sum(len(normal(x).split(" ")) for x in (text or "").split("\n") if normal(x) and len(texts[host or "", normal(x)]) > Q.MAX_SHARING) for _, text, host in docs]
+                having[host or "", normal(x)].add(document)
+    return {k for k, v in having.items() if len(v) > max(Q.MAX_SHARING, Q.MAX_SHARE * len(hosts[k[0]]))}
+
+
+def removed(docs: list[tuple]) -> list[int]:
+    often = frequent(docs)
+    return [sum(len(normal(x).split(" ")) for x in (text or "").split("\n") if (host or "", normal(x)) in often) for _, text, host in docs]
 
 
 def check(spark, docs, schema="doc_id long, text string, source string"):
@@ -66,9 +74,30 @@ def test_frequent_lines_deplete(spark):
     assert kept == {100, 101}
 
 
-def test_copies_do_not_make_a_line_frequent(spark):
-    docs = [(i, "the same document of a good ten words or more here", "host") for i in range(60)]
-    assert Q.rules(spark.createDataFrame(docs, "doc_id long, text string, source string")).where("kept").count() == 60
+def test_documents_are_counted_not_rows_nor_texts(spark):
+    text = "the same document of a good ten words or more here"
+    schema = "doc_id long, text string, source string"
+    assert Q.rules(spark.createDataFrame([(i, text, "host") for i in range(60)], schema)).where("kept").count() == 0
+    assert Q.rules(spark.createDataFrame([(i % 20, text, "host") for i in range(60)], schema)).where("kept").count() == 60
+    check(spark, [(i % 30, f"{text}\nnumber {'x' * (i % 7)} of it", "host") for i in range(60)] + [(None, f"{text} again {k}", "host") for k in "abc"])
+
+
+def test_a_line_of_a_large_host(spark):
+    docs = [(i, ("a line that a few dozen documents have\n" if i < 25 else "") + " ".join(f"w{i}x{k}" for k in range(12)), "host") for i in range(3000)]
+    docs += [(5000 + i, d[1], "small") for i, d in enumerate(docs[:25])]
+    check(spark, docs)
+
+
+def test_cleaned_texts(spark):
+    menu, rest = "Home | News 7 | About", [" ".join(f"own{i}x{k}" for k in range(30)) for i in range(30)]
+    docs = [(i, f"{menu}\n{rest[i]}\n\n  {menu.upper()}", "host", 5) for i in range(30)]
+    docs += [(100, None, "host", 5), (101, f"{menu}\nfour own words here", "host", 5), (102, f"{menu}\n{rest[0]}", None, 5), (0, docs[0][1], "host", 6)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, source string, n_words long")
+    got = Q.clean(d)
+    assert got.columns == d.columns
+    want = [(i, f"{rest[i]}\n", "host", 5) for i in range(30)] + [(102, docs[32][1], None, 5), (0, f"{rest[0]}\n", "host", 6)]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert {r.doc_id for r in Q.rules(d).where("kept").collect()} == {r.doc_id for r in got.collect()}
 
 
 def test_edge_rows(spark):
