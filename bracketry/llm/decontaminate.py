@@ -1,11 +1,11 @@
 """Benchmark decontamination with SimHash fingerprints of item-sized windows.
 
-DataFrame functions alone. An item and a window of a document are compared by their shingles of five words. A window can reach
-the similarity only if enough of its shingles stand in the benchmark, and such windows are found by one pass over the
-documents' shingles. Each has a fingerprint; equal windows are one. Fingerprints are looked up in an index of blocks: with
-the radius shared out over the blocks, two fingerprints within it are within a block's share in one block at least, and
-every item is listed under all values within that share of its own. What is found is verified by the exact similarity
-of the shingles weighted by their counts.
+DataFrame functions alone. An item and a window of a document are compared by their shingles of five words. Every window that
+has as many shingles as an item, and one of the benchmark's among them, has a fingerprint: a window without one has no
+similarity at all. Equal windows are one. Fingerprints are looked up in an index of blocks: block thresholds add up to the
+radius less the blocks but one, so that two fingerprints within the radius are within the threshold of one block at least,
+and every item is listed under all values that near to its own. What the index finds is verified by the exact similarity of
+the shingles weighted by their counts.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from .common import materialize
 SHINGLE, SIMILARITY = 5, 0.8
 #: The radius leaves about one pair in seventy of similarity 0.8 outside; above 0.85 it leaves fewer than one in a thousand.
 RADIUS, BLOCKS, BLOCK_BITS = 16, 4, 16
+#: Bits in which a block may differ. They add up to RADIUS - BLOCKS + 1: more in every block make more than RADIUS in all.
+THRESHOLDS = (4, 3, 3, 3)
 #: Shingles of a benchmark that are broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -45,28 +47,23 @@ def weighted_similarity(a: str, b: str) -> Column:
     return F.expr(f"aggregate(array({both}), 0D, (s, n) -> n / (size({a}) + size({b}) - n))")
 
 
-def _needed(n: Column, m: Column) -> Column:
-    """Shingles in common from which n and m shingles can reach the similarity."""
-    return F.ceil(SIMILARITY * (n + m) / (1 + SIMILARITY) - 1e-9).cast("int")
-
-
 def items_of(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     items = benchmark.select(F.col(id_col).alias("item"), shingles(F.col(text_col)).alias("own")).where(F.size("own") > 0)
     return materialize(items.withColumn("own_print", fingerprint("own")), "items")
 
 
 def windows_of(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(d, t, windows): the windows of each document in which enough shingles are some item's."""
-    wanted = items.select("item", F.size("own").alias("n"), F.explode(F.array_distinct("own")).alias("h"))
+    """(d, t, windows): the windows of each document, as many shingles as some item has, in which one of that item's is."""
+    wanted = items.select(F.size("own").alias("n"), F.explode(F.array_distinct("own")).alias("h")).distinct()
     if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     placed = docs.select("d", "t", F.size("all").alias("total"), F.posexplode("all").alias("pos", "h"))
-    found = placed.join(wanted, "h").groupBy("d", "t", "item", "n", "total").agg(F.array_sort(F.collect_set("pos")).alias("p"))
-    found = found.withColumn("m", F.least("n", "total")).withColumn("k", _needed(F.col("n"), F.col("m"))).where(F.size("p") >= F.col("k"))
-    spans = F.transform(F.sequence(F.lit(0), F.size("p") - F.col("k")), lambda j: F.struct(F.greatest(F.lit(0), F.get("p", j + F.col("k") - 1) - F.col("m") + 1).alias("a"), F.least(F.get("p", j), F.col("total") - F.col("m")).alias("b")))
+    found = placed.join(wanted, "h").groupBy("d", "t", F.least("n", "total").alias("m"), "total").agg(F.array_sort(F.collect_set("pos")).alias("p"))
+    # the windows that begin after the hit before and reach this one
+    first = lambda x, j: F.greatest(F.lit(0), x - F.col("m") + 1, F.coalesce(F.get("p", j - 1), F.lit(-1)) + 1)
+    spans = F.transform("p", lambda x, j: F.struct(first(x, j).alias("a"), F.least(x, F.col("total") - F.col("m")).alias("b")))
     starts = F.flatten(F.transform(F.filter(spans, lambda s: s["a"] <= s["b"]), lambda s: F.sequence(s["a"], s["b"])))
-    each = found.select("d", "t", "m", F.explode(F.array_distinct(starts)).alias("s"))
-    return materialize(each.groupBy("d", "t").agg(F.collect_set(F.struct("s", "m")).alias("windows")), "windows")
+    return materialize(found.select("d", "t", "m", starts.alias("starts")).where(F.size("starts") > 0), "windows")
 
 
 def within(bits: int, share: int) -> list[int]:
@@ -80,10 +77,9 @@ def _block(value: Column, k: int) -> Column:
 
 def lookup(prints: DataFrame, items: DataFrame) -> DataFrame:
     """(print, item) for every fingerprint and item within RADIUS. prints has one row for each fingerprint."""
-    share = RADIUS // BLOCKS
-    around = F.array(*[F.lit(x) for x in within(BLOCK_BITS, share)])
+    around = F.array(*[F.array(*[F.lit(x) for x in within(BLOCK_BITS, t)]) for t in THRESHOLDS])
     of = lambda c: F.posexplode(F.array(*[_block(F.col(c), k) for k in range(BLOCKS)])).alias("block", "value")
-    index = items.select("item", "own_print", of("own_print")).select("item", "own_print", "block", F.explode(F.transform(around, lambda x: x.bitwiseXOR(F.col("value")))).alias("value"))
+    index = items.select("item", "own_print", of("own_print")).select("item", "own_print", "block", F.explode(F.transform(F.get(around, F.col("block")), lambda x: x.bitwiseXOR(F.col("value")))).alias("value"))
     # the planner takes the listed values for as small as the items
     found = prints.select("print", of("print")).join(index.hint("merge"), ["block", "value"])
     return found.where(F.bit_count(F.col("print").bitwiseXOR(F.col("own_print"))) <= RADIUS).select("print", "item").distinct()
@@ -99,9 +95,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = items_of(benchmark, item_col, item_text_col)
     texts = docs.select(F.col(id_col).alias("d"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("x"))
     near = windows_of(texts.select("d", "t", shingles(F.col("x")).alias("all")), items)
-    same = texts["d"].eqNullSafe(near["d"]) & (texts["t"] == near["t"])
-    chosen = texts.join(near, same).select(near["d"], near["t"], "windows", shingles(F.col("x")).alias("all"))
-    cut = chosen.select("d", "t", F.explode(F.transform("windows", lambda w: F.struct(w["s"].alias("s"), F.slice("all", w["s"] + 1, w["m"]).alias("own")))).alias("w"))
+    of = near.groupBy("d", "t").agg(F.collect_list(F.struct("m", "starts")).alias("windows"))
+    same = texts["d"].eqNullSafe(of["d"]) & (texts["t"] == of["t"])
+    chosen = texts.join(of, same).select(of["d"], of["t"], F.explode("windows").alias("w"), shingles(F.col("x")).alias("all"))
+    cut = chosen.select("d", "t", F.explode(F.transform("w.starts", lambda s: F.struct(s.alias("s"), F.slice("all", s + 1, F.col("w.m")).alias("own")))).alias("w"))
     cut = cut.select("d", "t", "w.s", "w.own", F.xxhash64("w.own").alias("k1"), F.xxhash64(F.lit("window"), "w.own").alias("k2"))
     cut = materialize(cut.dropDuplicates(["d", "t", "s", "k1", "k2"]), "cut")
     unlike = cut.groupBy("k1", "k2").agg(F.any_value("own").alias("w_own"))

@@ -87,6 +87,22 @@ def test_the_index_finds_all_within_the_radius(spark):
     assert got == {(p, k) for p in prints for k, x in enumerate(items) if gap(p, x) <= D.RADIUS}
 
 
+def test_recall_of_the_radius(spark):
+    r = random.Random(5)
+    items = {k: [f"i{k}w{j}" for j in range(r.choice([40, 80, 150]))] for k in range(6)}
+    docs = {}
+    for d in range(400):
+        own = list(items[d % 6])
+        for _ in range(1 + d % 4):
+            own[r.randrange(len(own))] = f"edit{r.random()}"
+        docs[d] = " ".join([f"d{d}a{j}" for j in range(20)] + own + [f"d{d}b{j}" for j in range(20)])
+    items = {k: " ".join(v) for k, v in items.items()}
+    got = {(x.doc_id, x.item_id) for x in D.contaminated(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()}
+    want = brute(docs, items)
+    assert len(want) > 150 and got <= want
+    assert len(got) >= 0.97 * len(want)
+
+
 def test_fingerprint_is_the_majority(spark):
     rows = [[1, 2, 3], [-1, 5, 7, 7], [2**62, -(2**63)]]
     got = spark.createDataFrame([(x,) for x in rows], "h array<long>").select(D.fingerprint("h").alias("f")).collect()
