@@ -19,20 +19,24 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import left_join_by_size, materialize
 
 BUCKETS = 1 << 15
-#: Languages need so many labelled documents; the most frequent MAX_LANGUAGES are told apart.
-MIN_DOCS, MAX_LANGUAGES = 3, 64
+#: Labelled documents that a language needs.
+MIN_DOCS = 3
 #: Trigrams of a word go together: what they say counts in part.
 TEMPER = 0.3
 #: Pseudo-counts: of a suffix towards all, of a host towards its suffix, and of declarations that are right.
 SUFFIX_PULL, HOST_PULL, DECLARED_PULL, DECLARED_RIGHT = 20.0, 10.0, 20.0, 0.8
 MEMO = 300_000
+#: Hosts, suffixes or declarations whose counts are broadcast whole; of more, the frequent ones are, the rest is joined by a shuffle.
+BROADCAST_ROWS = 2_000
 
-HIDDEN = regex.compile(r"(?is)<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>")
+#: What hides text, and where each kind of it ends.
+HIDING = regex.compile(r"(?i)<(!--|script\b|style\b|noscript\b|template\b)")
+ENDS = {"!--": regex.compile("-->")} | {k: regex.compile(rf"(?i)</{k}\s*>") for k in ("script", "style", "noscript", "template")}
 TAG = regex.compile(r"<[^>]*>")
-DECLARED = regex.compile(r"""(?i)<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z]{2,8})|<meta\b[^>]*?content-language[^>]*?content\s*=\s*["']?([A-Za-z]{2,8})""")
+DECLARED = regex.compile(r"""(?i)<html\b[^<>]*?\blang\s*=\s*["']?([A-Za-z]{2,8})|<meta\b[^<>]*?content-language[^<>]*?content\s*=\s*["']?([A-Za-z]{2,8})""")
 
 
 def words_of(text: str) -> list[bytes]:
@@ -48,7 +52,19 @@ def buckets_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def visible(page: str) -> str:
-    return html.unescape(TAG.sub(" ", HIDDEN.sub(" ", page)))
+    """Text of a page without comments, scripts and the like; what never ends hides nothing but its tag. One pass, however many do not end."""
+    out, at, pos, endless = [], 0, 0, set()
+    while m := HIDING.search(page, pos):
+        kind, pos = m[1].lower(), m.end()
+        end = None if kind in endless else ENDS[kind].search(page, pos)
+        if end:
+            out.append(page[at : m.start()])
+            at = pos = end.end()
+        else:
+            endless.add(kind)
+    text = " ".join([*out, page[at:]])
+    last = text.rfind(">") + 1
+    return html.unescape(TAG.sub(" ", text[:last]) + text[last:])
 
 
 def read_page(page: Column) -> Column:
@@ -67,9 +83,12 @@ def read_page(page: Column) -> Column:
 
 
 def learn(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages and the log-probability of every bucket in each, from all rows of (text, lang)."""
+    """Languages and the log-probability of every bucket in each, from all rows of (text, lang).
+
+    Every language of MIN_DOCS documents is told apart. What comes to the driver grows with the languages, not with the rows.
+    """
     sizes = labelled.where("lang is not null and text is not null").groupBy("lang").count().where(F.col("count") >= MIN_DOCS)
-    names = sorted(r["lang"] for r in sizes.orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect())
+    names = sorted(r["lang"] for r in sizes.collect())
 
     def partial(batches):
         own: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(BUCKETS, np.int64))
@@ -100,7 +119,7 @@ def likelihoods(text: Column, model: np.ndarray, spark) -> Column:
     """array<double>: tempered log-likelihood of a text in each language; all 0 for a null or empty text."""
     send = spark.sparkContext.broadcast(model)
     memo: dict[bytes, int] = {}
-    rows: list[np.ndarray] = [np.zeros((0, model.shape[1]))]
+    rows = [np.zeros((1 << 12, model.shape[1]))]
 
     @F.arrow_udf("array<double>")
     def judged(texts: pa.Array) -> pa.Array:
@@ -110,12 +129,14 @@ def likelihoods(text: Column, model: np.ndarray, spark) -> Column:
             lists = [words_of(t or "") for t in values[k : k + 256]]
             if len(memo) > MEMO:
                 memo.clear()
-                rows[0] = rows[0][:0]
             new = [w for w in set(itertools.chain.from_iterable(lists)) if w not in memo]
             if new:
+                known, upto = len(memo), len(memo) + len(new)
+                if upto > len(rows[0]):
+                    rows[0] = np.concatenate([rows[0], np.zeros((upto, model.shape[1]))])
                 at, starts = buckets_of(new)
-                memo.update(zip(new, range(len(memo), len(memo) + len(new)), strict=True))
-                rows[0] = np.concatenate([rows[0], np.add.reduceat(send.value[at], starts, axis=0)])
+                rows[0][known:upto] = np.add.reduceat(send.value[at], starts, axis=0)
+                memo.update(zip(new, range(known, upto), strict=True))
             for ws in lists:
                 own = np.fromiter(map(memo.__getitem__, ws), np.int64, len(ws))
                 out.append((TEMPER * rows[0][own].sum(0)).tolist())
@@ -145,8 +166,9 @@ def fuse(judged: DataFrame, names: list[str]) -> DataFrame:
     total = d.agg(*[F.sum(F.get("p", i)) for i in range(n)]).first()
     every = np.array([x or 0.0 for x in total]) + 1.0
     wide = F.array(*[F.lit(float(x)) for x in every / every.sum()])
-    for key in ("host", "suffix", "declared"):
-        d = d.join(d.where(F.col(key).isNotNull()).groupBy(key).agg(sums().alias(f"by_{key}")), key, "left")
+    evidence = {k: materialize(d.where(F.col(k).isNotNull()).groupBy(k).agg(F.count("*").alias("_n"), sums().alias(f"by_{k}")), k) for k in ("host", "suffix", "declared")}
+    for key, counts in evidence.items():
+        d = left_join_by_size(d, counts, [key], "_n", BROADCAST_ROWS)
     own = lambda c, i: F.coalesce(F.greatest(F.get(c, i) - F.get("p", i), F.lit(0.0)), F.lit(0.0))
     size = lambda c: F.coalesce(F.greatest(F.aggregate(c, F.lit(0.0), lambda a, y: a + y) - 1, F.lit(0.0)), F.lit(0.0))
     suffix = F.transform(wide, lambda w, i: (own("by_suffix", i) + SUFFIX_PULL * w) / (size("by_suffix") + SUFFIX_PULL))
