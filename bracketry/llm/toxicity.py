@@ -7,6 +7,7 @@ phrase don't count. The lexicon, its weights and further exception phrases are l
 
 from __future__ import annotations
 
+import bisect
 import functools
 import itertools
 import math
@@ -25,14 +26,16 @@ from pyspark.sql import functions as F
 from .common import crc_mod, frugal, materialize, release
 
 #: Signs and digits read as letters, and letters of other scripts that look like Latin ones.
-SIGNS = dict(zip("013457@$!", "oieastasi", strict=True))
-LOOK_ALIKE = dict(
-    zip(
-        "абвгдеёзикмнорстухѕіјԁԛԝɡαβγεηικνορτυχωςıℓ",
-        "a6brдeeзиkmhopctyxsijdqwgabyenikvoptuxwcil".replace("д", "d").replace("з", "3").replace("и", "u").replace("6", "b"),
-        strict=True,
-    )
-)
+SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
+LOOK_ALIKE = {
+    # Cyrillic
+    "а": "a", "б": "b", "в": "b", "г": "r", "д": "d", "е": "e", "ё": "e", "з": "3", "и": "u", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p",
+    "с": "c", "т": "t", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "ԁ": "d", "ԛ": "q", "ԝ": "w",
+    # Greek
+    "α": "a", "β": "b", "γ": "y", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ω": "w", "ς": "c",
+    # Latin
+    "ɡ": "g", "ı": "i", "ℓ": "l",
+}
 #: Phrases in which a word of abuse is none.
 PHRASES = ("trash can", "trash bin", "clown fish", "idiot proof", "pond scum", "soap scum", "stupid question")
 #: Labelled rows from which the lexicon is learned, at most; a sample by hash of the id where there are more.
@@ -49,6 +52,9 @@ WORD = regex.compile(r"\p{L}+")
 
 
 def _folded(c: str) -> str:
+    """What a character counts as; nothing if it can't be seen."""
+    if unicodedata.category(c) == "Cf":
+        return ""
     c = unicodedata.normalize("NFKD", c).casefold()
     return "".join(LOOK_ALIKE.get(x, x) for x in c if not unicodedata.combining(x)) or " "
 
@@ -65,14 +71,18 @@ SIGNED = re.compile(r"(?<!\S)[^\s013457@$!]*+[013457@$!]\S*")
 BESIDE = regex.compile(r"\p{L}[013457@$!]|[013457@$!]\p{L}")
 
 
+#: Stands in _ones() for what can't be seen.
+UNSEEN = "\x01"
+
+
 @functools.cache
 def _ones() -> np.ndarray:
-    """Code points that fold to one other, in a row; 0 where a code point folds to none or several."""
+    """Code points that fold to one other, in a row; 0 where a code point folds to several, UNSEEN where to none."""
     codes = np.zeros(0x110000, "<u4")
     for c in itertools.chain(range(1, 0xD800), range(0xE000, 0x20000)):
         out = _folded(chr(c))
-        if len(out) == 1:
-            codes[c] = ord(out)
+        if len(out) < 2:
+            codes[c] = ord(out or UNSEEN)
     return codes
 
 
@@ -86,7 +96,7 @@ def _spelled(m: re.Match) -> str:
 
 
 def fold(text: str) -> str:
-    """Case, look-alike letters and signs folded; a sign or digit counts as a letter only within a word that has letters.
+    """Case, look-alike letters and signs folded, unseen characters left out; a sign or digit counts as a letter only within a word that has letters.
 
     A one may stand for i or l, so that all three become i.
     """
@@ -95,7 +105,7 @@ def fold(text: str) -> str:
     else:
         text = text.replace("ß", "ss")
         codes = _ones()[np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")]
-        low = codes.tobytes().decode("utf-32-le") if codes.all() else text.translate(FOLD)
+        low = (codes.tobytes().decode("utf-32-le") if codes.all() else text.translate(FOLD)).replace(UNSEEN, "")
     return SIGNED.sub(_spelled, low).replace("l", "i")
 
 
@@ -137,7 +147,11 @@ def matches(text: str, weights, phrases) -> tuple[int, float]:
             continue
         (found if w is not None else shields).append((start, end, w))
     if shields and found:
-        found = [x for x in found if not any(s <= x[0] and x[1] <= e for s, e, _ in shields)]
+        # the furthest end of the phrases that begin no later than each one
+        shields.sort()
+        begins = [s for s, _, _ in shields]
+        ends = list(itertools.accumulate((e for _, e, _ in shields), max))
+        found = [x for x in found if not ((k := bisect.bisect_right(begins, x[0])) and x[1] <= ends[k - 1])]
     return len(found), sum(w for _, _, w in found)
 
 
