@@ -6,33 +6,39 @@ of its unit and, in a class, its share there; tokens that training lacks are tog
 share follows from the tokens seen once. Products of all contexts with all units give the exact normaliser of each context
 once, so that the log-probability of every token is a dot product less a table entry.
 
-Counts cover all training documents. Replicas are trained on the partitions and averaged, a slice of the documents a round,
-every training document in one slice. Only what a constant bounds comes to the driver: the FREQUENT most frequent tokens,
-the parameters and figures of classes. Counts of all other tokens stay a table that the documents' rare tokens are joined with.
+Counts cover all training documents. Each text is cut into units once, in a stored table that training and scoring read. Every
+training document is in one round and in one shard of it, by a hash; shards have about SHARD_TOKENS tokens, so that their
+number grows with the input, and a replica is trained on each. Replicas are averaged by their tokens, a tree of sums, after each
+round. Neither partitions nor cores change a score. Only what a constant bounds comes to the driver: the FREQUENT most frequent
+tokens, the parameters and figures of classes. Counts of all other tokens stay a table that the documents' rare tokens are
+joined with.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 import zlib
 from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_mod, materialize
 
 #: No word has a line feed in it.
 END = "\n"
-OWN_UNITS, CLASSES, WIDTH = 448, 64, 16
-UNITS = OWN_UNITS + CLASSES
+#: Own units are the most frequent tokens that make up UNIT_SHARE of all, MAX_OWN at most: exact normalisers take the cube of units.
+UNIT_SHARE, MAX_OWN, CLASSES, WIDTH = 0.7, 960, 64, 16
 FREQUENT = 200_000
-ROUNDS, BATCH, NOISE, RATE, SEED = 3, 1024, 48, 0.3, 7
-#: Tokens below which a replica goes over its slice again, up to EPOCHS times.
-FEW, EPOCHS = 300 * BATCH, 8
+#: Rounds, each over its share of the documents, passes over every chunk of a round, and tokens of a chunk and of a shard.
+ROUNDS, PASSES, CHUNK, SHARD_TOKENS = 3, 3, 1 << 16, 1 << 20
+BATCH, NOISE, RATE, SEED = 1024, 48, 0.3, 7
+#: Sums of replicas that one task adds up.
+FAN = 16
 #: Distinct tokens that a task counts before it hands on what it has.
 HELD = 400_000
 
@@ -78,6 +84,11 @@ class Vocabulary:
     unit_count: np.ndarray
     total: int
     distinct: int
+    own: int
+
+    @property
+    def units(self) -> int:
+        return self.own + CLASSES
 
     @property
     def log_total(self) -> float:
@@ -105,16 +116,17 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
         rows.insert(0, (END.encode(), 0))
     index = {t: i for i, (t, _) in enumerate(rows)}
     count = np.array([c for _, c in rows], np.int64)
-    unit = np.array([i if i < OWN_UNITS else OWN_UNITS + _class(t) for i, (t, _) in enumerate(rows)], np.int64)
-    head = [t.decode() for t, _ in rows[:OWN_UNITS]]
+    own = min(MAX_OWN, len(rows), 1 + int(np.searchsorted(np.cumsum(count), UNIT_SHARE * int(total))))
+    unit = np.array([i if i < own else own + _class(t) for i, (t, _) in enumerate(rows)], np.int64)
+    head = [t.decode() for t, _ in rows[:own]]
     k = (F.crc32(F.substring(F.col("token").cast("binary"), 1, 3)) % CLASSES).alias("k")
     classes = counts.where(~F.col("token").isin(head)).groupBy(k).agg(F.sum("c").alias("c"), F.count(F.when(F.col("c") == 1, 1)).alias("once")).collect()
     class_total, once = np.zeros(CLASSES), np.zeros(CLASSES)
     for r in classes:
         class_total[r["k"]], once[r["k"]] = r["c"], r["once"]
     unknown = np.where(class_total > 0, (once + 0.5) / (class_total + 1), 1.0)
-    unit_count = np.concatenate([count[:OWN_UNITS], np.zeros(max(0, OWN_UNITS - len(count)), np.int64), class_total]).astype(float)
-    return Vocabulary(index, count, unit, class_total, unknown, unit_count, int(total), int(distinct))
+    unit_count = np.concatenate([count[:own], class_total]).astype(float)
+    return Vocabulary(index, count, unit, class_total, unknown, unit_count, int(total), int(distinct), own)
 
 
 @dataclass
@@ -129,19 +141,30 @@ class Parameters:
 
     @staticmethod
     def of(x: np.ndarray) -> Parameters:
-        a, b = UNITS * WIDTH, 2 * UNITS * WIDTH
+        n = (len(x) - 2 * WIDTH) // (2 * WIDTH + 1)
+        a, b = n * WIDTH, 2 * n * WIDTH
         x = x.astype(np.float32)
-        return Parameters(x[:a].reshape(UNITS, WIDTH).copy(), x[a:b].reshape(UNITS, WIDTH).copy(), x[b : b + 2 * WIDTH].reshape(2, WIDTH).copy(), x[b + 2 * WIDTH :].copy())
+        return Parameters(x[:a].reshape(n, WIDTH).copy(), x[a:b].reshape(n, WIDTH).copy(), x[b : b + 2 * WIDTH].reshape(2, WIDTH).copy(), x[b + 2 * WIDTH :].copy())
+
+
+def noise_of(v: Vocabulary) -> np.ndarray:
+    return (v.unit_count + 0.5) / (v.unit_count.sum() + 0.5 * v.units)
 
 
 def start(v: Vocabulary) -> Parameters:
-    r = np.random.default_rng(SEED)
-    bias = np.log((v.unit_count + 0.5) / (v.unit_count.sum() + 0.5 * UNITS))
-    return Parameters(r.normal(0, 0.3, (UNITS, WIDTH)).astype(np.float32), r.normal(0, 0.1, (UNITS, WIDTH)).astype(np.float32), np.ones((2, WIDTH), np.float32), bias.astype(np.float32))
+    r, n = np.random.default_rng(SEED), v.units
+    return Parameters(r.normal(0, 0.3, (n, WIDTH)).astype(np.float32), r.normal(0, 0.1, (n, WIDTH)).astype(np.float32), np.ones((2, WIDTH), np.float32), np.log(noise_of(v)).astype(np.float32))
+
+
+def contexts(unit: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the units of some texts in a row: text number and the units one and two before, the end where a text has none."""
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(unit)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return text, np.where(place >= 1, np.roll(unit, 1), 0), np.where(place >= 2, np.roll(unit, 2), 0)
 
 
 def units_of(v: Vocabulary, texts: list[str | None]):
-    """All tokens of some texts in a row: text number, index of a frequent token or -1, unit, and the units before it."""
+    """All tokens of some texts in a row, how many each text has, index of a frequent token or -1, unit, and places of rare ones."""
     lists = [tokens(t) for t in texts]
     flat = list(itertools.chain.from_iterable(lists))
     sizes = np.fromiter(map(len, lists), np.int64, len(lists))
@@ -149,34 +172,28 @@ def units_of(v: Vocabulary, texts: list[str | None]):
     unit = v.unit[index]
     rare = np.flatnonzero(index < 0)
     if len(rare):
-        unit[rare] = OWN_UNITS + np.fromiter((_class(flat[i]) for i in rare.tolist()), np.int64, len(rare))
-    text = np.repeat(np.arange(len(lists)), sizes)
-    place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    one = np.where(place >= 1, np.roll(unit, 1), 0)
-    two = np.where(place >= 2, np.roll(unit, 2), 0)
-    return flat, text, index, unit, one, two, rare
+        unit[rare] = v.own + np.fromiter((_class(flat[i]) for i in rare.tolist()), np.int64, len(rare))
+    return flat, sizes, index, unit, rare
 
 
 class Replica:
     """Noise-contrastive training with AdaGrad steps; noise is drawn from the units' shares, the same for a batch."""
 
-    def __init__(self, p: Parameters, v: Vocabulary, seed: int):
+    def __init__(self, p: Parameters, noise: np.ndarray, seed: int):
         self.p, self.r = p, np.random.default_rng(seed)
-        self.noise = (v.unit_count + 0.5) / (v.unit_count.sum() + 0.5 * UNITS)
-        self.log_noise = np.log(NOISE * self.noise).astype(np.float32)
-        self.cut = np.cumsum(self.noise)
+        self.log_noise = np.log(NOISE * noise).astype(np.float32)
+        self.cut = np.cumsum(noise)
         self.sums = [np.full_like(x, 1e-4) for x in (p.context, p.target, p.position, p.bias)]
 
     def _step(self, k: int, x: np.ndarray, grad: np.ndarray) -> None:
         self.sums[k] += grad * grad
         x += RATE * grad / np.sqrt(self.sums[k])
 
-    @staticmethod
-    def _scatter(at: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    def _scatter(self, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
         order = np.argsort(at)
         own = at[order]
         first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-        out = np.zeros((UNITS, rows.shape[1]), np.float32)
+        out = np.zeros((len(self.cut), rows.shape[1]), np.float32)
         out[own[first]] = np.add.reduceat(rows[order], first, axis=0)
         return out
 
@@ -188,7 +205,7 @@ class Replica:
 
     def batch(self, unit: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
         p, n = self.p, len(unit)
-        noise = np.minimum(np.searchsorted(self.cut, self.r.random(NOISE)), UNITS - 1)
+        noise = np.minimum(np.searchsorted(self.cut, self.r.random(NOISE)), len(self.cut) - 1)
         a, b = p.context[one], p.context[two]
         guess = p.position[0] * a + p.position[1] * b
         own = p.target[unit]
@@ -201,7 +218,7 @@ class Replica:
         d_guess = good[:, None] * own - bad @ p.target[noise]
         d_target = self._scatter(unit, good[:, None] * guess)
         np.subtract.at(d_target, noise, bad.T @ guess)
-        d_bias = np.bincount(unit, good, UNITS).astype(np.float32)
+        d_bias = np.bincount(unit, good, len(self.cut)).astype(np.float32)
         np.subtract.at(d_bias, noise, bad.sum(0))
         d_context = self._scatter(np.concatenate([one, two]), np.concatenate([d_guess * p.position[0], d_guess * p.position[1]]))
         d_position = np.stack([(d_guess * a).sum(0), (d_guess * b).sum(0)])
@@ -209,50 +226,69 @@ class Replica:
             self._step(k, x, g / n)
 
 
-def train(docs: DataFrame, v: Vocabulary, id_col: str, text_col: str) -> Parameters:
-    """Rounds over slices of the training documents; replicas of the partitions are averaged by their tokens."""
-    spark = docs.sparkSession
-    words = spark.sparkContext.broadcast(v)
-    now = start(v)
+def _replicas(held, noise):
+    """Rows (shard, units), those of a shard together, to one row (shard, n, x) for each shard: tokens and parameters times tokens."""
+
+    def trained(batches):
+        rows = ((s, u) for b in batches for s, u in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        for shard, own in itertools.groupby(rows, lambda r: r[0]):
+            replica, n, kept, size = Replica(Parameters.of(held.value), noise.value, SEED + shard), 0, [], 0
+
+            def learn(kept, replica=replica):
+                units = [np.frombuffer(u, "<u2").astype(np.int64) for u in kept]
+                unit = np.concatenate(units)
+                _, one, two = contexts(unit, np.fromiter(map(len, units), np.int64, len(units)))
+                for _ in range(PASSES):
+                    replica.learn(unit, one, two)
+
+            for _, u in own:
+                kept.append(u)
+                size += len(u) // 2
+                if size >= CHUNK:
+                    learn(kept)
+                    n, kept, size = n + size, [], 0
+            if kept:
+                learn(kept)
+                n += size
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "n": pa.array([n], pa.int64()), "x": pa.array([(replica.p.flat() * n).astype("<f8").tobytes()], pa.binary())})
+
+    return trained
+
+
+SUMS = "shard long, n long, x binary"
+
+
+def _added(key, rows):
+    order = np.argsort(rows["shard"].to_numpy(zero_copy_only=False))
+    x = np.sum([np.frombuffer(rows["x"][int(i)].as_py(), "<f8") for i in order], axis=0)
+    return pa.table({"shard": [key[0].as_py()], "n": [sum(rows["n"].to_pylist())], "x": pa.array([x.astype("<f8").tobytes()], pa.binary())}, schema=pa.schema([("shard", pa.int64()), ("n", pa.int64()), ("x", pa.binary())]))
+
+
+def train(known: DataFrame, v: Vocabulary) -> Parameters:
+    """Parameters after ROUNDS rounds; known has the units and the hash (units, h) of every training document."""
+    spark = known.sparkSession
+    noise, now = spark.sparkContext.broadcast(noise_of(v)), start(v)
+    shards = max(1, math.ceil(v.total / ROUNDS / SHARD_TOKENS))
     for r in range(ROUNDS):
         held = spark.sparkContext.broadcast(now.flat())
-
-        def replica(batches, r=r, held=held):
-            from pyspark import TaskContext
-
-            own, n, kept = None, 0, []
-            for b in batches:
-                texts = b.column(0).to_pylist()
-                for k in range(0, len(texts), 256):
-                    own = own or Replica(Parameters.of(held.value), words.value, SEED + 1000 * r + TaskContext.get().partitionId())
-                    _, _, _, unit, one, two, _ = units_of(words.value, texts[k : k + 256])
-                    own.learn(unit, one, two)
-                    n += len(unit)
-                    if n < FEW:
-                        kept.append((unit, one, two))
-            if own:
-                if n < FEW:
-                    few = [np.concatenate(x) for x in zip(*kept, strict=True)]
-                    for _ in range(min(EPOCHS, FEW // n) - 1):
-                        own.learn(*few)
-                x = own.p.flat()
-                yield pa.RecordBatch.from_pydict({"at": pa.array(np.arange(len(x) + 1), pa.int32()), "x": pa.array(np.append(x * n, n), pa.float64())})
-
-        slice_ = docs.where(F.pmod(F.xxhash64(id_col), F.lit(ROUNDS)) == r).select(text_col)
-        sums = slice_.mapInArrow(replica, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).collect()
-        if sums:
-            got = np.zeros(len(sums))
-            for at, x in sums:
-                got[at] = x
-            now = Parameters.of(got[:-1] / got[-1])
+        own = known.where(F.pmod("h", F.lit(ROUNDS)) == r).select(F.pmod(F.floor(F.col("h") / ROUNDS), F.lit(shards)).alias("shard"), "units", "h")
+        # rows in one order, whatever partitions they come from
+        dealt = own.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "h", "units").select("shard", "units")
+        sums, n = dealt.mapInArrow(_replicas(held, noise), SUMS), shards
+        while n > FAN:
+            n = math.ceil(n / FAN)
+            sums = sums.groupBy(F.pmod("shard", F.lit(n)).alias("shard_")).applyInArrow(_added, SUMS)
+        got = sorted(sums.collect())
+        if got:
+            now = Parameters.of(np.sum([np.frombuffer(row["x"], "<f8") for row in got], axis=0) / sum(row["n"] for row in got))
         held.unpersist()
-    words.unpersist()
+    noise.unpersist()
     return now
 
 
-def normalisers(docs: DataFrame, p: Parameters) -> np.ndarray:
+def normalisers(spark: SparkSession, p: Parameters) -> np.ndarray:
     """Log of the sum over all units for each pair of units before; a row of the table is one product of matrices."""
-    spark, flat = docs.sparkSession, p.flat()
+    flat, n = p.flat(), len(p.bias)
 
     def rows(batches):
         q = Parameters.of(flat)
@@ -264,37 +300,57 @@ def normalisers(docs: DataFrame, p: Parameters) -> np.ndarray:
                 z = np.log(np.exp(s - top).sum(1)) + top[:, 0]
                 yield pa.RecordBatch.from_pydict({"two": pa.array([two], pa.int32()), "z": pa.array([z.astype(np.float32)], pa.list_(pa.float32()))})
 
-    got = dict(spark.range(UNITS).mapInArrow(rows, "two int, z array<float>").collect())
-    return np.array([got[i] for i in range(UNITS)], np.float32)
+    got = dict(spark.range(n).mapInArrow(rows, "two int, z array<float>").collect())
+    return np.array([got[i] for i in range(n)], np.float32)
+
+
+UNITS = "units binary, n_tokens long, n_known long, base double, inside double, rare array<struct<token: string, m: long>>"
 
 
-def _scored(words, params, table):
+def _cut(words):
+    """Rows of a text, and others, to the others and UNITS: units and what frequent tokens add to figures."""
+
     def rows(batches):
-        v, p, z = words.value, Parameters.of(params.value), table.value
-        first, second = p.position[0] * p.context, p.position[1] * p.context
+        v = words.value
         base = np.log10(v.count + 0.1) - v.log_total
-        inside = np.where(v.unit < OWN_UNITS, 0.0, v.share(v.count, np.maximum(v.unit - OWN_UNITS, 0)))
+        inside = np.where(v.unit < v.own, 0.0, v.share(v.count, np.maximum(v.unit - v.own, 0)))
         for b in batches:
-            ids, texts, held = b.column(0), b.column(1).to_pylist(), b.column(2)
+            texts, others = b.column(0).to_pylist(), b.columns[1:]
             for k in range(0, len(texts), 256):
                 part = texts[k : k + 256]
-                flat, text, index, unit, one, two, rare = units_of(v, part)
-                s = np.einsum("ij,ij->i", first[one] + second[two], p.target[unit]) + p.bias[unit] - z[two, one]
-                known = index >= 0
+                flat, sizes, index, unit, rare = units_of(v, part)
+                text, known = np.repeat(np.arange(len(part)), sizes), index >= 0
                 add = lambda w, text=text, n=len(part): np.bincount(text, w, n)
-                score = add(s.astype(np.float64)) / np.log(10) + add(np.where(known, inside[index], 0.0))
                 lists: list[Counter] = [Counter() for _ in part]
                 for i in rare.tolist():
                     lists[text[i]][flat[i]] += 1
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        ids[k : k + 256], held[k : k + 256],
-                        pa.array(np.bincount(text, minlength=len(part)), pa.int64()), pa.array(add((known & (v.count[index] > 0)).astype(float)).astype(np.int64)),
-                        pa.array(add(np.where(known, base[index], 0.0))), pa.array(score),
-                        pa.array([[{"token": t.decode(), "m": m} for t, m in c.items()] for c in lists], pa.list_(pa.struct([("token", pa.string()), ("m", pa.int64())]))),
-                    ],
-                    ["id", "held_out", "n_tokens", "n_known", "base", "score", "rare"],
-                )
+                ends = np.cumsum(sizes) * 2
+                packed = unit.astype("<u2").tobytes()
+                made = [
+                    pa.array([packed[e - 2 * n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)], pa.binary()),
+                    pa.array(sizes), pa.array(add((known & (v.count[index] > 0)).astype(float)).astype(np.int64)),
+                    pa.array(add(np.where(known, base[index], 0.0))), pa.array(add(np.where(known, inside[index], 0.0))),
+                    pa.array([[{"token": t.decode(), "m": m} for t, m in c.items()] for c in lists], pa.list_(pa.struct([("token", pa.string()), ("m", pa.int64())]))),
+                ]
+                yield pa.RecordBatch.from_arrays([*(c[k : k + 256] for c in others), *made], [*b.schema.names[1:], "units", "n_tokens", "n_known", "base", "inside", "rare"])
+
+    return rows
+
+
+def _scored(params, table):
+    """Rows (row, units) to (row, score): log10 of the probability of a text's units."""
+
+    def rows(batches):
+        p, z = Parameters.of(params.value), table.value
+        first, second = p.position[0] * p.context, p.position[1] * p.context
+        for b in batches:
+            own, units = b.column(0), b.column(1).to_pylist()
+            for k in range(0, len(units), 256):
+                part = [np.frombuffer(u, "<u2").astype(np.int64) for u in units[k : k + 256]]
+                unit = np.concatenate(part)
+                text, one, two = contexts(unit, np.fromiter(map(len, part), np.int64, len(part)))
+                s = np.einsum("ij,ij->i", first[one] + second[two], p.target[unit]) + p.bias[unit] - z[two, one]
+                yield pa.RecordBatch.from_arrays([own[k : k + 256], pa.array(np.bincount(text, s.astype(np.float64), len(part)) / np.log(10))], ["row", "of_units"])
 
     return rows
 
@@ -303,24 +359,26 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row.
 
     A null text counts as empty and has the end token alone. Texts are scored whole. Rows with equal ids are rows of their
-    own. Without training documents every token is unknown. An empty table gives no rows.
+    own; those with equal texts as well have equal scores. Without training documents every token is unknown. An empty table
+    gives no rows. Other columns are not read.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (crc_mod(F.col(id_col), 10) == 0).alias("held_out"))
+    rows = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("id"), (crc_mod(F.col(id_col), 10) == 0).alias("held_out"), F.xxhash64(id_col, text_col).alias("h"))
     counts = count_tokens(rows.where(~F.col("held_out")).select("text"))
     v = vocabulary(counts)
-    p = train(rows.where(~F.col("held_out")), v, "id", "text")
     send = spark.sparkContext.broadcast
-    made = rows.mapInArrow(_scored(send(v), send(p.flat()), send(normalisers(docs, p))), f"id {dict(rows.dtypes)['id']}, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<token: string, m: long>>")
-    made = materialize(made.withColumn("row", F.monotonically_increasing_id()), "scored")
+    made = rows.mapInArrow(_cut(send(v)), f"id {dict(rows.dtypes)['id']}, held_out boolean, h long, {UNITS}")
+    made = materialize(made.withColumn("row", F.monotonically_increasing_id()), "units")
+    p = train(made.where(~F.col("held_out")), v)
+    scores = made.select("row", "units").mapInArrow(_scored(send(p.flat()), send(normalisers(spark, p))), "row long, of_units double")
     rare = made.select("row", F.inline("rare")).join(counts, "token", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     k = F.crc32(F.substring(F.col("token").cast("binary"), 1, 3)) % CLASSES + 1
     total, unknown = (F.element_at(F.array(*[F.lit(float(x)) for x in xs]), k.cast("int")) for xs in (v.class_total, v.class_unknown))
     share = F.when(F.col("c") > 0, F.log10((1 - unknown) * F.col("c") / total)).otherwise(F.log10(unknown))
     sums = rare.groupBy("row").agg(F.sum(F.col("m") * (F.log10(F.col("c") + 0.1) - v.log_total)).alias("b"), F.sum(F.col("m") * share).alias("s"), F.sum(F.when(F.col("c") > 0, F.col("m"))).alias("n"))
-    out = made.drop("rare").join(sums, "row", "left")
+    out = made.drop("rare", "units").join(scores, "row").join(sums, "row", "left")
     zero = F.lit(0.0)
     return out.select(
         F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("n", F.lit(0))).alias("n_known"), F.lit(v.total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("b", zero)).alias("base_score"), (F.col("score") + F.coalesce("s", zero)).alias("score"),
+        (F.col("base") + F.coalesce("b", zero)).alias("base_score"), (F.col("of_units") + F.col("inside") + F.coalesce("s", zero)).alias("score"),
     )

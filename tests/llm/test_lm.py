@@ -59,19 +59,68 @@ def test_held_out_text_is_predicted_better_than_by_counts(spark):
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
-def test_probabilities_add_up(spark):
+def fitted(spark, docs, monkeypatch):
+    """Scores of docs with what train() gave."""
+    seen, train = [], lm.train
+    monkeypatch.setattr(lm, "train", lambda known, v: seen.append((v, train(known, v))) or seen[-1][1])
+    rows = lm.score(docs).collect()
+    return rows, *seen[0]
+
+
+def test_scores_against_plain_probabilities(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").limit(60)
+    texts = dict(docs.collect())
+    rows, v, p = fitted(spark, spark.createDataFrame(list(texts.items()), docs.schema), monkeypatch)
+    train = Counter(t for d, text in texts.items() if zlib.crc32(str(d).encode()) % 10 for t in plain_tokens(text))
+    own = [t.decode() for t, i in v.index.items() if v.unit[i] < v.own]
+    klass = lambda t: zlib.crc32(t.encode()[:3]) % lm.CLASSES
+    size, once = Counter(), Counter()
+    for t, c in train.items():
+        if t not in own:
+            size[klass(t)] += c
+            once[klass(t)] += c == 1
+    place = {t: i for i, t in enumerate(own)}
+
+    def unit(t):
+        return place.get(t, v.own + klass(t))
+
+    def plain(text):
+        total, one, two = 0.0, 0, 0
+        for t in plain_tokens(text):
+            s = ((p.position[0] * p.context[one] + p.position[1] * p.context[two]) @ p.target.T + p.bias).astype(float)
+            total += s[unit(t)] - np.log(np.exp(s - s.max()).sum()) - s.max()
+            if t not in place:
+                k = klass(t)
+                unseen = (once[k] + 0.5) / (size[k] + 1) if size[k] else 1.0
+                total += math.log((1 - unseen) * train[t] / size[k] if train[t] else unseen)
+            one, two = unit(t), one
+        return total / math.log(10)
+
+    assert len(rows) == len(texts)
+    for r in rows[:40]:
+        assert r.score == pytest.approx(plain(texts[r.doc_id]), rel=1e-4)
+
+
+def test_partitions_change_no_score(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 5_000)
+    monkeypatch.setattr(lm, "FAN", 2)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    one, many = ({r.doc_id: r.score for r in lm.score(docs.repartition(n)).collect()} for n in (1, 8))
+    assert many == pytest.approx(one, rel=1e-6)
+
+
+def test_probabilities_add_up(spark, monkeypatch):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").where(crc_mod(lm.F.col("doc_id"), 10) != 0)
-    v = lm.vocabulary(lm.count_tokens(docs.select("text")))
-    p = lm.train(docs, v, "doc_id", "text")
-    z = lm.normalisers(docs, p)
-    for one, two in ((0, 0), (3, 7), (460, 500)):
+    _, v, p = fitted(spark, docs, monkeypatch)
+    z = lm.normalisers(spark, p)
+    for one, two in ((0, 0), (3, 7), (v.own + 12, v.own - 1)):
         s = (p.position[0] * p.context[one] + p.position[1] * p.context[two]) @ p.target.T + p.bias - z[two, one]
         assert np.exp(s.astype(float)).sum() == pytest.approx(1, abs=1e-4)
         # every known token, and in each class the one type that training lacks
         unit = np.exp(s.astype(float))
-        inside = np.where(v.unit < lm.OWN_UNITS, 0.0, v.share(v.count, np.maximum(v.unit - lm.OWN_UNITS, 0)))
+        inside = np.where(v.unit < v.own, 0.0, v.share(v.count, np.maximum(v.unit - v.own, 0)))
         known = (unit[v.unit] * 10**inside).sum()
-        unknown = (unit[lm.OWN_UNITS :] * v.class_unknown).sum()
+        unknown = (unit[v.own :] * v.class_unknown).sum()
         assert known + unknown == pytest.approx(1, abs=0.01)
 
 
