@@ -1,17 +1,20 @@
 """SimHash near-duplicates by the generalised pigeonhole principle.
 
 Bits that go together are put into one part. With a threshold for each part, the thresholds adding up to radius - parts + 1,
-any two fingerprints within the radius are within the threshold of some part. Thresholds are chosen by dynamic programming
-over the work that each part would give, estimated from counts over all fingerprints. Fingerprints are probed by signatures
-(a part's bits, less one bit where its threshold is 1) and verified.
+any two fingerprints within the radius are within the threshold of some part. The number of parts and the thresholds are
+chosen by dynamic programming over the work that each part would give, estimated from counts over all fingerprints.
+Fingerprints are probed by signatures (a part's bits, less as many of them as its threshold) and verified.
 
 A signature that many fingerprints share is not expanded into pairs. Its fingerprints differ in the other bits alone, so
-each is listed under itself and under every fingerprint one such bit away: two within radius 2 meet there, and all that
-meet are within it, at most 65 of them.
+each is listed under every fingerprint up to half the radius away in such bits: two within the radius meet there, and all
+that meet are within it.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import ceil, comb
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -23,6 +26,8 @@ from .components import components
 from .election import elect, with_key
 
 BITS, RADIUS, SEED = 64, 2, 42
+#: The largest radius: half of it is how far the fingerprints of a frequent signature are listed around.
+MOST = 4
 #: Fingerprints that share a signature up to which they are compared in pairs; above it they are met half-way.
 DENSE = 32
 
@@ -41,9 +46,11 @@ def shingle_hashes(words: list[bytes], size: int, seed: int = SEED) -> np.ndarra
 
 def fingerprint(words: list[bytes], size: int = 3, seed: int = SEED) -> int:
     """Majority bits of the hashes of all shingles; zero without words. Signed, as Spark's long."""
-    if not words:
-        return 0
-    hashes = shingle_hashes(words, size, seed)
+    return majority(shingle_hashes(words, size, seed)) if words else 0
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have, as Spark's long."""
     counts = np.zeros(BITS, np.int64)
     for i in range(0, len(hashes), 1 << 16):
         part = hashes[i : i + (1 << 16)]
@@ -117,6 +124,15 @@ def _mask(bits: list[int]) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _symmetric(values: list[float], k: int) -> float:
+    """The sum over all choices of k values of their products."""
+    sums = [1.0, *[0.0] * k]
+    for v in values:
+        for i in range(k, 0, -1):
+            sums[i] += sums[i - 1] * v
+    return sums[k]
+
+
 def plan(prints: DataFrame, radius: int = RADIUS) -> list[tuple[int, int]]:
     """Signatures as (mask, index of part), chosen over all fingerprints."""
     n, both = _together(prints)
@@ -124,7 +140,8 @@ def plan(prints: DataFrame, radius: int = RADIUS) -> list[tuple[int, int]]:
         return []
     p = np.diag(both) / n
     agree = p * p + (1 - p) ** 2
-    layouts = {m: group_bits(n, both, m) for m in (2, 3)}
+    # thresholds of 2 at most
+    layouts = {m: group_bits(n, both, m) for m in range(max(1, ceil((radius + 1) / 3)), radius + 2)}
     masks = [(m, k, _mask(g)) for m, gs in layouts.items() for k, g in enumerate(gs)]
     each = prints.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(x)).alias("v")) for i, (_, _, x) in enumerate(masks)])).alias("s"))
     c = F.col("count").cast("double")
@@ -134,55 +151,59 @@ def plan(prints: DataFrame, radius: int = RADIUS) -> list[tuple[int, int]]:
         cost = []
         for k, g in enumerate(groups):
             pairs = sums[masks.index((m, k, _mask(g)))]
-            cost.append({-1: 0.0, 0: n + pairs, 1: n * len(g) + sum(pairs / agree[b] for b in g)})
+            own = [1 / agree[b] for b in g]
+            cost.append({-1: 0.0} | {t: n * comb(len(g), t) + pairs * _symmetric(own, t) for t in range(3)})
         options.append((*allocate(cost, radius - m + 1), m))
     _, thresholds, m = min(options)
-    out = []
-    for k, (g, t) in enumerate(zip(layouts[m], thresholds, strict=True)):
-        out += [(_mask(g), k)] if t == 0 else [(_mask([x for x in g if x != b]), k) for b in g] if t == 1 else []
-    return out
+    return [(_mask([x for x in g if x not in left]), k) for k, (g, t) in enumerate(zip(layouts[m], thresholds, strict=True)) if t >= 0 for left in combinations(g, t)]
 
 
-def links(prints: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of distinct fingerprints that connect all those within the radius.
+def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Pairs (a, b), a < b, of distinct fingerprints that connect all those within the radius, 0 to MOST.
 
     prints has one row for each fingerprint. Among few that share a signature every link is there; among many, links to the
     smallest of those that meet, which connect the same fingerprints.
     """
-    masks = [m for m, _ in plan(prints)] or [-1]
+    if not 0 <= radius <= MOST:
+        raise ValueError(f"the radius is 0 to {MOST}")
+    masks = [m for m, _ in plan(prints, radius)] or [-1]
     signed = prints.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("sig", "key"))
     shared = signed.groupBy("sig", "key").agg(F.count("*").alias("n")).where("n > 1")
     near = materialize(signed.join(shared, ["sig", "key"]), "signatures")
     few = near.where(F.col("n") <= DENSE)
     x, y = few.select("sig", "key", F.col("fp").alias("a")), few.select("sig", "key", F.col("fp").alias("b"))
-    pairs = x.join(y, ["sig", "key"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)).select("a", "b")
+    pairs = x.join(y, ["sig", "key"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)).select("a", "b")
     free = F.bitwise_not(F.element_at(F.array(*[F.lit(m) for m in masks]), F.col("sig") + 1))
-    steps = F.array(*[F.lit(_mask([b])) for b in range(BITS)], F.lit(0))
-    away = F.transform(F.filter(steps, lambda s: s.bitwiseAND(free) == s), lambda s: F.col("fp").bitwiseXOR(s))
-    met = near.where(F.col("n") > DENSE).select("fp", F.explode(away).alias("centre")).groupBy("centre").agg(F.collect_set("fp").alias("all")).where(F.size("all") > 1)
-    stars = met.select(F.array_min("all").alias("a"), F.explode("all").alias("b")).where("a < b")
+    bits = F.filter(F.array(*[F.lit(_mask([b])) for b in range(BITS)]), lambda s: s.bitwiseAND(free) == s)
+    # all ways to change up to half of the radius, rounded up; those that change no more than half of it, rounded down, are near
+    ways, half = F.array(F.lit(0).cast("long")), (radius + 1) // 2
+    for _ in range(half):
+        ways = F.array_distinct(F.concat(ways, F.flatten(F.transform(ways, lambda w: F.transform(bits, lambda s: w.bitwiseOR(s))))))
+    dense = near.where(F.col("n") > DENSE).select("fp", F.explode(ways).alias("way")).select("fp", F.col("fp").bitwiseXOR(F.col("way")).alias("centre"), (F.bit_count("way") <= radius // 2).alias("near")).distinct()
+    middle = dense.groupBy("centre").agg(F.min(F.when(F.col("near"), F.col("fp"))).alias("m"), F.count("*").alias("n")).where("m is not null and n > 1")
+    stars = join_by_size(dense, materialize(middle, "centres"), ["centre"], "n").where(F.col("m") != F.col("fp")).select(F.least("m", "fp").alias("a"), F.greatest("m", "fp").alias("b"))
     return pairs.unionAll(stars).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = RADIUS) -> DataFrame:
     """One row a document: id_col, fp (long), component_id, the smallest id that links within the radius reach.
 
-    Null and empty texts have fingerprint zero and are linked like any other. Rows with equal texts and equal ids stay
-    rows of their own. A component of null ids alone has a null component_id. An empty table gives no rows. Columns
-    of docs other than the two are not read.
+    Fingerprints are of shingles of size words; the radius is 0 to MOST. Null and empty texts have fingerprint zero and are
+    linked like any other. Rows with equal texts and equal ids stay rows of their own. A component of null ids alone has a null
+    component_id. An empty table gives no rows. Columns of docs other than the two are not read.
     """
-    prints = materialize(docs.select(F.col(id_col).alias("id"), simhash(F.col(text_col)).alias("fp")), "prints")
+    prints = materialize(docs.select(F.col(id_col).alias("id"), simhash(F.col(text_col), size).alias("fp")), "prints")
     firsts = materialize(prints.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("copies")), "firsts")
-    nodes = components(links(firsts.select("fp")))
+    nodes = components(links(firsts.select("fp"), radius))
     known = nodes.join(firsts, nodes.node == firsts.fp).select("node", "root", "first")
-    least = known.groupBy("root").agg(F.min("first").alias("component_id"))
-    found = known.join(least, "root").select(F.col("node").alias("fp"), "component_id")
+    least = known.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
+    found = join_by_size(known, materialize(least, "roots"), ["root"], "n").select(F.col("node").alias("fp"), "component_id")
     of = firsts.join(found, "fp", "left").select("fp", "copies", F.coalesce("component_id", "first").alias("component_id"))
     return join_by_size(prints, materialize(of, "classes"), ["fp"], "copies").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = RADIUS) -> DataFrame:
     """docs with one row of each group of near-duplicates, as elect() chooses it. Columns stay as they are."""
     keyed = with_key(docs, id_col, text_col)
-    groups = near_duplicates(keyed, "_key", text_col).select("_key", F.col("component_id").alias("_group"))
+    groups = near_duplicates(keyed, "_key", text_col, size, radius).select("_key", F.col("component_id").alias("_group"))
     return elect(keyed, groups, id_col, text_col)

@@ -24,8 +24,8 @@ def plain_fingerprint(text: str | None) -> int:
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def classes(values: dict) -> dict:
-    """Smallest key that each key reaches over values of at most two differing bits."""
+def classes(values: dict, radius: int = 2) -> dict:
+    """Smallest key that each key reaches over values of at most so many differing bits."""
     up = {k: k for k in values}
 
     def root(k):
@@ -36,7 +36,7 @@ def classes(values: dict) -> dict:
     keys = sorted(values)
     for i, a in enumerate(keys):
         for b in keys[:i]:
-            if (values[a] ^ values[b]).bit_count() <= 2:
+            if (values[a] ^ values[b]).bit_count() <= radius:
                 x, y = sorted((root(a), root(b)))
                 up[y] = x
     return {k: root(k) for k in keys}
@@ -51,28 +51,41 @@ def test_fingerprint(text):
     assert S.fingerprint(text.encode().lower().split()) & (2**64 - 1) == plain_fingerprint(text)
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_links_connect_what_all_pairs_connect(spark, seed):
+@pytest.mark.parametrize(("seed", "radius"), [(0, 2), (1, 2), (2, 0), (3, 1), (4, 3), (5, 4)])
+def test_links_connect_what_all_pairs_connect(spark, seed, radius):
     r = random.Random(seed)
     prints = set()
     for _ in range(40):
         x = r.getrandbits(64)
         prints.add(x)
         for _ in range(r.choice([0, 1, 5])):
-            prints.add(x ^ sum(1 << b for b in r.sample(range(64), r.choice([1, 2, 3]))))
+            prints.add(x ^ sum(1 << b for b in r.sample(range(64), r.choice([1, 2, 3, 4, 5]))))
     centre = r.getrandbits(64)  # a dense group: signatures that more than DENSE share
     near = [centre ^ (1 << a) ^ (1 << b) for a in range(0, 64, 2) for b in r.sample(range(64), 3) if a != b]
     prints |= set(near) | {centre ^ 0b11111}
     table = spark.createDataFrame([(signed(x),) for x in prints], "fp long")
-    pairs = S.links(table)
-    assert pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) > 2 * S.RADIUS).count() == 0
+    pairs = S.links(table, radius)
+    assert pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) > radius).count() == 0
     got = dict(components(pairs).collect())
     ours = {signed(x): got.get(signed(x), signed(x)) for x in prints}
-    theirs = classes({signed(x): x for x in prints})
+    theirs = classes({signed(x): x for x in prints}, radius)
     groups = lambda m: sorted(sorted(k for k in m if m[k] == v) for v in set(m.values()))
     assert groups(ours) == groups(theirs)
 
 
+def test_a_radius_beyond_the_most(spark):
+    with pytest.raises(ValueError, match="radius"):
+        S.links(spark.createDataFrame([(1,)], "fp long"), S.MOST + 1)
+
+
+def test_sums_of_products():
+    from itertools import combinations
+    from math import prod
+
+    for k in range(4):
+        assert S._symmetric([1.5, 2.0, 3.0, 0.5], k) == pytest.approx(sum(prod(c) for c in combinations([1.5, 2.0, 3.0, 0.5], k)))
+
+
 def test_groups_of_bits_partition_them():
     import numpy as np
 
