@@ -1,11 +1,14 @@
-"""Near-duplicates by exact similarity: groups of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 and more.
+"""Near-duplicates by SimHash and exact similarity: groups of texts whose sets of five-word shingles have a Jaccard similarity of
+0.8 and more.
 
-Two sets of a and b shingles (a <= b) of this similarity share ceil(0.8 b) at least. With all shingles in one order, such sets
-have a shingle in common among the first n - ceil(0.8 n) + 1 of each. These are listed; sets that meet in a list, and whose
-parities leave the similarity open, are verified by all their shingles. Every pair that is alike meets, whatever the order. The order puts shingles last that are frequent in a
-sample, which keeps lists short.
+SimHash (simhash.links) proposes first: fingerprints of the sets within its radius are verified by all shingles and linked. A
+similarity of 0.8 may be ten bits and more away, which no block index finds at a bearable cost, so that what is left is found
+from the sets. Two sets of a and b shingles (a <= b) of this similarity share ceil(0.8 b) at least. With all shingles in one
+order, such sets have a shingle in common among the first n - ceil(0.8 n) + 1 of each. These are listed; sets that meet in a list,
+are not yet in one group, and whose parities leave the similarity open, are verified as well. Every pair that is alike meets,
+whatever the order. The order puts shingles last that are frequent in a sample, which keeps lists short.
 
-Long lists are not expanded into pairs at once: first each member is compared with one of its list, twice, which links large
+Long lists are not expanded into pairs at once: before that each member is compared with one of its list, which links large
 groups of near copies. After that only pairs of different groups are compared.
 """
 
@@ -19,16 +22,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frugal, materialize
+from . import simhash
+from .common import frugal, join_by_size, materialize
 from .components import components
 from .election import elect, with_key
-from .simhash import shingle_hashes
+from .simhash import majority, shingle_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Keys in the sample that orders shingles: at least so many, or one in so many; counts from which a shingle is frequent; how
 #: many of these are sent to tasks. They change the length of lists alone.
 SAMPLE, SAMPLE_SHARE, FREQUENT, SENT = 8_000, 50, 3, 1 << 18
-STARS, PARITIES = 2, 1024
+STARS, PARITIES = 1, 1024
+#: Bits within which fingerprints are proposed.
+RADIUS = 3
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -71,7 +77,7 @@ def frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def beginnings(texts: DataFrame) -> DataFrame:
-    """(_key, s, n, bits, first): the hash of the whole set, its size, its parities and its first shingles in the common order."""
+    """(_key, s, n, fp, bits, first): the hash of the whole set, its size, its fingerprint, its parities and its first shingles in the common order."""
     often, counts = frequent(texts)
 
     def first(own: np.ndarray) -> np.ndarray:
@@ -86,10 +92,10 @@ def beginnings(texts: DataFrame) -> DataFrame:
                 b = batch.slice(i, 256)
                 own = [shingle_set(t) for t in b.column(1).to_pylist()]
                 s = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in own], np.uint64).view("<i8")
-                cols = [b.column(0), pa.array(s), pa.array([len(x) for x in own], pa.int32()), pa.array([parities(x) for x in own], pa.list_(pa.int64())), pa.array([first(x) for x in own], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(cols, ["_key", "s", "n", "bits", "first"])
+                cols = [b.column(0), pa.array(s), pa.array([len(x) for x in own], pa.int32()), pa.array([majority(x.view("<u8")) for x in own], pa.int64()), pa.array([parities(x) for x in own], pa.list_(pa.int64())), pa.array([first(x) for x in own], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, ["_key", "s", "n", "fp", "bits", "first"])
 
-    return materialize(texts.mapInArrow(frugal(rows), "_key long, s long, n int, bits array<long>, first array<long>"), "beginnings")
+    return materialize(texts.mapInArrow(frugal(rows), "_key long, s long, n int, fp long, bits array<long>, first array<long>"), "beginnings")
 
 
 def _alike(pairs: DataFrame, one: DataFrame, texts: DataFrame) -> DataFrame:
@@ -105,30 +111,37 @@ def _alike(pairs: DataFrame, one: DataFrame, texts: DataFrame) -> DataFrame:
     return close.join(x, "a__key").join(y, "b__key").where(10 * m >= 8 * (F.col("a_n") + F.col("b_n") - m)).select("a", "b")
 
 
+def proposed(sketches: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets by SimHash: sets of one fingerprint with the first of them, and the first ones of fingerprints within RADIUS."""
+    prints = materialize(sketches.groupBy("fp").agg(F.min("s").alias("first"), F.count("*").alias("copies")), "prints")
+    same = join_by_size(sketches.select("fp", "s"), prints, ["fp"], "copies").where("s <> first").select(F.col("first").alias("a"), F.col("s").alias("b"))
+    one, two = (prints.select(F.col("fp").alias(x), F.col("first").alias(f"{x}_first")) for x in ("a", "b"))
+    near = simhash.links(prints.select("fp"), RADIUS).join(one, "a").join(two, "b").select(F.least("a_first", "b_first").alias("a"), F.greatest("a_first", "b_first").alias("b"))
+    return same.unionAll(near)
+
+
 def links(found: DataFrame, texts: DataFrame) -> DataFrame:
     """(node, root) for sets that are alike, by chains of those; sets like no other are not listed. found as of beginnings()."""
+    sketches = materialize(found.groupBy("s").agg(F.min_by(F.struct("_key", "n", "fp", "bits"), "_key").alias("f")).select("s", "f.*"), "sketches")
+    edges = materialize(_alike(proposed(sketches), sketches, texts), "alike")
+    known = materialize(components(edges), "known")
     lists = found.select("s", "n", F.posexplode("first").alias("pos", "h")).select("s", "h", "n", (F.col("n") - F.col("pos")).alias("left"))
     shared = lists.groupBy("h").agg(F.min("s").alias("x"), F.max("s").alias("y")).where("x <> y").select("h")
     near = materialize(lists.join(shared, "h", "left_semi").distinct(), "lists")
-    sketches = materialize(found.groupBy("s").agg(F.min_by(F.struct("_key", "n", "bits"), "_key").alias("f")).select("s", "f.*"), "sketches")
     # at the first shingle in common, all others in common are still to come
     meet = (F.col("a") != F.col("b")) & (18 * F.least("left", "other_left") >= 8 * (F.col("n") + F.col("other_n"))) & (F.col("root") != F.col("other_root"))
     pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-    now, edges = near.withColumn("root", F.col("s")), None
     for k in range(STARS + 1):
-        other = now
+        now = near.join(known, F.col("s") == F.col("node"), "left").select(*near.columns, F.coalesce("root", "s").alias("root"))
+        mixed = now.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("h")
+        now = other = materialize(now.join(mixed, "h", "left_semi"), "mixed")
         if k < STARS:
             middle = F.min_by(F.struct("s", "n", "left", "root"), F.struct(F.xxhash64("s", F.lit(k)), "s")).alias("c")
             other = now.groupBy("h").agg(middle).select("h", "c.*")
         other = other.select("h", F.col("s").alias("b"), F.col("n").alias("other_n"), F.col("left").alias("other_left"), F.col("root").alias("other_root"))
         met = now.withColumnRenamed("s", "a").join(other, "h").where(meet)
-        alike = materialize(_alike(met.select(*pair).distinct(), sketches, texts), "alike")
-        edges = alike if edges is None else edges.unionAll(alike)
+        edges = edges.unionAll(materialize(_alike(met.select(*pair).distinct(), sketches, texts), "alike"))
         known = materialize(components(edges), "known")
-        if k < STARS:
-            now = near.join(known, F.col("s") == F.col("node"), "left").select(*near.columns, F.coalesce("root", "s").alias("root"))
-            mixed = now.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("h")
-            now = materialize(now.join(mixed, "h", "left_semi"), "mixed")
     return known
 
 

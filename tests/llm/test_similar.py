@@ -23,10 +23,11 @@ def similarity(a: str | None, b: str | None) -> float:
 
 def kept(rows: list[tuple]) -> set:
     """Smallest ids of the groups that all pairs connect."""
-    up = list(range(len(rows)))
+    up, sets = list(range(len(rows))), [shingles(t) for _, t in rows]
     for i in range(len(rows)):
         for j in range(i):
-            if up[i] != up[j] and similarity(rows[i][1], rows[j][1]) >= 0.8:
+            x, y = sets[i], sets[j]
+            if up[i] != up[j] and min(len(x), len(y)) >= 0.8 * max(len(x), len(y)) and (len(x & y) >= 0.8 * len(x | y)):
                 old, new = up[i], up[j]
                 up = [new if u == old else u for u in up]
     return {min(d for (d, _), u in zip(rows, up, strict=True) if u == g) for g in set(up)}
