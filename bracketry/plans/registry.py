@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return put
 
 
-from . import careers, details, lookups, markets, merges, ratings, rounds, streams, texts, trials  # noqa: E402, F401
+from . import careers, details, lookups, markets, merges, ratings, resolution, rounds, streams, texts, trials  # noqa: E402, F401
