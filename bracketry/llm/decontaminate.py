@@ -22,7 +22,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 RADIUS, BLOCKS, BLOCK_BITS = 16, 4, 16
 #: Bits in which a block may differ. They add up to RADIUS - BLOCKS + 1: more in every block make more than RADIUS in all.
 THRESHOLDS = (4, 3, 3, 3)
-#: Shingles of a benchmark that are broadcast; a larger one is joined by a shuffle.
+#: Shingles of a benchmark, or documents with one of them, that are broadcast; more of them are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
 
@@ -52,11 +52,15 @@ def items_of(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "tex
     return materialize(items.withColumn("own_print", fingerprint("own")), "items")
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """df to be broadcast if it has few rows, which are counted."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def windows_of(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(d, t, windows): the windows of each document, as many shingles as some item has, in which one of that item's is."""
     wanted = items.select(F.size("own").alias("n"), F.explode(F.array_distinct("own")).alias("h")).distinct()
-    if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
+    wanted = _small(wanted)
     placed = docs.select("d", "t", F.size("all").alias("total"), F.posexplode("all").alias("pos", "h"))
     found = placed.join(wanted, "h").groupBy("d", "t", F.least("n", "total").alias("m"), "total").agg(F.array_sort(F.collect_set("pos")).alias("p"))
     # the windows that begin after the hit before and reach this one
@@ -95,9 +99,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = items_of(benchmark, item_col, item_text_col)
     texts = docs.select(F.col(id_col).alias("d"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("x"))
     near = windows_of(texts.select("d", "t", shingles(F.col("x")).alias("all")), items)
-    of = near.groupBy("d", "t").agg(F.collect_list(F.struct("m", "starts")).alias("windows"))
-    same = texts["d"].eqNullSafe(of["d"]) & (texts["t"] == of["t"])
-    chosen = texts.join(of, same).select(of["d"], of["t"], F.explode("windows").alias("w"), shingles(F.col("x")).alias("all"))
+    # whole texts are not shuffled where few documents have windows
+    keys = _small(near.select(F.col("d").alias("kd"), F.col("t").alias("kt")).distinct())
+    held = texts.join(keys, F.col("d").eqNullSafe(F.col("kd")) & (F.col("t") == F.col("kt")), "left_semi").select("d", "t", shingles(F.col("x")).alias("all"))
+    of = near.groupBy(F.col("d").alias("kd"), F.col("t").alias("kt")).agg(F.collect_list(F.struct("m", "starts")).alias("windows"))
+    chosen = held.join(of, F.col("d").eqNullSafe(F.col("kd")) & (F.col("t") == F.col("kt"))).select("d", "t", F.explode("windows").alias("w"), "all")
     cut = chosen.select("d", "t", F.explode(F.transform("w.starts", lambda s: F.struct(s.alias("s"), F.slice("all", s + 1, F.col("w.m")).alias("own")))).alias("w"))
     cut = cut.select("d", "t", "w.s", "w.own", F.xxhash64("w.own").alias("k1"), F.xxhash64(F.lit("window"), "w.own").alias("k2"))
     cut = materialize(cut.dropDuplicates(["d", "t", "s", "k1", "k2"]), "cut")
