@@ -2,18 +2,29 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """Lineage cut in the shared checkpoint folder; one of our own only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp())
-    return df.checkpoint()
+def stored(df: DataFrame) -> DataFrame:
+    """df written as Parquet in the shared checkpoint folder and read again: lineage is cut, a lost executor costs one round.
+
+    Where no folder is set, one of our own if driver and executors are one process, else an error.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not re.fullmatch(r"local(\[[\d*,]+\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="bracketry-"))
+        folder = spark.sparkContext.getCheckpointDir()
+    path = f"{folder.rstrip('/')}/bracketry/round-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def smallest_reachable(links: DataFrame, a: str, b: str) -> DataFrame:
@@ -22,13 +33,13 @@ def smallest_reachable(links: DataFrame, a: str, b: str) -> DataFrame:
     Jumps double the distance that a label has come, so that rounds grow with the logarithm of the longest path.
     """
     both = links.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null").unionAll(links.select(F.col(b).alias("x"), F.col(a).alias("y")).where(f"`{a}` is not null and `{b}` is not null"))
-    both = _stored(both.distinct())
-    labels = _stored(both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("node"), F.least("x", "m").alias("root")))
+    both = stored(both.distinct())
+    labels = stored(both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("node"), F.least("x", "m").alias("root")))
     while True:
         near = both.join(labels.withColumnRenamed("node", "y"), "y").groupBy("x").agg(F.min("root").alias("m"))
         step = labels.join(near.withColumnRenamed("x", "node"), "node", "left").select("node", F.col("root").alias("was"), F.least("root", F.coalesce("m", "root")).alias("root"))
         jump = labels.select(F.col("node").alias("root"), F.col("root").alias("far"))
-        step = _stored(step.join(jump, "root", "left").select("node", "was", F.least("root", F.coalesce("far", "root")).alias("root")))
+        step = stored(step.join(jump, "root", "left").select("node", "was", F.least("root", F.coalesce("far", "root")).alias("root")))
         labels = step.select("node", "root")
         if step.where("was <> root").isEmpty():
             return labels
@@ -41,7 +52,7 @@ def spread(seeds: DataFrame, links: DataFrame, a: str, b: str, rounds: int) -> D
     for _ in range(rounds):
         votes = both.join(known.withColumnRenamed("node", "x"), "x").join(known.select("node"), "node", "left_anti").groupBy("node", "label").agg(F.count("*").alias("n"))
         new = votes.groupBy("node").agg(F.min_by("label", F.struct(-F.col("n"), "label")).alias("label"))
-        grown = _stored(known.unionByName(new))
+        grown = stored(known.unionByName(new))
         if grown.count() == known.count():
             break
         known = grown

@@ -1,33 +1,164 @@
-"""Ratings replayed over time.
+"""Ratings replayed in the order of contests.
 
-Both sides of a contest change at once, so that a history cannot be cut by entity. It is cut by period: all contests of a
-period are judged by the ratings before it, which is one join and one grouped sum, whatever the size. Ratings after a
-period are a stored table.
+Both sides of a contest change at once, so that a history cannot be cut by entity. A contest is due once the contest before it
+is done for both sides; all that are due go together, and no entity is in two of them. That gives the ratings of a replay one
+contest after the other, in as many rounds as the longest chain of contests. A round is two joins on entities; the table of
+what is left is written anew whenever half of it is done. Once no more than FEW contests are left, one task replays them in
+order, with the same result: a bound, whatever the input.
+
+A rating is a Python function of one contest, applied to Arrow batches of those that are due.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from math import exp, log, pi, sqrt
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from .graph import _stored
+from .graph import stored
 
 START, K = 1500.0, 32.0
+#: Fixed values of the second rating: its scale, the first deviation and volatility, and how fast volatility may change.
+SCALE, DEVIATION, VOLATILITY, TAU = 173.7178, 350.0, 0.06, 0.5
+RATE = 0.2
+#: Contests that one task replays, and rounds after which ratings are stored: up to so many are joined again if a round is lost.
+FEW, STORED = 20_000, 4
+
+#: From what both sides had and the contest's figures to what both have after it.
+Move = Callable[..., tuple[tuple[float, ...], tuple[float, ...]]]
+
+
+def chronological(contests: DataFrame, order: list[str], state: dict[str, float], figures: list[str], move: Move) -> DataFrame:
+    """contests (contest_id, a_id, b_id and others) with a_x and b_x, what each side had before, and a_x_after and b_x_after, for x of state.
+
+    move(a, b, *figures) has tuples of state and the doubles of those columns, which may be NaN for null. Null ids are left
+    out; a contest of an entity with itself is, too.
+    """
+    names, width = list(state), len(state)
+    c = contests.where("a_id is not null and b_id is not null and a_id <> b_id")
+    at = F.row_number().over(Window.partitionBy("entity").orderBy(*order))
+    sides = c.select("contest_id", *[x for x in order if x != "contest_id"], F.inline(F.array(F.struct(F.lit("a").alias("side"), F.col("a_id").alias("entity")), F.struct(F.lit("b").alias("side"), F.col("b_id").alias("entity"))))).withColumn("at", at)
+    places = sides.groupBy("contest_id").agg(F.max(F.when(F.col("side") == "a", F.col("at"))).alias("a_at"), F.max(F.when(F.col("side") == "b", F.col("at"))).alias("b_at"))
+    left = stored(c.join(places, "contest_id"))
+    now = stored(sides.select("entity").distinct().select("entity", F.lit(0).alias("done"), *[F.lit(float(v)).alias(x) for x, v in state.items()]))
+
+    def known(left: DataFrame, now: DataFrame) -> DataFrame:
+        of = lambda s: now.select(F.col("entity").alias(f"{s}_id"), F.col("done").alias(f"{s}_done"), *[F.col(x).alias(f"{s}_{x}") for x in names])
+        return left.join(of("a"), "a_id").join(of("b"), "b_id")
+
+    before, after = ([f"{s}_{x}{t}" for s in ("a", "b") for x in names] for t in ("", "_after"))
+
+    @F.pandas_udf("array<double>")
+    def moved(own: pd.DataFrame) -> pd.Series:
+        rows = own.itertuples(index=False, name=None)
+        return pd.Series([[*x, *y] for r in rows for x, y in [move(r[:width], r[width : 2 * width], *r[2 * width :])]], dtype=object)
+
+    def together(due: DataFrame) -> DataFrame:
+        given = F.struct(*before, *[F.col(f).cast("double").alias(f) for f in figures])
+        return due.withColumn("_m", moved(given)).select("*", *[F.get("_m", i).alias(x) for i, x in enumerate(after)]).drop("_m")
+
+    def one_by_one(own: pd.DataFrame) -> pd.DataFrame:
+        held: dict = {}
+        out = []
+        own = own.sort_values(order, ignore_index=True)
+        for a, b, given, f in zip(own["a_id"], own["b_id"], own[before].itertuples(index=False, name=None), own[figures].astype(float).itertuples(index=False, name=None), strict=True):
+            x, y = held.get(a, given[:width]), held.get(b, given[width:])
+            held[a], held[b] = move(x, y, *f)
+            out.append((*x, *y, *held[a], *held[b]))
+        own[[*before, *after]] = pd.DataFrame(out, columns=[*before, *after], dtype=float)
+        return own
+
+    out, n, done, rounds = None, left.count(), 0, 0
+    while n - done > FEW:
+        due = known(left, now).where("a_done = a_at - 1 and b_done = b_at - 1").drop("a_done", "b_done")
+        seen = Observation()
+        rows = stored(together(due).observe(seen, F.count("*").alias("n")))
+        out, rounds, done = rows if out is None else out.unionByName(rows), rounds + 1, done + seen.get["n"]
+        sets = rows.select(F.inline(F.array(*[F.struct(F.col(f"{s}_id").alias("entity"), F.col(f"{s}_at").alias("_done"), *[F.col(f"{s}_{x}_after").alias(f"_{x}") for x in names]) for s in ("a", "b")])))
+        now = now.join(sets, "entity", "left").select("entity", *[F.coalesce(f"_{x}", x).alias(x) for x in ("done", *names)])
+        if rounds % STORED == 0:
+            now = stored(now)
+        if 2 * done >= n:
+            left, n, done = stored(left.join(now.select(F.col("entity").alias("a_id"), "done"), "a_id").where("a_at > done").drop("done")), n - done, 0
+    rest = known(left, now).where("a_at > a_done").drop("a_done", "b_done")
+    kind = ", ".join([*(f"`{k}` {v}" for k, v in rest.dtypes), *(f"{x} double" for x in after)])
+    last = rest.groupBy(F.lit("rest").alias("_part")).applyInPandas(one_by_one, kind) if n > done else rest.where("false").select("*", *[F.lit(0.0).alias(x) for x in after])
+    return (last if out is None else out.unionByName(last)).drop("a_at", "b_at")
+
+
+def by_side(replayed: DataFrame, names: list[str], others: list[str] | None = None) -> DataFrame:
+    """(contest_id, entity, opponent, x, x_after, others) with two rows a contest."""
+    of = lambda s, o: F.struct(F.col(f"{s}_id").alias("entity"), F.col(f"{o}_id").alias("opponent"), *[F.col(f"{s}_{x}{t}").alias(f"{x}{t}") for x in names for t in ("", "_after")], *[F.col(f"{o}_{x}").alias(f"other_{x}") for x in names])
+    return replayed.select("contest_id", *(others or []), F.inline(F.array(of("a", "b"), of("b", "a"))))
+
+
+def elo_move(a: tuple, b: tuple, won: float) -> tuple[tuple, tuple]:
+    """won is 1 where the first side won, 0 where the other did, NaN for neither, which changes nothing."""
+    gain = 0.0 if won != won else K * (won - 1 / (1 + 10 ** ((b[0] - a[0]) / 400)))
+    return (a[0] + gain,), (b[0] - gain,)
+
+
+def elo(contests: DataFrame, order: list[str]) -> DataFrame:
+    return chronological(contests, order, {"rating": START}, ["won"], elo_move)
+
+
+def glicko_move(rating: float, rd: float, vol: float, other: float, other_rd: float, score: float) -> tuple[float, float, float]:
+    """One contest as a period of its own; the volatility by regula falsi with halved weights."""
+    mu, phi, phi_j = (rating - START) / SCALE, rd / SCALE, other_rd / SCALE
+    g = 1 / sqrt(1 + 3 * phi_j * phi_j / pi**2)
+    e = 1 / (1 + exp(-g * (mu - (other - START) / SCALE)))
+    v = 1 / (g * g * e * (1 - e))
+    delta, a = v * g * (score - e), log(vol * vol)
+
+    def f(x: float) -> float:
+        d = phi * phi + v + exp(x)
+        return exp(x) * (delta * delta - d) / (2 * d * d) - (x - a) / TAU**2
+
+    low, high = a, log(delta * delta - phi * phi - v) if delta * delta > phi * phi + v else a - TAU
+    while delta * delta <= phi * phi + v and f(high) < 0:
+        high -= TAU
+    f_low, f_high = f(low), f(high)
+    for _ in range(100):
+        if abs(high - low) <= 1e-9 or f_high == f_low:
+            break
+        x = low + (low - high) * f_low / (f_high - f_low)
+        fx = f(x)
+        if fx * f_high <= 0:
+            low, f_low = high, f_high
+        else:
+            f_low /= 2
+        high, f_high = x, fx
+    vol = exp(low / 2)
+    phi = 1 / sqrt(1 / (phi * phi + vol * vol) + 1 / v)
+    return START + SCALE * (mu + phi * phi * g * (score - e)), SCALE * phi, vol
+
+
+def glicko(contests: DataFrame, order: list[str]) -> DataFrame:
+    """Both sides move from what they had before; a contest that nobody won counts one half."""
+
+    def move(a: tuple, b: tuple, won: float) -> tuple[tuple, tuple]:
+        score = 0.5 if won != won else won
+        return glicko_move(*a, *b[:2], score), glicko_move(*b, *a[:2], 1 - score)
+
+    return chronological(contests, order, {"rating": START, "rd": DEVIATION, "vol": VOLATILITY}, ["won"], move)
+
+
+def league_mean(contests: DataFrame, day: str, scores: list[Column], prior: float, weight: float = 200.0) -> DataFrame:
+    """(day, league): the mean of all scores of earlier days, with the prior counted weight times. One row a day: a calendar."""
+    own = contests.groupBy(day).agg(F.sum(sum(scores[1:], scores[0])).alias("s"), (F.count("*") * len(scores)).alias("n"))
+    before = Window.orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
+    s, n = F.coalesce(F.sum("s").over(before), F.lit(0.0)), F.coalesce(F.sum("n").over(before), F.lit(0))
+    return own.select(day, ((weight * prior + s) / (weight + n)).alias("league"))
+
+
+def attack_defence(contests: DataFrame, order: list[str]) -> DataFrame:
+    """contests has a_score, b_score and league. Both errors come from what was known before, then both sides learn from them."""
 
+    def move(a: tuple, b: tuple, score: float, other: float, league: float) -> tuple[tuple, tuple]:
+        x, y = score - (league + a[0] + b[1]), other - (league + b[0] + a[1])
+        return (a[0] + RATE * x, a[1] + RATE * y), (b[0] + RATE * y, b[1] + RATE * x)
 
-def elo(sides: DataFrame, period: str) -> DataFrame:
-    """(entity, period, before, after, n) from rows (entity, opponent, result, period); draws change nothing."""
-    ends = sides.select(period).distinct().orderBy(period).collect()  # a calendar, not data
-    decided = _stored(sides.where(F.col("result") != "D").select("entity", "opponent", "result", period))
-    now = decided.select("entity").distinct().withColumn("rating", F.lit(START))
-    out = None
-    for (p,) in ends:
-        own = decided.where(F.col(period) == F.lit(p))
-        judged = own.join(now, "entity").join(now.select(F.col("entity").alias("opponent"), F.col("rating").alias("other")), "opponent")
-        gain = K * (F.when(F.col("result") == "W", 1.0).otherwise(0.0) - 1 / (1 + F.pow(F.lit(10.0), (F.col("other") - F.col("rating")) / 400)))
-        moved = judged.groupBy("entity").agg(F.first("rating").alias("before"), F.sum(gain).alias("gain"), F.count("*").alias("n"))
-        rows = moved.select("entity", F.lit(p).alias(period), "before", (F.col("before") + F.col("gain")).alias("after"), "n")
-        rows = _stored(rows)
-        now = _stored(now.join(rows.select("entity", "after"), "entity", "left").select("entity", F.coalesce("after", "rating").alias("rating")))
-        out = rows if out is None else out.unionAll(rows)
-    return out
+    return chronological(contests, order, {"attack": 0.0, "defence": 0.0}, ["a_score", "b_score", "league"], move)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..operators import asof, replay
 from ..operators import history as H
-from .base import AS_OF, perspectives, table
+from .base import AS_OF, contests, perspectives, table
 from .lookups import REIGN, SNAP, board, reigns
 from .registry import query
 
@@ -165,12 +165,50 @@ def q_current_division(spark, sf):
     return last.select("entity", "division", "day", "method")
 
 
+def decided(spark, sf):
+    won = F.when(F.col("winner_id") == F.col("a_id"), 1).when(F.col("winner_id") == F.col("b_id"), 0)
+    return contests(spark, sf).select("contest_id", "day", "a_id", "b_id", won.alias("won"))
+
+
 @query()
 def q_elo_replay(spark, sf):
-    """Ratings by year: both sides of every contest move from what they had before it."""
-    sides = perspectives(spark, sf).withColumn("period", F.year("day"))
-    r = replay.elo(sides, "period")
-    return r.select("entity", "period", F.round("before", 6).alias("before"), F.round("after", 6).alias("after"), "n")
+    """Ratings in the order of contests: both sides of each move from what they had just before it."""
+    r = replay.by_side(replay.elo(decided(spark, sf), ORDER), ["rating"])
+    return r.select("contest_id", "entity", F.round("rating", 6).alias("before"), F.round("rating_after", 6).alias("after"))
+
+
+@query()
+def q_opponent_history(spark, sf):
+    """What the opponents of each entity were rated before each of its contests: mean, last five, best, of those beaten; 1400 where there is none."""
+    r = replay.by_side(replay.elo(decided(spark, sf), ORDER), ["rating"], ["day", "won", "a_id"])
+    won = F.when(F.col("won") == (F.col("entity") == F.col("a_id")).cast("int"), 1.0).otherwise(0.0)
+    w = H.before("entity", *ORDER)
+    last5 = H.timeline("entity", *ORDER).rowsBetween(-5, -1)
+    known = lambda c: F.round(F.coalesce(c, F.lit(1400.0)), 4)
+    o = F.col("other_rating")
+    return r.withColumn("w", won).select(
+        "contest_id", "entity", known(F.avg(o).over(w)).alias("mean"), known(F.avg(o).over(last5)).alias("last5"), known(F.max(o).over(w)).alias("best"), known(F.avg(F.when(F.col("w") == 1, o)).over(w)).alias("beaten"),
+        F.round(F.try_divide(F.sum(F.col("w") * o).over(w), F.sum(o).over(w)), 6).alias("rate"),
+    )
+
+
+@query()
+def q_glicko_replay(spark, sf):
+    """Ratings with deviations; the figure that queries use is the rating less two deviations."""
+    r = replay.by_side(replay.glicko(decided(spark, sf), ORDER), ["rating", "rd"])
+    return r.select("contest_id", "entity", F.round("rating", 4).alias("rating"), F.round("rd", 4).alias("rd"), F.round(F.col("rating") - 2 * F.col("rd"), 4).alias("low"))
+
+
+@query()
+def q_attack_defence(spark, sf):
+    """Scores cut at their 99th percentile, against a league mean of all earlier days."""
+    k = F.col("contest_id")
+    c = contests(spark, sf).select("contest_id", "day", "a_id", "b_id", (k * 37 % 300 / 60).alias("a_raw"), (k * 53 % 300 / 60).alias("b_raw"))
+    top = c.agg(F.percentile("a_raw", 0.99).alias("top"))
+    c = c.join(F.broadcast(top)).select("contest_id", "day", "a_id", "b_id", F.least("a_raw", "top").alias("a_score"), F.least("b_raw", "top").alias("b_score"))
+    league = replay.league_mean(c, "day", [F.col("a_score"), F.col("b_score")], 2.5)
+    r = replay.by_side(replay.attack_defence(c.join(F.broadcast(league), "day"), ORDER), ["attack", "defence"])
+    return r.select("contest_id", "entity", F.round("attack", 6).alias("attack"), F.round("defence", 6).alias("defence"))
 
 
 @query("SELECT c_mktsegment, c_nationkey, c_custkey, place FROM (SELECT c_mktsegment, c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_mktsegment, c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS place FROM customer) WHERE place <= 3")

@@ -12,7 +12,7 @@ from ..operators import fuzzy
 from ..operators.twosided import pair_key
 from .base import CONTEST, contests, table
 from .registry import query
-from .texts import FOLD, GRAMS, TITLE
+from .texts import FOLD, GRAMS
 
 FIRST = ["anna", "boris", "chloe", "dmitri", "elena", "felix", "greta"]
 LAST = ["alvarez", "brandt", "castro", "dvorak", "eriksen", "fischer", "gomez", "hansen", "ivanov", "jansen", "kowalski"]
@@ -185,27 +185,27 @@ def q_pre_career(spark, sf):
     return d.where("own").drop("own")
 
 
-DATED = "DATE '2001-01-01' + CAST(page_id * 7 % 60 AS INTEGER)"
+DATED = "DATE '2001-01-01' + CAST(doc_id * 7 % 60 AS INTEGER)"
 
 
 @query(f"""
-WITH p AS (SELECT page_id, {DATED} AS day, {GRAMS.format(FOLD.format(TITLE))} AS g FROM pages)
-SELECT b.page_id, min(a.page_id) AS first FROM p a JOIN p b ON (a.day < b.day OR (a.day = b.day AND a.page_id < b.page_id)) AND b.day - a.day <= 7
-WHERE len(a.g) > 0 AND len(b.g) > 0 AND len(a.g) >= 0.85 * len(b.g) AND len(b.g) >= 0.85 * len(a.g) AND len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))) > 0.85 GROUP BY b.page_id""")
+WITH p AS (SELECT doc_id, {DATED} AS day, {GRAMS.format(FOLD.format('left(text, 60)'))} AS g FROM documents)
+SELECT b.doc_id, min(a.doc_id) AS first FROM p a JOIN p b ON (a.day < b.day OR (a.day = b.day AND a.doc_id < b.doc_id)) AND b.day - a.day <= 7
+WHERE len(a.g) > 0 AND len(b.g) > 0 AND len(a.g) >= 0.85 * len(b.g) AND len(b.g) >= 0.85 * len(a.g) AND len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))) > 0.85 GROUP BY b.doc_id""")
 def q_near_dup_7d(spark, sf):
     """Items whose title is much like one of the seven days before, or an earlier one of the same day.
 
     Equal titles are one row of the search, so that a title that thousands share is compared once.
     """
-    p = table(spark, sf, "pages").select("page_id", F.expr("date_add(date '2001-01-01', cast(page_id * 7 % 60 as int))").alias("day"), T.fold(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title"))
+    p = table(spark, sf, "documents").select("doc_id", F.expr("date_add(date '2001-01-01', cast(doc_id * 7 % 60 as int))").alias("day"), T.fold(F.left("text", F.lit(60))).alias("title"))
     titles = p.select("title").distinct()
     near = fuzzy.similar(titles, "title", T.trigrams(F.col("title")), 0.85)
     alike = near.select("a", "b").unionAll(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionAll(titles.where("title <> ''").select(F.col("title").alias("a"), F.col("title").alias("b")))
     # of each title and day the first row is enough to look back to, and within the day the rows after it
-    days = p.groupBy("title", "day").agg(F.min("page_id").alias("first"))
+    days = p.groupBy("title", "day").agg(F.min("doc_id").alias("first"))
     back = days.select(F.col("title").alias("a"), F.col("first"), F.col("day").alias("then"), F.explode(F.sequence(F.col("day"), F.date_add("day", 7))).alias("day"))
-    met = p.withColumnRenamed("title", "b").join(alike, "b").join(back, ["a", "day"]).where((F.col("then") < F.col("day")) | (F.col("first") < F.col("page_id")))
-    return met.groupBy("page_id").agg(F.min("first").alias("first"))
+    met = p.withColumnRenamed("title", "b").join(alike, "b").join(back, ["a", "day"]).where((F.col("then") < F.col("day")) | (F.col("first") < F.col("doc_id")))
+    return met.groupBy("doc_id").agg(F.min("first").alias("first"))
 
 
 # Merges that ask first

@@ -140,22 +140,72 @@ def test_labels_reach_as_far_as_links(spark):
     assert len(dict(graph.spread(seeds, spark.createDataFrame(links[:5], "a long, b long"), "a", "b", 20).collect())) == 6
 
 
-def test_elo_against_a_plain_replay(spark):
-    r = random.Random(1)
-    rows = [(p, *r.sample("abcde", 2), r.choice("WWD")) for p in range(5) for _ in range(4)]
-    both = [(p, a, b, x) for p, a, b, x in rows] + [(p, b, a, "D" if x == "D" else "L") for p, a, b, x in rows]
-    got = {(x.entity, x.period): x.after for x in replay.elo(spark.createDataFrame(both, "period int, entity string, opponent string, result string"), "period").collect()}
-    now, want = dict.fromkeys("abcde", 1500.0), {}
-    for p in range(5):
-        was = dict(now)
-        for q, a, b, x in both:
-            if q == p and x != "D":
-                now[a] += 32 * ((x == "W") - 1 / (1 + 10 ** ((was[b] - was[a]) / 400)))
-                want[a, p] = None
-        for k, q in want:
-            if q == p:
-                want[k, q] = now[k]
-    assert got == {k: pytest.approx(v) for k, v in want.items()}
+def plain_elo(rows):
+    now, out = {}, {}
+    for contest, _, a, b, won in rows:
+        x, y = now.get(a, 1500.0), now.get(b, 1500.0)
+        gain = 0.0 if won is None else 32 * (won - 1 / (1 + 10 ** ((y - x) / 400)))
+        now[a], now[b] = x + gain, y - gain
+        out[contest, a], out[contest, b] = (x, x + gain), (y, y - gain)
+    return out
+
+
+def replay_rows(n=120, entities=9):
+    r = random.Random(3)
+    rows = []
+    for k in range(n):
+        a, b = r.sample(range(entities), 2) if k % 3 else (0, r.randrange(1, entities))  # one entity is in every third
+        rows.append((k, k // 7, a, b, r.choice([0, 1, 1, None])))
+    return rows
+
+
+REPLAYED = "contest_id int, day int, a_id int, b_id int, won int"
+
+
+@pytest.mark.parametrize(("n", "few"), [(120, 1000), (40, 8), (0, 10)])
+def test_elo_against_a_plain_replay(spark, monkeypatch, n, few):
+    monkeypatch.setattr(replay, "FEW", few)
+    rows = replay_rows(n)
+    got = replay.by_side(replay.elo(spark.createDataFrame(rows, REPLAYED), ["day", "contest_id"]), ["rating"]).collect()
+    assert len(got) == 2 * len(rows)
+    assert {(x.contest_id, x.entity): (x.rating, x.rating_after) for x in got} == {k: pytest.approx(v) for k, v in plain_elo(rows).items()}
+
+
+def test_glicko_against_a_plain_replay(spark, monkeypatch):
+    monkeypatch.setattr(replay, "FEW", 20)
+    rows, now, want = replay_rows(30), {}, {}
+    for contest, _, a, b, won in rows:
+        x, y = now.get(a, (1500.0, 350.0, 0.06)), now.get(b, (1500.0, 350.0, 0.06))
+        score = 0.5 if won is None else won
+        now[a], now[b] = replay.glicko_move(*x, *y[:2], score), replay.glicko_move(*y, *x[:2], 1 - score)
+        want[contest] = (*now[a][:2], *now[b][:2])
+    got = replay.glicko(spark.createDataFrame(rows, REPLAYED), ["day", "contest_id"]).collect()
+    assert {x.contest_id: (x.a_rating_after, x.a_rd_after, x.b_rating_after, x.b_rd_after) for x in got} == {k: pytest.approx(v) for k, v in want.items()}
+
+
+def test_a_known_glicko_move():
+    # a strong win against a weaker player of known deviation raises the rating and narrows the deviation
+    rating, rd, vol = replay.glicko_move(1500.0, 200.0, 0.06, 1400.0, 30.0, 1.0)
+    assert rating == pytest.approx(1563.56, abs=0.1) and rd == pytest.approx(175.4, abs=0.1) and vol == pytest.approx(0.06, abs=1e-4)
+
+
+def test_attack_and_defence_against_a_plain_replay(spark):
+    r = random.Random(5)
+    rows = [(*x[:4], float(r.randrange(6)), float(r.randrange(6))) for x in replay_rows(60)]
+    league, total, n, now, want = {}, 0.0, 0, {}, {}
+    for day in sorted({x[1] for x in rows}):
+        league[day] = (200 * 2.5 + total) / (200 + n)
+        total += sum(x[4] + x[5] for x in rows if x[1] == day)
+        n += sum(2 for x in rows if x[1] == day)
+    for contest, day, a, b, sa, sb in rows:
+        (oa, da), (ob, db) = now.get(a, (0.0, 0.0)), now.get(b, (0.0, 0.0))
+        ea, eb = sa - (league[day] + oa + db), sb - (league[day] + ob + da)
+        now[a], now[b] = (oa + 0.2 * ea, da + 0.2 * eb), (ob + 0.2 * eb, db + 0.2 * ea)
+        want[contest] = (*now[a], *now[b])
+    c = spark.createDataFrame(rows, "contest_id int, day int, a_id int, b_id int, a_score double, b_score double")
+    means = replay.league_mean(c, "day", [c.a_score, c.b_score], 2.5)
+    got = replay.attack_defence(c.join(means, "day"), ["day", "contest_id"]).collect()
+    assert {x.contest_id: (x.a_attack_after, x.a_defence_after, x.b_attack_after, x.b_defence_after) for x in got} == {k: pytest.approx(v) for k, v in want.items()}
 
 
 def test_evaluation(spark):
