@@ -74,8 +74,8 @@ SKID = "CASE WHEN l3 = 3 THEN 25 WHEN l5 >= 3 THEN 15 WHEN l3 >= 2 THEN 10 WHEN
 CURRENT = "SELECT {0}, bouts, round(raw + 1e-9, 6) AS raw, CAST(greatest(0, " + CURVE + " - " + SKID + ") AS BIGINT) AS score FROM scored WHERE bouts >= {1}"
 
 
-def scored(sides, key: list[str], least: int):
-    """Components of each key's history as of AS_OF, their weighted sum, the curve and what a skid takes off."""
+def components(sides, key: list[str]):
+    """Components of each key's history as of AS_OF."""
     as_of, day = F.lit(AS_OF).cast("date"), F.col("day")
     from pyspark.sql import Window
 
@@ -93,7 +93,7 @@ def scored(sides, key: list[str], least: int):
     last5, points = F.col("rn") <= 5, F.when(won, 100).when(lost, 0).otherwise(50)
     recent = lambda m: day >= S.months_ago(as_of, m)
     hit = F.round(25 * total(F.col("severity"), lost & (F.col("rn") <= 3)) + 12 * total(F.col("severity"), lost & last5) + 6 * total(F.col("severity"), lost & recent(24)) + 1e-9)
-    c = d.groupBy(*key).agg(
+    return d.groupBy(*key).agg(
         F.count("*").alias("bouts"), F.least(F.lit(100.0), total(F.col("w") * F.col("tier"), won)).alias("qw"),
         (F.coalesce(F.try_divide(F.sum(F.when(won & fin, F.col("w") * F.col("t1"))), F.sum(F.when(won, F.col("w") * F.col("t1")))), F.lit(0.0)) * 100).alias("fin"),
         F.least(F.lit(100.0), F.greatest(*[total(F.col("t1"), recent(m)) / x for m, x in ((12, 60), (24, 120), (36, 180))]) * 100).alias("act"),
@@ -101,13 +101,22 @@ def scored(sides, key: list[str], least: int):
         n(lost & (F.col("rn") <= 3)).alias("l3"), n(lost & last5).alias("l5"), n(lost & (F.col("rn") == 1)).alias("l1"),
         S.layoff_penalty(S.months_mean(as_of, F.max("day"))).alias("layoff"), F.coalesce(F.min(F.when(~won, F.col("rn"))) - 1, F.count("*")).alias("streak"),
     )
-    weighted = 0.16 * F.col("qw") + 0.10 * F.col("fin") + 0.12 * F.col("act") + 0.18 * F.col("form") - 0.20 * F.col("loss") - F.col("layoff") + S.clamp(F.col("streak") - 2, 0, 5)
-    c = c.withColumn("raw", F.greatest(F.lit(0.0), weighted * S.credibility(F.col("bouts"))))
+
+
+def settled(raw, least: int, key: list[str], c):
+    """The curve of a weighted sum and what a skid takes off."""
+    c = c.withColumn("raw", raw)
     skid = F.when(F.col("l3") == 3, 25).when(F.col("l5") >= 3, 15).when(F.col("l3") >= 2, 10).when(F.col("l1") == 1, 5).otherwise(0)
     curve = F.round(S.polyline(F.col("raw"), S.SCORE) + 1e-9)
     return c.where(F.col("bouts") >= least).select(*key, "bouts", F.round(F.col("raw") + 1e-9, 6).alias("raw"), F.greatest(F.lit(0), curve - skid).cast("long").alias("score"))
 
 
+def scored(sides, key: list[str], least: int):
+    """What the results alone give: no titles, no statistics and no age."""
+    weighted = 0.16 * F.col("qw") + 0.10 * F.col("fin") + 0.12 * F.col("act") + 0.18 * F.col("form") - 0.20 * F.col("loss") - F.col("layoff") + S.clamp(F.col("streak") - 2, 0, 5)
+    return settled(F.greatest(F.lit(0.0), weighted * S.credibility(F.col("bouts"))), least, key, components(sides, key))
+
+
 @query(TIERS + _components("entity") + CURRENT.format("entity", 5))
 def q_score_current(spark, sf):
     return scored(tiered(spark, sf), ["entity"], 5)
