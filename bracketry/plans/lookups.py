@@ -185,33 +185,59 @@ def q_leaderboard(spark, sf):
 
 @query("""
 WITH k AS (SELECT o_custkey, list_distinct(list(o_orderpriority)) AS ps, any_value(c_mktsegment) AS seg FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1),
-me AS (SELECT * FROM k ORDER BY o_custkey LIMIT 1)
-SELECT k.o_custkey, CAST(3 * len(list_intersect(k.ps, me.ps)) + CASE WHEN k.seg = me.seg THEN 1 ELSE 0 END AS BIGINT) AS score FROM k, me WHERE k.o_custkey <> me.o_custkey ORDER BY score DESC, k.o_custkey LIMIT 30""")
+s AS (SELECT q.o_custkey AS query, k.o_custkey, CAST(3 * len(list_intersect(k.ps, q.ps)) + CASE WHEN k.seg = q.seg THEN 1 ELSE 0 END AS BIGINT) AS score FROM k q JOIN k ON k.o_custkey <> q.o_custkey WHERE q.o_custkey % 100 = 0)
+SELECT query, o_custkey, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, o_custkey) AS k FROM s WHERE score > 0) WHERE k <= 30""")
 def q_overlap_rank(spark, sf):
+    """For every customer whose key is divisible by 100, the thirty that have most in common, of those that have anything.
+
+    Customers with the same priorities and segment are one class, and there are no more classes than sets of five priorities
+    in five segments. Classes are compared, not customers; the first 31 of a class are all that an answer can hold.
+    """
     o, c = table(spark, sf, "orders"), table(spark, sf, "customer")
-    k = o.join(c, o.o_custkey == c.c_custkey).groupBy("o_custkey").agg(F.collect_set("o_orderpriority").alias("ps"), F.first("c_mktsegment").alias("seg"))
-    me = k.orderBy("o_custkey").limit(1).select(F.col("o_custkey").alias("m"), F.col("ps").alias("mps"), F.col("seg").alias("mseg"))
-    score = 3 * F.size(F.array_intersect("ps", "mps")) + F.when(F.col("seg") == F.col("mseg"), 1).otherwise(0)
-    return k.crossJoin(F.broadcast(me)).where("o_custkey <> m").select("o_custkey", score.cast("long").alias("score")).orderBy(F.desc("score"), "o_custkey").limit(30)
+    tokens = F.array_sort(F.array_append(F.transform(F.collect_set("o_orderpriority"), lambda p: F.struct(F.lit(3).alias("w"), p.alias("t"))), F.struct(F.lit(1).alias("w"), F.first("c_mktsegment").alias("t"))))
+    k = o.join(c, o.o_custkey == c.c_custkey).groupBy("o_custkey").agg(tokens.alias("own"))
+    firsts = k.withColumn("n", F.row_number().over(Window.partitionBy("own").orderBy("o_custkey"))).where("n <= 31").select("own", "o_custkey")
+    classes = firsts.select("own").distinct()
+    each = lambda name: classes.select(F.col("own").alias(name), F.explode("own").alias("x"))
+    scores = each("q").join(each("own"), "x").groupBy("q", "own").agg(F.sum("x.w").cast("long").alias("score"))
+    best = scores.join(firsts, "own").withColumn("k", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "o_custkey"))).where("k <= 31").select("q", "o_custkey", "score")
+    asked = k.where("o_custkey % 100 = 0").select(F.col("o_custkey").alias("query"), F.col("own").alias("q"))
+    found = asked.join(best, "q").where("query <> o_custkey").withColumn("k", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "o_custkey")))
+    return found.where("k <= 30").select("query", "o_custkey", "score")
+
+
+#: Parts of the rows of a label that a query meets on their own, so that a label is no single task.
+SALTS = 16
 
 
 @query("""
-WITH q AS (SELECT embedding AS e, label AS l FROM embeddings WHERE vec_id = 7)
-SELECT vec_id, round(exp(-sqrt(list_sum(list_transform(list_zip(embedding, e), lambda z: (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)) ** 2))) / 0.5), 6) AS similarity
-FROM embeddings, q WHERE label = l AND vec_id <> 7 ORDER BY similarity DESC, vec_id LIMIT 6""")
+WITH q AS (SELECT vec_id AS query, embedding AS e, label AS l FROM embeddings WHERE vec_id % 100 = 0),
+s AS (SELECT query, vec_id, round(exp(-sqrt(list_sum(list_transform(list_zip(embedding, e), lambda z: (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)) ** 2))) / 0.5), 6) AS similarity FROM embeddings JOIN q ON label = l AND vec_id <> query)
+SELECT query, vec_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, vec_id) AS k FROM s) WHERE k <= 6""")
 def q_knn_style(spark, sf):
+    """For every row whose id is divisible by 100, the six rows of its label that are most like it.
+
+    Queries stand under every part of their label, rows under one; the six best of each part make the six best of all.
+    """
     e = table(spark, sf, "embeddings")
-    me = e.where("vec_id = 7").select(F.col("embedding").alias("q"), F.col("label").alias("ql"))
+    parts = F.explode(F.array(*map(F.lit, range(SALTS)))).alias("part")
+    asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"), "label", parts)
+    rows = e.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).cast("int"))
     gap = F.aggregate(F.zip_with("embedding", "q", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-    near = e.where("vec_id <> 7").crossJoin(F.broadcast(me)).where("label = ql").select("vec_id", F.round(F.exp(-F.sqrt(gap) / 0.5), 6).alias("similarity"))
-    return near.orderBy(F.desc("similarity"), "vec_id").limit(6)
+    near = rows.join(asked, ["label", "part"]).where("vec_id <> query").select("query", "part", "vec_id", F.round(F.exp(-F.sqrt(gap) / 0.5), 6).alias("similarity"))
+    for by in (["query", "part"], ["query"]):
+        near = near.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("similarity"), "vec_id"))).where("k <= 6").drop("k")
+    return near.select("query", "vec_id", "similarity")
 
 
-@query("SELECT CAST(least(p_size, 30) AS BIGINT) AS size, p_brand, p_name FROM part EXCEPT SELECT 5, 'Brand#1', 'red ring'")
+@query("""
+WITH x AS (SELECT p_brand, p_size FROM part WHERE p_partkey % 2 = 0), y AS (SELECT p_brand, p_size FROM part WHERE p_partkey % 2 = 1)
+SELECT 'first' AS side, * FROM (SELECT * FROM x EXCEPT SELECT * FROM y) UNION ALL SELECT 'second', * FROM (SELECT * FROM y EXCEPT SELECT * FROM x)""")
 def q_set_difference(spark, sf):
-    p = table(spark, sf, "part").select(F.least("p_size", F.lit(30)).cast("long").alias("size"), "p_brand", "p_name")
-    gone = spark.createDataFrame([(5, "Brand#1", "red ring")], "size long, p_brand string, p_name string")
-    return p.subtract(gone)
+    """What each of two sets has and the other lacks."""
+    p = table(spark, sf, "part")
+    x, y = (p.where(f"p_partkey % 2 = {k}").select("p_brand", "p_size") for k in (0, 1))
+    return x.subtract(y).select(F.lit("first").alias("side"), "*").unionAll(y.subtract(x).select(F.lit("second").alias("side"), "*"))
 
 
 @query("SELECT c_nationkey AS nation FROM customer INTERSECT SELECT s_nationkey FROM supplier")

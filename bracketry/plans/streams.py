@@ -94,7 +94,7 @@ def q_deferred_settlement(spark, sf):
     return r.select("contest_id", done.alias("complete"), F.when(done, F.col("knockdowns")).alias("knockdowns"))
 
 
-LINKS = "WITH RECURSIVE link AS (SELECT DISTINCT user_id AS a, CAST(floor(value * 100) AS BIGINT) + 1000000 AS b FROM events WHERE event_type = 'purchase' AND value > 120)"
+LINKS = "WITH RECURSIVE link AS (SELECT DISTINCT user_id AS a, CAST(floor(value * 100) AS BIGINT) + 1000000 AS b FROM events WHERE event_type = 'purchase')"
 
 
 @query(LINKS + """
@@ -102,7 +102,7 @@ LINKS = "WITH RECURSIVE link AS (SELECT DISTINCT user_id AS a, CAST(floor(value
 SELECT node, min(seen) AS root FROM walk GROUP BY node""")
 def q_components(spark, sf):
     """Users and the prices that they paid in common, as connected components."""
-    link = table(spark, sf, "events").where("event_type = 'purchase' and value > 120").select(F.col("user_id").alias("a"), (F.floor(F.col("value") * 100) + 1000000).alias("b")).distinct()
+    link = table(spark, sf, "events").where("event_type = 'purchase'").select(F.col("user_id").alias("a"), (F.floor(F.col("value") * 100) + 1000000).alias("b")).distinct()
     return graph.smallest_reachable(link, "a", "b")
 
 
