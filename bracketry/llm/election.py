@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 
+def numbered(docs: DataFrame, *columns: str) -> tuple[DataFrame, list[str]]:
+    """docs with its columns renamed c0, c1, ..., so that none clashes with another, and the new names of some."""
+    names = docs.columns
+    return docs.toDF(*[f"c{i}" for i in range(len(names))]), [f"c{names.index(c)}" for c in columns]
+
+
 def with_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """docs with _key, a hash of id and text. Nulls, which the hash would pass over, are marked."""
     return docs.withColumn("_key", F.xxhash64(F.col(id_col), F.col(text_col), F.col(id_col).isNull(), F.col(text_col).isNull()))

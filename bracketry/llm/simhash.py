@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import join_by_size, materialize
 from .components import components
-from .election import elect, with_key
+from .election import elect, numbered, with_key
 
 BITS, RADIUS, SEED = 64, 2, 42
 #: The largest radius: half of it is how far the fingerprints of a frequent signature are listed around.
@@ -204,6 +204,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = RADIUS) -> DataFrame:
     """docs with one row of each group of near-duplicates, as elect() chooses it. Columns stay as they are."""
-    keyed = with_key(docs, id_col, text_col)
+    plain, (id_col, text_col) = numbered(docs, id_col, text_col)
+    keyed = with_key(plain, id_col, text_col)
     groups = near_duplicates(keyed, "_key", text_col, size, radius).select("_key", F.col("component_id").alias("_group"))
-    return elect(keyed, groups, id_col, text_col)
+    return elect(keyed, groups, id_col, text_col).toDF(*docs.columns)

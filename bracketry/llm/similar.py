@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import simhash
 from .common import frugal, join_by_size, materialize
 from .components import components
-from .election import elect, with_key
+from .election import elect, numbered, with_key
 from .simhash import majority, shingle_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -150,9 +150,10 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     Texts without words are alike. Texts of fewer than five words are one shingle.
     """
-    keyed = with_key(docs, id_col, text_col)
+    plain, (id_col, text_col) = numbered(docs, id_col, text_col)
+    keyed = with_key(plain, id_col, text_col)
     texts = keyed.select("_key", F.col(text_col).cast("string"))
     found = beginnings(texts)
     known = links(found, texts)
     groups = found.select("_key", "s").join(known, F.col("s") == F.col("node"), "left").select("_key", F.coalesce("root", "s").alias("_group"))
-    return elect(keyed, groups, id_col, text_col)
+    return elect(keyed, groups, id_col, text_col).toDF(*docs.columns)

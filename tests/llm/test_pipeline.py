@@ -96,6 +96,19 @@ def test_planted_rows(spark, tmp_path):
     assert {d for d in got if d >= 2000} == {d for d, _ in rows if d >= 2000}
 
 
+def test_further_columns(spark, tmp_path):
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(30))
+    rows = [(k, t, "en", None, len(t or ""), "x", 7, "y") for k, t in [(1, text("a")), (None, text("b")), (None, text("c")), (2, None), (2, ""), (3, text("a"))]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, ids string, other int, _key string")
+    spark.createDataFrame([(1, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, text("z"))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in P.STAGES:
+        docs = P.materialize(stage(spark, docs, str(tmp_path)), "test-further")
+        assert docs.where("other <> 7").count() == 0, name
+    assert {(r.doc_id, (r.text or "")[:1]) for r in docs.collect()} == {(1, "a"), (None, "b"), (None, "c"), (2, "")}
+    assert docs.columns[-2:] == ["n_tokens", "decodes"] and dict(docs.dtypes)["ids"] == "binary"
+
+
 def test_an_empty_table(spark, tmp_path):
     for name, schema in {"documents": "doc_id long, text string, lang string, source string, n_chars long", "labels": "doc_id long, quality int, toxic int", "benchmark": "item_id long, text string"}.items():
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
