@@ -42,7 +42,7 @@ def swapped(df: DataFrame, suffixes: tuple[str, str] = ("_a", "_b"), complements
 
 def symmetrised(df: DataFrame, key: str, complements: tuple[str, ...] = ()) -> DataFrame:
     """Half of the rows, by a hash of the key, with their sides exchanged, so that no side is favoured."""
-    flip = F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(2)) == 1
+    flip = F.conv(F.left(F.md5(F.col(key).cast("string")), F.lit(1)), 16, 10).cast("int") % 2 == 1
     return df.where(~flip).unionByName(swapped(df.where(flip), complements=complements))
 
 

@@ -293,3 +293,23 @@ def q_manifest(spark, sf):
     return r.select("o_orderkey", verdict.alias("verdict"))
 
 
+@query("""
+WITH o AS (SELECT o_orderkey AS k, o_orderkey % 30 AS tier, (o_orderkey % 97 + 1) / 99.0 AS p, [1.5 + o_orderkey % 5 * 0.3, 2.0 + o_orderkey % 3, 3.0 + o_orderkey % 7 * 0.5]::DOUBLE[] AS prices FROM orders)
+SELECT k, CASE WHEN tier >= 25 THEN 0.3 WHEN tier >= 22 THEN 0.45 WHEN tier >= 14 THEN 0.6 WHEN tier >= 8 THEN 0.75 WHEN tier >= 3 THEN 0.9 ELSE 1 END::DOUBLE AS severity,
+       round(CASE WHEN k % 2 = 0 THEN 1.15 WHEN k % 3 = 0 THEN 0.9 + 0.1 * least(2, greatest(0, k % 7 / 2.0)) ELSE 1 END::DOUBLE, 6) AS quality, CAST(CASE WHEN k % 20 <= 5 THEN 22 WHEN k % 20 <= 10 THEN 14 WHEN k % 20 <= 15 THEN 8 ELSE 0 END AS INTEGER) AS points,
+       round(1 / (1 + exp(-(k % 101 - 50) / 20.0)), 6) AS forecast, round((k % 10 / 10.0 * (k % 7) + 0.5 * 4) / (k % 7 + 4), 6)::DOUBLE AS shrunk,
+       round(1 / (1 + exp(-(0.9 * ln(p / (1 - p)) + CASE WHEN k % 4 = 0 THEN 0 ELSE k % 5 * 0.1 END))), 6) AS corrected,
+       round(CASE WHEN list_sum(list_transform(prices, lambda x: 1 / x)) BETWEEN 1 AND 1.6 THEN 1 / prices[1] / list_sum(list_transform(prices, lambda x: 1 / x)) END, 6) AS share FROM o""")
+def q_scalar_rules(spark, sf):
+    """Severity of a loss, quality of a win, points of a rank, a forecast, a shrunk rate, a corrected probability and a share of a book."""
+    from ..functions import odds as O
+
+    k = F.col("k")
+    d = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"))
+    margin, shift = F.when(k % 3 == 0, k % 7 / 2), F.when(k % 4 != 0, k % 5)
+    prices = F.array(1.5 + k % 5 * 0.3, 2.0 + k % 3, 3.0 + k % 7 * 0.5)
+    p = (k % 97 + 1) / 99
+    return d.select(
+        "k", S.loss_severity(k % 30).cast("double").alias("severity"), F.round(S.win_quality(k % 2 == 0, margin), 6).alias("quality"), S.rank_points(k % 20).alias("points"), F.round(O.forecast((k % 101 - 50).cast("double"), 20.0), 6).alias("forecast"),
+        F.round(S.shrink(k % 10 / 10, k % 7, 0.5, 4), 6).alias("shrunk"), F.round(S.corrected(p, 0.9, [(shift, 0.1)]), 6).alias("corrected"), F.round(F.get(O.devig_many(prices), 0), 6).alias("share"),
+    )

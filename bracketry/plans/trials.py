@@ -155,10 +155,13 @@ def q_swapped(spark, sf):
     return swapped(wide(spark, sf).select("contest_id", "bouts_a", "bouts_b", "p"), complements=("p",)).select("contest_id", "bouts_a", "bouts_b", F.round("p", 6).alias("p"))
 
 
-@query()
+@query(PRE + """
+, x AS (SELECT *, CAST('0x' || left(md5(CAST(contest_id AS VARCHAR)), 1) AS INTEGER) % 2 = 1 AS flip FROM wide)
+SELECT contest_id, CASE WHEN flip THEN bouts_b ELSE bouts_a END AS bouts_a, CASE WHEN flip THEN bouts_a ELSE bouts_b END AS bouts_b, round(CASE WHEN flip THEN 1 - p ELSE p END, 6) AS p FROM x""")
 def q_symmetrise(spark, sf):
     """Sides exchanged for the half of contests that a hash of the key picks."""
-    return symmetrised(wide(spark, sf).select("contest_id", "bouts_a", "bouts_b", "p"), "contest_id", complements=("p",))
+    d = symmetrised(wide(spark, sf).select("contest_id", "bouts_a", "bouts_b", "p"), "contest_id", complements=("p",))
+    return d.select("contest_id", "bouts_a", "bouts_b", F.round("p", 6).alias("p"))
 
 
 MODEL = "1 / (1 + exp(-(0.8 * ({a} - {b}) + 0.1)))"

@@ -226,3 +226,25 @@ def test_evaluation(spark):
     assert [x.value for x in steps] == sorted(x.value for x in steps) and dict(map(tuple, steps))[0.3] == 0.5
     fit = evaluate.ridge(spark.createDataFrame([(float(i), 2.0 * i + 1) for i in range(9)], "x double, y double"), "y", ["x"], 0.0)
     assert fit == {"1": pytest.approx(1), "x": pytest.approx(2)}
+
+
+def test_similar_sets_against_all_pairs(spark):
+    from bracketry.operators import fuzzy
+
+    r = random.Random(9)
+    base = [{r.randrange(40) for _ in range(r.choice([3, 8, 20]))} for _ in range(25)]
+    sets = base + [s - set(r.sample(sorted(s), 1)) | {r.randrange(40)} for s in base for _ in range(3)]
+    rows = [(i, sorted(s)) for i, s in enumerate(sets)] + [(900, []), (901, [])]
+    got = fuzzy.similar(spark.createDataFrame(rows, "k long, g array<int>"), "k", F.col("g"), 0.7).collect()
+    want = {(i, j): len(a & b) / len(a | b) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and len(a & b) / len(a | b) > 0.7}
+    assert len(want) > 20 and {(x.a, x.b): x.similarity for x in got} == {k: pytest.approx(v) for k, v in want.items()}
+
+
+def test_best_and_only_candidates(spark):
+    from bracketry.operators import fuzzy
+
+    d = spark.createDataFrame([(1, 0.5, "a"), (1, 0.9, "b"), (2, 0.4, "c"), (3, 0.7, "e"), (3, 0.7, "d")], "k int, s double, c string")
+    assert sorted(x.c for x in fuzzy.best(d, "k", [F.desc("s"), F.col("c")]).collect()) == ["b", "c", "d"]
+    assert [x.c for x in fuzzy.only(d, "k").collect()] == ["c"]
+    near = fuzzy.near_days(spark.sql("select date '2000-01-03' as x"), spark.sql("select explode(sequence(date '2000-01-01', date '2000-01-09')) as y"), "x", "y", 2)
+    assert near.count() == 5
