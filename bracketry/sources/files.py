@@ -21,15 +21,23 @@ def pasted(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
 
 
 def feed(xml: Column) -> Column:
-    """array<struct<title, link, summary, published>> of an RSS feed."""
-    items = F.regexp_extract_all(xml, F.lit(r"(?s)<item\b[^>]*>(.*?)</item>"), F.lit(1))
+    """array<struct<title, link, summary, published>> of an RSS or Atom feed, in its order."""
+    items = F.regexp_extract_all(xml, F.lit(r"(?s)<(item|entry)\b[^>]*>(.*?)</\1>"), F.lit(2))
 
-    def tag(item: Column, name: str) -> Column:
-        inner = F.regexp_extract(item, rf"(?s)<{name}\b[^>]*>(.*?)</{name}>", 1)
+    def tag(item: Column, names: str) -> Column:
+        inner = F.regexp_extract(item, rf"(?s)<({names})\b[^>]*>(.*?)</\1>", 2)
         return F.trim(F.regexp_replace(inner, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1"))
 
-    at = lambda i: F.try_to_timestamp(F.regexp_extract(tag(i, "pubDate"), r"(\d{1,2} \w{3} \d{4} \d{2}:\d{2}:\d{2})", 1), F.lit("d MMM yyyy HH:mm:ss"))
-    return F.transform(items, lambda i: F.struct(tag(i, "title").alias("title"), tag(i, "link").alias("link"), strip_tags(tag(i, "description")).alias("summary"), at(i).alias("published")))
+    def published(item: Column) -> Column:
+        rss = F.try_to_timestamp(F.regexp_extract(tag(item, "pubDate"), r"(\d{1,2} \w{3} \d{4} \d{2}:\d{2}:\d{2})", 1), F.lit("d MMM yyyy HH:mm:ss"))
+        atom = F.try_to_timestamp(F.regexp_extract(tag(item, "published|updated"), r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2})", 1), F.lit("yyyy-MM-dd'T'HH:mm:ss"))
+        return F.coalesce(rss, atom)
+
+    def link(item: Column) -> Column:
+        inner = tag(item, "link")
+        return F.when(inner != "", inner).otherwise(F.regexp_extract(item, r'<link\b[^>]*?href="([^"]*)"', 1))
+
+    return F.transform(items, lambda i: F.struct(tag(i, "title").alias("title"), link(i).alias("link"), strip_tags(tag(i, "description|summary|content")).alias("summary"), published(i).alias("published")))
 
 
 QUOTES = "struct<results: map<string, struct<odds: map<string, array<struct<home_od: string, away_od: string, add_time: string>>>>>>"

@@ -24,6 +24,12 @@ def test_feed(spark):
     assert got[0].published == dt.datetime(2024, 1, 1, 10) and got[1].published is None
 
 
+def test_atom_feed(spark):
+    xml = '<feed><title>t</title><entry><title>A</title><link rel="alternate" href="http://x/1"/><updated>2024-01-01T10:00:00Z</updated><summary>b &lt; <i>c</i></summary></entry><entry><title>B</title><published>soon</published></entry></feed>'
+    got = spark.createDataFrame([(xml,)], "x string").select(F.inline(files.feed(F.col("x")))).collect()
+    assert [(r.title, r.link, r.published) for r in got] == [("A", "http://x/1", dt.datetime(2024, 1, 1, 10)), ("B", "", None)]
+
+
 def test_quotes(spark):
     j = {"results": {"book1": {"odds": {"1_1": [{"home_od": "1.5", "away_od": "2.5", "add_time": "0"}, {"home_od": "-", "away_od": "2.5", "add_time": "1"}]}}}}
     got = files.quotes(spark.createDataFrame([(7, json.dumps(j)), (8, "broken"), (9, None)], "id int, p string"), "id", "p").collect()
