@@ -8,8 +8,8 @@ order, such sets have a shingle in common among the first n - ceil(0.8 n) + 1 of
 are not yet in one group, and whose parities leave the similarity open, are verified as well. Every pair that is alike meets,
 whatever the order. The order puts shingles last that are frequent in a sample, which keeps lists short.
 
-Long lists are not expanded into pairs at once: before that each member is compared with one of its list, which links large
-groups of near copies. After that only pairs of different groups are compared.
+Long lists are not expanded into pairs at once: along with what SimHash proposes, each member is compared with one of its list,
+which links large groups of near copies. After that only pairs of different groups are compared.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: Keys in the sample that orders shingles: at least so many, or one in so many; counts from which a shingle is frequent; how
 #: many of these are sent to tasks. They change the length of lists alone.
 SAMPLE, SAMPLE_SHARE, FREQUENT, SENT = 8_000, 50, 3, 1 << 18
-STARS, PARITIES = 1, 1024
+PARITIES = 1024
 #: Bits within which fingerprints are proposed.
 RADIUS = 3
 
@@ -123,26 +123,28 @@ def proposed(sketches: DataFrame) -> DataFrame:
 def links(found: DataFrame, texts: DataFrame) -> DataFrame:
     """(node, root) for sets that are alike, by chains of those; sets like no other are not listed. found as of beginnings()."""
     sketches = materialize(found.groupBy("s").agg(F.min_by(F.struct("_key", "n", "fp", "bits"), "_key").alias("f")).select("s", "f.*"), "sketches")
-    edges = materialize(_alike(proposed(sketches), sketches, texts), "alike")
-    known = materialize(components(edges), "known")
     lists = found.select("s", "n", F.posexplode("first").alias("pos", "h")).select("s", "h", "n", (F.col("n") - F.col("pos")).alias("left"))
     shared = lists.groupBy("h").agg(F.min("s").alias("x"), F.max("s").alias("y")).where("x <> y").select("h")
     near = materialize(lists.join(shared, "h", "left_semi").distinct(), "lists")
-    # at the first shingle in common, all others in common are still to come
-    meet = (F.col("a") != F.col("b")) & (18 * F.least("left", "other_left") >= 8 * (F.col("n") + F.col("other_n"))) & (F.col("root") != F.col("other_root"))
-    pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-    for k in range(STARS + 1):
-        now = near.join(known, F.col("s") == F.col("node"), "left").select(*near.columns, F.coalesce("root", "s").alias("root"))
-        mixed = now.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("h")
-        now = other = materialize(now.join(mixed, "h", "left_semi"), "mixed")
-        if k < STARS:
-            middle = F.min_by(F.struct("s", "n", "left", "root"), F.struct(F.xxhash64("s", F.lit(k)), "s")).alias("c")
-            other = now.groupBy("h").agg(middle).select("h", "c.*")
+
+    def met(now: DataFrame, other: DataFrame) -> DataFrame:
+        # at the first shingle in common, all others in common are still to come
+        meet = (F.col("a") != F.col("b")) & (18 * F.least("left", "other_left") >= 8 * (F.col("n") + F.col("other_n"))) & (F.col("root") != F.col("other_root"))
         other = other.select("h", F.col("s").alias("b"), F.col("n").alias("other_n"), F.col("left").alias("other_left"), F.col("root").alias("other_root"))
-        met = now.withColumnRenamed("s", "a").join(other, "h").where(meet)
-        edges = edges.unionAll(materialize(_alike(met.select(*pair).distinct(), sketches, texts), "alike"))
-        known = materialize(components(edges), "known")
-    return known
+        return now.withColumnRenamed("s", "a").join(other, "h").where(meet).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    # what SimHash proposes, and each member of a list with one of it
+    now = near.withColumn("root", F.col("s"))
+    middle = F.min_by(F.struct("s", "n", "left", "root"), F.struct(F.xxhash64("s"), "s")).alias("c")
+    first = met(now, now.groupBy("h").agg(middle).select("h", "c.*")).unionAll(proposed(sketches)).distinct()
+    edges = materialize(_alike(first, sketches, texts), "alike")
+    known = materialize(components(edges), "known")
+    # all pairs of a list that are not in one group by now
+    now = near.join(known, F.col("s") == F.col("node"), "left").select(*near.columns, F.coalesce("root", "s").alias("root"))
+    mixed = now.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("h")
+    now = materialize(now.join(mixed, "h", "left_semi"), "mixed")
+    edges = edges.unionAll(materialize(_alike(met(now, now).distinct(), sketches, texts), "alike"))
+    return materialize(components(edges), "known")
 
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
