@@ -18,7 +18,7 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not re.fullmatch(r"local(\[[\d*,]+\])?", spark.sparkContext.master):
+        if not re.match(r"local(\[[\d*,]+\])?$", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="bracketry-"))
         folder = spark.sparkContext.getCheckpointDir()
