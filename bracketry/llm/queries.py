@@ -15,6 +15,8 @@ from .op8 import op8_line_dedup
 from .op9 import SQL as OP9_SQL
 from .op9 import op9_quality
 from .op10 import op10_bpe
+from .op12 import SQL as OP12_SQL
+from .op12 import op12_dialogue_repair
 
 QUERIES = {
     "op1_token_files": op1_token_files,
@@ -27,5 +29,6 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_quality": op9_quality,
     "op10_bpe": op10_bpe,
+    "op12_dialogue_repair": op12_dialogue_repair,
 }
-ORACLE_SQL = {"op2_decontamination": OP2_SQL, "op8_line_dedup": OP8_SQL, "op9_quality": OP9_SQL}
+ORACLE_SQL = {"op2_decontamination": OP2_SQL, "op8_line_dedup": OP8_SQL, "op9_quality": OP9_SQL, "op12_dialogue_repair": OP12_SQL}
