@@ -17,6 +17,8 @@ from .op9 import op9_quality
 from .op10 import op10_bpe
 from .op12 import SQL as OP12_SQL
 from .op12 import op12_dialogue_repair
+from .op13 import SQL as OP13_SQL
+from .op13 import op13_source_audit
 
 QUERIES = {
     "op1_token_files": op1_token_files,
@@ -30,5 +32,6 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_bpe": op10_bpe,
     "op12_dialogue_repair": op12_dialogue_repair,
+    "op13_source_audit": op13_source_audit,
 }
-ORACLE_SQL = {"op2_decontamination": OP2_SQL, "op8_line_dedup": OP8_SQL, "op9_quality": OP9_SQL, "op12_dialogue_repair": OP12_SQL}
+ORACLE_SQL = {"op2_decontamination": OP2_SQL, "op8_line_dedup": OP8_SQL, "op9_quality": OP9_SQL, "op12_dialogue_repair": OP12_SQL, "op13_source_audit": OP13_SQL}
