@@ -15,6 +15,8 @@ from .op8 import op8_line_dedup
 from .op9 import SQL as OP9_SQL
 from .op9 import op9_quality
 from .op10 import op10_bpe
+from .op11 import SQL as OP11_SQL
+from .op11 import op11_warc
 from .op12 import SQL as OP12_SQL
 from .op12 import op12_dialogue_repair
 from .op13 import SQL as OP13_SQL
@@ -31,7 +33,15 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_quality": op9_quality,
     "op10_bpe": op10_bpe,
+    "op11_warc": op11_warc,
     "op12_dialogue_repair": op12_dialogue_repair,
     "op13_source_audit": op13_source_audit,
 }
-ORACLE_SQL = {"op2_decontamination": OP2_SQL, "op8_line_dedup": OP8_SQL, "op9_quality": OP9_SQL, "op12_dialogue_repair": OP12_SQL, "op13_source_audit": OP13_SQL}
+ORACLE_SQL = {
+    "op2_decontamination": OP2_SQL,
+    "op8_line_dedup": OP8_SQL,
+    "op9_quality": OP9_SQL,
+    "op11_warc": OP11_SQL,
+    "op12_dialogue_repair": OP12_SQL,
+    "op13_source_audit": OP13_SQL,
+}
