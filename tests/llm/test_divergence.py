@@ -7,9 +7,10 @@ import re
 from collections import Counter, defaultdict
 
 import duckdb
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from bracketry.llm import op13
+from bracketry.llm import divergence, op13
 from bracketry.llm.divergence import audit, vectors
 
 ROWS = "doc_id long, text string, lang string, source string"
@@ -70,6 +71,23 @@ def test_equal_vectors_are_met_once(spark):
     assert v.count() == 20 and v.select("vector").distinct().count() == 1
 
 
+def test_stretches_add_up(monkeypatch):
+    rows = [(r[2] or "", r[3] or "", r[1] or "") for r in made(4, 90, ["The", "the", "élan", "b", "\U0001f600"], ["x", "y"])]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], ["lang", "source", "text"]).slice(3)
+    want, docs = Counter(), Counter()
+    for la, s, t in rows[3:]:
+        want.update((la, s, w) for w in TERM.findall(lower(t)))
+        docs.update({(la, s, w) for w in TERM.findall(lower(t))})
+    for size in (1, 50, 1 << 20):
+        monkeypatch.setattr(divergence, "STRETCH", size)
+        n, d = Counter(), Counter()
+        for out in divergence.count_terms([batch]):
+            for r in out.to_pylist():
+                n[r["lang"], r["source"], r["term"]] += r["n"]
+                d[r["lang"], r["source"], r["term"]] += r["n_docs"]
+        assert (n, d) == (want, docs)
+
+
 def test_shares_of_very_large_counts(spark):
     from bracketry.llm.divergence import share
 
