@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..operators import regression as R
 from .base import CONTEST, contests, perspectives, table
 from .markets import BET, graded
 from .registry import query
@@ -187,17 +188,10 @@ def q_rate_with_exposure(spark, sf):
 
 @query()
 def q_offset_logit(spark, sf):
-    """One intercept for each division over the model's own logit, its slope held at 1: a few Newton steps of grouped sums.
-
-    Each step is one aggregation; a row a division comes back.
-    """
+    """One intercept for each division over the model's own logit, its slope held at 1."""
     f = forecasts(spark, sf).select("division", "y", S.logit(F.col("p")).alias("z"))
-    now = f.select("division").distinct().withColumn("shift", F.lit(0.0))
-    for _ in range(6):
-        q = S.sigmoid(F.col("z") + F.col("shift"))
-        step = f.join(F.broadcast(now), "division").groupBy("division", "shift").agg(F.sum(F.col("y") - q).alias("g"), F.sum(q * (1 - q)).alias("h"))
-        now = spark.createDataFrame(step.select("division", (F.col("shift") + F.col("g") / F.col("h")).alias("shift")).collect(), "division string, shift double")
-    return now.select("division", F.round("shift", 6).alias("shift"))
+    fit = R.fit_glm(f, "logit", "y", [], ["division"], offset="z")
+    return fit.select("division", F.round(F.get("coefs", F.lit(0)), 6).alias("shift"))
 
 
 @query("""
