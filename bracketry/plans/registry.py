@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return put
 
 
-from . import careers, details, fits, judging, linking, lookups, markets, merges, ratings, resolution, rounds, scores, streams, texts, trials  # noqa: E402, F401
+from . import careers, details, fits, judging, linking, lookups, markets, merges, ratings, resolution, rounds, scores, streams, texts, trading, trials  # noqa: E402, F401
