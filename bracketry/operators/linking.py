@@ -153,7 +153,8 @@ def link_spans(docs: DataFrame, aliases: DataFrame, text_col: str = "text", word
             is_word = _word_test(word)
             return _spans([_by_automaton(t, held.value, _automata[uid], is_word) if t and held.value else None for t in texts.to_pylist()])
 
-        return docs.withColumn("spans", linked(F.col(text_col).cast("string")))
+        # else Spark asks for spans before it lists them, and reads each text twice
+        return docs.withColumn("spans", linked.asNondeterministic()(F.col(text_col).cast("string")))
 
     @F.arrow_udf(SPANS)
     def searched(texts: pa.Array, candidates: pa.Array) -> pa.Array:
@@ -164,7 +165,7 @@ def link_spans(docs: DataFrame, aliases: DataFrame, text_col: str = "text", word
     given = docs.drop("spans")
     found = candidates(given.select(F.col(text_col).cast("string").alias("text")), rows, word)
     joined = given.withColumn("_digest", F.sha2(F.col(text_col).cast("string").cast("binary"), 256)).join(found, "_digest", "left")
-    return joined.withColumn("spans", searched(F.col(text_col).cast("string"), F.col("_rows"))).drop("_digest", "_rows")
+    return joined.withColumn("spans", searched.asNondeterministic()(F.col(text_col).cast("string"), F.col("_rows"))).drop("_digest", "_rows")
 
 
 def candidates(texts: DataFrame, aliases: DataFrame, word: str = ASCII) -> DataFrame:

@@ -30,7 +30,8 @@ def with_page(df: DataFrame, html_col: str = "html") -> DataFrame:
     def page_of(html: pa.Array) -> pa.Array:
         return pa.array([read_page(t or "") for t in html.to_pylist()], kind)
 
-    return df.withColumn("page", page_of(F.col(html_col).cast("string")))
+    # else Spark asks for tables before it lists them, and reads each page twice
+    return df.withColumn("page", page_of.asNondeterministic()(F.col(html_col).cast("string")))
 
 
 def table_rows(df: DataFrame, keys: list[str], keep: Column | None = None) -> DataFrame:
