@@ -177,3 +177,14 @@ def confidence_band(p: Column) -> Column:
 
 def recency_weight(age_days: Column, half_life: float) -> Column:
     return F.pow(F.lit(0.5), age_days / half_life)
+
+
+#: What a late and an early finish, a decision and any other win are worth at most, and the least that a win is.
+EARLY, LATE, DECISION, LEAST_WIN, ROUNDS_COUNT, JUDGES_COUNT = 0.95, 0.85, 0.35, 0.55, 0.65, 0.35
+
+
+def graded(method: Column, elapsed: Column, round_margin: Column, judge_margin: Column) -> Column:
+    """How clearly the winner won, before the least that any win is worth: margins are those of the winner, from -1 to 1."""
+    finish = EARLY - (EARLY - LATE) * clamp(elapsed, 0.0, 1.0)
+    cards = 0.5 + DECISION * (ROUNDS_COUNT * round_margin + JUDGES_COUNT * judge_margin)
+    return F.when(method.isin("ko", "submission"), finish).when(method == "decision", cards).otherwise(LEAST_WIN)

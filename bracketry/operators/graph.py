@@ -45,15 +45,19 @@ def smallest_reachable(links: DataFrame, a: str, b: str) -> DataFrame:
             return labels
 
 
-def spread(seeds: DataFrame, links: DataFrame, a: str, b: str, rounds: int) -> DataFrame:
-    """(node, label): known labels passed to unlabelled neighbours, the most frequent one first, then the smallest."""
-    both = links.select(F.col(a).alias("x"), F.col(b).alias("node")).unionAll(links.select(F.col(b).alias("x"), F.col(a).alias("node"))).distinct()
-    known = seeds.select("node", "label").distinct()
-    for _ in range(rounds):
-        votes = both.join(known.withColumnRenamed("node", "x"), "x").join(known.select("node"), "node", "left_anti").groupBy("node", "label").agg(F.count("*").alias("n"))
-        new = votes.groupBy("node").agg(F.min_by("label", F.struct(-F.col("n"), "label")).alias("label"))
-        grown = stored(known.unionByName(new))
-        if grown.count() == known.count():
-            break
-        known = grown
+def spread(seeds: DataFrame, links: DataFrame, a: str, b: str) -> DataFrame:
+    """(node, label): known labels passed to unlabelled neighbours until no node is reached any more.
+
+    A node takes the label that most of its neighbours have when the first of them has one, of equally many the smallest. Those
+    neighbours were all labelled in the round before, so that a round looks at the links of new nodes alone. Links with a null
+    end and seeds without a node or label are left out; a seed keeps its labels.
+    """
+    ends = links.select(F.col(a).alias("x"), F.col(b).alias("node")).where("x is not null and node is not null and x <> node")
+    both = stored(ends.unionByName(ends.select(F.col("node").alias("x"), F.col("x").alias("node"))).distinct())
+    known = new = stored(seeds.select("node", "label").dropna().distinct())
+    while not new.isEmpty():
+        votes = both.join(new.withColumnRenamed("node", "x"), "x").groupBy("node", "label").agg(F.count("*").alias("n"))
+        first = votes.join(known.select("node"), "node", "left_anti").groupBy("node").agg(F.min_by("label", F.struct(-F.col("n"), "label")).alias("label"))
+        new = stored(first)
+        known = known.unionByName(new)
     return known

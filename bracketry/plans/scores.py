@@ -201,36 +201,37 @@ def histories(spark, sf):
     d = s.withColumn("kind", F.lit("contest")).unionByName(months).withColumn("n", F.datediff("day", F.lit("1970-01-01")).cast("long"))
     along = Window.partitionBy("entity").orderBy("n")
     held = F.col("points").isNotNull()
-    one, x = F.when(held, F.lit(1.0)), F.col("points").cast("double")
-    # pieces of the decay as (first and last age in days, its value at age 0 and its slope a day)
-    pieces = [(0, 365, 1.0, 0.0), (366, 1095, 1.35, -0.35 / 365.25), (1096, 1826, 0.6, -0.1 / 365.25), (1827, None, 0.1, 0.0)]
-    w, wp = F.lit(0.0), F.lit(0.0)
-    for first, last, base, slope in pieces:
+    one, x = F.when(held, F.lit(1).cast("long")), F.col("points").cast("long")
+    # pieces of the decay as (first and last age in days, its value at age 0 and its fall a day), in units of 1 / 29220: whole
+    # numbers throughout, so that no digits are lost between two large sums
+    pieces = [(0, 365, 29220, 0), (366, 1095, 39447, 28), (1096, 1826, 17532, 8), (1827, None, 2922, 0)]
+    w, wp = F.lit(0).cast("long"), F.lit(0).cast("long")
+    for first, last, base, fall in pieces:
         own = along.rangeBetween(Window.unboundedPreceding if last is None else -last, -first)
-        total = lambda c, own=own: F.coalesce(F.sum(c).over(own), F.lit(0.0))
+        total = lambda c, own=own: F.coalesce(F.sum(c).over(own), F.lit(0).cast("long"))
         for weight in (1, 2):
             v = one if weight == 1 else x
-            part = (base + slope * F.col("n")) * total(v) - slope * total(v * F.col("n")) if slope else base * total(v)
+            part = base * total(v) - fall * (F.col("n") * total(v) - total(v * F.col("n"))) if fall else base * total(v)
             w, wp = (w + part, wp) if weight == 1 else (w, wp + part)
     bouts = F.count(one).over(along.rangeBetween(Window.unboundedPreceding, 0))
     return d.select("entity", "contest_id", F.col("day").alias("dated"), "kind", bouts.alias("bouts"), w.alias("w"), wp.alias("wp"))
 
 
-@query(HISTORY + " SELECT entity, contest_id, dated, kind, bouts, round(wp / w * least(1, 0.85 + 0.15 * bouts / 12), 4) AS score FROM h")
+@query(HISTORY + " SELECT entity, contest_id, dated, kind, bouts, round(wp / w * least(1, 0.85 + 0.15 * bouts / 12) + 1e-9, 4) AS score FROM h")
 def q_score_history(spark, sf):
     """A score after every contest and in every month between two, each from what was known then."""
-    return histories(spark, sf).select("entity", "contest_id", "dated", "kind", "bouts", F.round(F.col("wp") / F.col("w") * S.credibility(F.col("bouts")), 4).alias("score"))
+    return histories(spark, sf).select("entity", "contest_id", "dated", "kind", "bouts", F.round(F.col("wp") / F.col("w") * S.credibility(F.col("bouts")) + 1e-9, 4).alias("score"))
 
 
 @query(HISTORY + """
 , k AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY dated DESC, contest_id DESC) AS k FROM h WHERE kind = 'contest'), live AS (SELECT entity, avg(CASE result WHEN 'W' THEN 100.0 WHEN 'D' THEN 50 ELSE 0 END) AS live FROM side GROUP BY entity)
-SELECT k.entity, contest_id, dated, round(CASE WHEN k = 1 THEN live ELSE wp / w END, 4) AS score, k = 1 AS live FROM k JOIN live USING (entity)""")
+SELECT k.entity, contest_id, dated, round(CASE WHEN k = 1 THEN live ELSE wp / w END + 1e-9, 4) AS score, k = 1 AS live FROM k JOIN live USING (entity)""")
 def q_score_timeline(spark, sf):
     """The history at contests, its last point replaced by the live figure."""
     points = F.when(F.col("result") == "W", 100.0).when(F.col("result") == "D", 50.0).otherwise(0.0)
     live = perspectives(spark, sf).groupBy("entity").agg(F.avg(points).alias("now"))
     h = histories(spark, sf).where("kind = 'contest'").withColumn("k", F.row_number().over(Window.partitionBy("entity").orderBy(F.desc("dated"), F.desc("contest_id"))))
     last = F.col("k") == 1
-    return h.join(live, "entity").select("entity", "contest_id", "dated", F.round(F.when(last, F.col("now")).otherwise(F.col("wp") / F.col("w")), 4).alias("score"), last.alias("live"))
+    return h.join(live, "entity").select("entity", "contest_id", "dated", F.round(F.when(last, F.col("now")).otherwise(F.col("wp") / F.col("w")) + 1e-9, 4).alias("score"), last.alias("live"))
 
 

@@ -106,9 +106,20 @@ def q_components(spark, sf):
     return graph.smallest_reachable(link, "a", "b")
 
 
-@query()
+@query(CONTEST.replace("WITH", "WITH RECURSIVE", 1) + """
+, both_ AS (SELECT DISTINCT a_id AS x, b_id AS node FROM contest UNION SELECT DISTINCT b_id, a_id FROM contest),
+seed AS (SELECT DISTINCT c_custkey AS node, c_mktsegment AS label FROM customer WHERE c_acctbal > 9500),
+walk AS (SELECT node, 0 AS d FROM seed UNION SELECT e.node, w.d + 1 FROM walk w JOIN both_ e ON e.x = w.node WHERE w.d < 60),
+dist AS (SELECT node, min(d) AS d FROM walk GROUP BY node),
+lab AS (
+  SELECT node, label, 0 AS d FROM seed
+  UNION ALL
+  SELECT node, arg_min(label, (-n, label)), d + 1 FROM (
+    SELECT e.node, l.label, l.d, count(*) AS n FROM lab l JOIN both_ e ON e.x = l.node JOIN dist t ON t.node = e.node AND t.d = l.d + 1 GROUP BY ALL) GROUP BY node, d
+)
+SELECT node, label FROM lab""")
 def q_label_propagation(spark, sf):
-    """Segments of a few customers spread along contests."""
+    """Segments of a few customers spread along contests, as far as these reach."""
     c = table(spark, sf, "customer")
     seeds = c.where("c_acctbal > 9500").select(F.col("c_custkey").alias("node"), F.col("c_mktsegment").alias("label"))
-    return graph.spread(seeds, contests(spark, sf).select("a_id", "b_id"), "a_id", "b_id", 20)
+    return graph.spread(seeds, contests(spark, sf).select("a_id", "b_id"), "a_id", "b_id")

@@ -10,6 +10,7 @@ from ..operators import history as H
 from ..operators.twosided import differences, swapped, symmetrised
 from .base import CONTEST, contests, perspectives, table
 from .registry import query
+from .rounds import CARD, cards
 
 #: A forecast for side a of every decided contest, by a rule over its key, and whether it came true.
 CASE = CONTEST + """, f AS (
@@ -84,13 +85,29 @@ def q_majority_vote(spark, sf):
     return v.groupBy("l_orderkey").agg(F.count("*").alias("rounds"), F.count(F.when(F.col("m") > 0.5, 1)).alias("first_side"), F.count(F.when(F.col("m") == 0.5, 1)).alias("even"))
 
 
-@query(CONTEST + """
-SELECT contest_id, round(CASE WHEN winner_id IS NULL THEN 0.5 WHEN method IN ('ko', 'submission') THEN s WHEN method = 'decision' THEN greatest(0.55, 0.5 + 0.35 * (seconds / 300)) ELSE 0.55 END, 6) AS label FROM (
-  SELECT *, 0.95 - 0.10 * least(1, ((round - 1) * 300 + seconds) / (scheduled * 300)) AS s FROM contest)""")
+@query(CARD + """
+, per AS (SELECT contest_id, judge, avg(CASE WHEN a > b THEN 1.0 WHEN a = b THEN 0.5 ELSE 0 END) AS share, sum(a - b) AS total, count(*) AS n FROM card GROUP BY contest_id, judge),
+cards AS (SELECT contest_id, sum(share * n) / sum(n) AS rounds_a, avg(CASE WHEN total > 0 THEN 1.0 WHEN total = 0 THEN 0.5 ELSE 0 END) AS judges_a FROM per GROUP BY contest_id),
+j AS (SELECT c.*, rounds_a, judges_a, CASE WHEN winner_id = a_id THEN 1 ELSE -1 END AS sign FROM contest c LEFT JOIN cards USING (contest_id)),
+imp AS (SELECT avg(abs(2 * rounds_a - 1)) AS usual FROM j WHERE winner_id IS NOT NULL AND method = 'decision'),
+m AS (SELECT *, 0.65 * coalesce(2 * rounds_a - 1, usual * sign) + 0.35 * abs(2 * coalesce(judges_a, 1) - 1) * sign AS margin, least(1, ((round - 1) * 300 + seconds) / (scheduled * 300)) AS t FROM j, imp),
+w AS (SELECT *, CASE WHEN method IN ('ko', 'submission') THEN 0.95 - 0.10 * t WHEN method = 'decision' THEN 0.5 + 0.35 * margin * sign ELSE 0.55 END AS own FROM m)
+SELECT contest_id, round(CASE WHEN winner_id IS NULL THEN 0.5 WHEN sign = 1 THEN greatest(0.55, own) ELSE 1 - greatest(0.55, own) END + 1e-9, 6) AS label,
+       winner_id IS NOT NULL AND own < 0.55 - 1e-9 AS floored, coalesce(method = 'decision', false) AND rounds_a IS NULL AS estimated FROM w""")
 def q_graded_label(spark, sf):
-    elapsed = F.least(F.lit(1.0), S.elapsed_seconds(F.col("round"), F.col("seconds"), F.col("scheduled")) / (F.col("scheduled") * 300))
-    won = F.when(F.col("method").isin("ko", "submission"), 0.95 - 0.10 * elapsed).when(F.col("method") == "decision", F.greatest(F.lit(0.55), 0.5 + 0.35 * (F.col("seconds") / 300))).otherwise(0.55)
-    return contests(spark, sf).select("contest_id", F.round(F.when(F.col("winner_id").isNull(), 0.5).otherwise(won), 6).alias("label"))
+    """How clearly the first side won: by the time of a finish, or by rounds and judges on the cards, with the usual margin where there are none."""
+    even = lambda x: F.when(x > 0, 1.0).when(x == 0, 0.5).otherwise(0.0)
+    d = F.col("a") - F.col("b")
+    per = cards(spark, sf).groupBy("contest_id", "judge").agg(F.sum(even(d)).alias("won"), F.sum(d).alias("total"), F.count("*").alias("n"))
+    read = per.groupBy("contest_id").agg((F.sum("won") / F.sum("n")).alias("rounds_a"), F.avg(even(F.col("total"))).alias("judges_a"))
+    c = contests(spark, sf).join(read, "contest_id", "left").withColumn("sign", F.when(F.col("winner_id") == F.col("a_id"), 1).otherwise(-1))
+    usual = c.where("winner_id is not null and method = 'decision'").agg(F.avg(F.abs(2 * F.col("rounds_a") - 1)).alias("usual"))
+    m = c.crossJoin(F.broadcast(usual))
+    own = S.graded(F.col("method"), S.elapsed_seconds(F.col("round"), F.col("seconds"), F.col("scheduled")) / (F.col("scheduled") * 300), F.coalesce((2 * F.col("rounds_a") - 1) * F.col("sign"), F.col("usual")), F.abs(2 * F.coalesce("judges_a", F.lit(1.0)) - 1))
+    won = F.greatest(F.lit(S.LEAST_WIN), own)
+    label = F.when(F.col("winner_id").isNull(), 0.5).when(F.col("sign") == 1, won).otherwise(1 - won)
+    estimated = F.coalesce(F.col("method") == "decision", F.lit(False)) & F.col("rounds_a").isNull()
+    return m.select("contest_id", F.round(label + 1e-9, 6).alias("label"), (F.col("winner_id").isNotNull() & (own < S.LEAST_WIN - 1e-9)).alias("floored"), estimated.alias("estimated"))
 
 
 @query(CASE + """

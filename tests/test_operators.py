@@ -137,7 +137,12 @@ def test_labels_reach_as_far_as_links(spark):
     got = dict(graph.smallest_reachable(spark.createDataFrame(links, "a long, b long"), "a", "b").collect())
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
     seeds = spark.createDataFrame([(0, "m")], "node long, label string")
-    assert len(dict(graph.spread(seeds, spark.createDataFrame(links[:5], "a long, b long"), "a", "b", 20).collect())) == 6
+    far = [(i, i + 1) for i in range(50)] + [(None, 3), (7, 7), (200, 201)]
+    got = dict(graph.spread(seeds, spark.createDataFrame(far, "a long, b long"), "a", "b").collect())
+    assert got == dict.fromkeys(range(51), "m")
+    votes = spark.createDataFrame([(1, 9), (2, 9), (3, 9), (4, 9), (9, 10), (1, 11), (3, 11)], "a long, b long")
+    some = spark.createDataFrame([(1, "b"), (2, "b"), (3, "a"), (4, "c"), (5, None)], "node long, label string")
+    assert {k: v for k, v in graph.spread(some, votes, "a", "b").collect() if k > 8} == {9: "b", 10: "b", 11: "a"}
 
 
 def plain_elo(rows):
