@@ -180,6 +180,7 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     for _ in range(half):
         ways = F.array_distinct(F.concat(ways, F.flatten(F.transform(ways, lambda w: F.transform(bits, lambda s: w.bitwiseOR(s))))))
     dense = near.where(F.col("n") > DENSE).select("fp", F.explode(ways).alias("way")).select("fp", F.col("fp").bitwiseXOR(F.col("way")).alias("centre"), (F.bit_count("way") <= radius // 2).alias("near")).distinct()
+    dense = materialize(dense, "listed")
     middle = dense.groupBy("centre").agg(F.min(F.when(F.col("near"), F.col("fp"))).alias("m"), F.count("*").alias("n")).where("m is not null and n > 1")
     stars = join_by_size(dense, materialize(middle, "centres"), ["centre"], "n").where(F.col("m") != F.col("fp")).select(F.least("m", "fp").alias("a"), F.greatest("m", "fp").alias("b"))
     return pairs.unionAll(stars).distinct()
