@@ -190,7 +190,8 @@ class Replica:
         x += RATE * grad / np.sqrt(self.sums[k])
 
     def _scatter(self, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        order = np.argsort(at)
+        # places of 16 bits are sorted by counting
+        order = np.argsort(at.astype(np.uint16), kind="stable")
         own = at[order]
         first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
         out = np.zeros((len(self.cut), rows.shape[1]), np.float32)
@@ -210,18 +211,19 @@ class Replica:
         guess = p.position[0] * a + p.position[1] * b
         own = p.target[unit]
         good = 1 / (1 + np.exp(np.einsum("ij,ij->i", guess, own) + p.bias[unit] - self.log_noise[unit]))
-        bad = guess @ p.target[noise].T
-        bad += p.bias[noise] - self.log_noise[noise]
-        np.minimum(bad, 30, out=bad)
-        np.exp(bad, out=bad)
-        bad /= 1 + bad
-        d_guess = good[:, None] * own - bad @ p.target[noise]
+        other = p.target[noise]
+        bad = guess @ -other.T
+        bad -= p.bias[noise] - self.log_noise[noise]
+        with np.errstate(over="ignore"):
+            np.exp(bad, out=bad)
+        bad += 1
+        np.reciprocal(bad, out=bad)
+        d_guess = good[:, None] * own - bad @ other
         d_target = self._scatter(unit, good[:, None] * guess)
         np.subtract.at(d_target, noise, bad.T @ guess)
-        d_bias = np.bincount(unit, good, len(self.cut)).astype(np.float32)
-        np.subtract.at(d_bias, noise, bad.sum(0))
+        d_bias = (np.bincount(unit, good, len(self.cut)) - np.bincount(noise, np.ones(len(bad), np.float32) @ bad, len(self.cut))).astype(np.float32)
         d_context = self._scatter(np.concatenate([one, two]), np.concatenate([d_guess * p.position[0], d_guess * p.position[1]]))
-        d_position = np.stack([(d_guess * a).sum(0), (d_guess * b).sum(0)])
+        d_position = np.stack([np.einsum("ij,ij->j", d_guess, a), np.einsum("ij,ij->j", d_guess, b)])
         for k, (x, g) in enumerate(((p.context, d_context), (p.target, d_target), (p.position, d_position), (p.bias, d_bias))):
             self._step(k, x, g / n)
 
