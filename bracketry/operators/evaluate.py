@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import itertools
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from .graph import stored
+from .scan import sums_before
 
 EPS = 1e-4
 
@@ -23,11 +32,10 @@ def scores(df: DataFrame, p: str, y: str, by: list[str] | None = None) -> DataFr
 def auc(df: DataFrame, p: str, y: str, by: str) -> DataFrame:
     """Area under the curve by group from rank sums; tied scores share their mean rank.
 
-    Equal scores are counted first, so that a window runs over the different scores alone.
+    Equal scores are counted first; running sums over the different ones are by ranges, so that a group may have any number.
     """
     tied = df.groupBy(by, p).agg(F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).alias("pos"), F.count("*").alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.partitionBy(by).orderBy(p).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = tied.withColumn("rank", below + (F.col("n") + 1) / 2)
+    ranked = sums_before(tied, [by], [p], ["n"]).withColumn("rank", F.col("before_n") + (F.col("n") + 1) / 2)
     sums = ranked.groupBy(by).agg(F.sum(F.col("pos") * F.col("rank")).alias("s"), F.sum("pos").alias("pos"), F.sum(F.col("n") - F.col("pos")).alias("neg"))
     return sums.select(by, F.try_divide(F.col("s") - F.col("pos") * (F.col("pos") + 1) / 2, (F.col("pos") * F.col("neg")).cast("double")).alias("auc"))
 
@@ -84,8 +92,6 @@ def bootstrap(df: DataFrame, unit: str, value: str, replicates: int, seed: int =
 
 def ridge(df: DataFrame, target: str, features: list[str], penalty: float) -> dict[str, float]:
     """Coefficients with an intercept: sums of products by Spark, a system of a few equations on the driver."""
-    import numpy as np
-
     names = ["1", *features]
     cols = {"1": F.lit(1.0), **{f: F.col(f).cast("double") for f in features}, "y": F.col(target).cast("double")}
     pairs = [(a, b) for i, a in enumerate([*names, "y"]) for b in [*names, "y"][i:]]
@@ -96,28 +102,130 @@ def ridge(df: DataFrame, target: str, features: list[str], penalty: float) -> di
     return dict(zip(names, np.linalg.solve(gram, np.array([at(a, "y") for a in names], float)).tolist(), strict=True))
 
 
-def permutation(df: DataFrame, key: str, by: str, x: str, y: str, replicates: int, seed: int = 5) -> DataFrame:
-    """(observed, p): the mean product of x and y, and the share of replicates that reach it with y dealt anew within groups.
-
-    A replicate pairs the rows of a group in the order of two hashes, so that the same seed gives the same deal. Rows move
-    once a replicate; each deal is sorted by its own group and replicate, never as a whole.
+def average_ranks(df: DataFrame, by: str, value: str, name: str) -> DataFrame:
+    """df with the rank of value in its group, equal values sharing their mean rank. Null values have none."""
+    tied = df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("_n"))
+    ranks = sums_before(tied, [by], [value], ["_n"]).select(F.col(by).alias("_by"), F.col(value).alias("_v"), (F.col("before__n") + (F.col("_n") + 1) / 2).alias(name))
+    return df.join(ranks, df[by].eqNullSafe(F.col("_by")) & (df[value] == F.col("_v")), "left").drop("_by", "_v")
+
+
+#: Different values of y up to which they go to all tasks.
+HELD = 1_000_000
+
+
+def shuffled(place: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """Where each place of 0 to n - 1 goes in the seed's permutation: rounds of a keyed network, again for what leaves the range."""
+    half = max(1, (max(n - 1, 1).bit_length() + 1) // 2)
+    mask = np.uint64((1 << half) - 1)
+    keys = np.random.default_rng(seed).integers(1, 1 << 62, 6, dtype=np.uint64)
+    out = place.astype(np.uint64)
+    left = np.arange(len(out))
+    while len(left):
+        x = out[left]
+        hi, lo = x >> np.uint64(half), x & mask
+        for k in keys:
+            z = (lo + k) * np.uint64(0x9E3779B97F4A7C15)
+            z ^= z >> np.uint64(29)
+            z *= np.uint64(0xBF58476D1CE4E5B9)
+            hi, lo = lo, hi ^ ((z ^ (z >> np.uint64(32))) & mask)
+        out[left] = (hi << np.uint64(half)) | lo
+        left = left[out[left] >= n]
+    return out.astype(np.int64)
+
+
+def permutation(df: DataFrame, key: str, by: str, x: str, y: str, replicates: int, seed: int = 5, spearman: bool = False) -> DataFrame:
+    """(observed, p): a statistic of x and y, and the share of replicates that reach it with y dealt anew within groups.
+
+    The statistic is the mean product, counted where it is reached or passed; with spearman the correlation of the ranks within
+    each group, counted where its size is. Rows with a null x or y are left out. Each row gets a place in its group once; a
+    replicate is a keyed permutation of places, and the y that lies at a place follows from the counts of the different values
+    of y, which all tasks hold. No row moves for a replicate. There may be HELD different values of y in a group at most, or y
+    must have no ties and be ranked, when a place is its rank; other data are an error.
     """
-    group = Window.partitionBy("rep", by)
-    rows = df.select(key, by, x, y).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    order = lambda salt: F.row_number().over(group.orderBy(F.xxhash64(F.lit(seed + salt), F.col(key), F.col("rep")), key))
-    dealt = rows.select("rep", by, x, y, order(0).alias("i"), order(1).alias("j"))
-    a, b = dealt.select("rep", by, F.col("i").alias("k"), x), dealt.select("rep", by, F.col("j").alias("k"), y)
-    means = a.join(b, ["rep", by, "k"]).groupBy("rep").agg(F.avg(F.col(x) * F.col(y)).alias("m"))
-    observed = df.agg(F.avg(F.col(x) * F.col(y)).alias("observed"))
-    return means.crossJoin(F.broadcast(observed)).groupBy("observed").agg(((F.count(F.when(F.col("m") >= F.col("observed"), 1)) + 1) / (F.count("*") + 1)).alias("p"))
+    rows = df.select(F.col(key).alias("key"), F.col(by).alias("by"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna(subset=["x", "y"])
+    if spearman:
+        rows = average_ranks(average_ranks(rows, "by", "x", "_rx"), "by", "y", "_ry").select("key", "by", F.col("_rx").alias("x"), F.col("_ry").alias("y"))
+    rows = stored(rows.withColumns({"h": F.xxhash64(F.lit(seed), "key"), "one": F.lit(1).cast("long")}))
+    placed = sums_before(rows, ["by"], ["h", "key"], ["one"]).select("by", "x", "y", F.col("before_one").alias("place"))
+    values = stored(sums_before(rows.groupBy("by", "y").agg(F.count("*").alias("n")), ["by"], ["y"], ["n"]))
+    sizes = {r["by"]: (r["n"], r["k"]) for r in values.groupBy("by").agg(F.sum("n").alias("n"), F.count("*").alias("k")).collect()}
+    ranks = spearman and all(n == k for n, k in sizes.values())
+    if not ranks and sum(k for _, k in sizes.values()) > HELD:
+        raise ValueError(f"y has more than {HELD} different values and ties")
+    tables: dict = {}
+    if not ranks:
+        for r in values.orderBy("by", "y").select("by", "before_n", "y").collect():
+            tables.setdefault(r["by"], ([], []))[0].append(r["before_n"])
+            tables[r["by"]][1].append(r["y"])
+    held = df.sparkSession.sparkContext.broadcast({k: (np.array(a), np.array(b)) for k, (a, b) in tables.items()})
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+        for b in batches:
+            groups, xs, ys, places = (b.column(c).to_pylist() if c == "by" else b.column(c).to_numpy(zero_copy_only=False) for c in ("by", "x", "y", "place"))
+            at: dict = {}
+            for i, g in enumerate(groups):
+                at.setdefault(g, []).append(i)
+            for g, i in at.items():
+                total = sums.setdefault(g, np.zeros(replicates + 1))
+                total[0] += float(xs[i] @ ys[i])
+                for rep in range(1, replicates + 1):
+                    to = shuffled(places[i], sizes[g][0], seed * 1_000_003 + rep)
+                    own = to + 1.0 if ranks else held.value[g][1][np.searchsorted(held.value[g][0], to, side="right") - 1]
+                    total[rep] += float(xs[i] @ own)
+        for g, total in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([g] * len(total), kind), pa.array(range(len(total)), pa.int32()), pa.array(total)], ["by", "rep", "s"])
+
+    kind = to_arrow_schema(placed.select("by").schema).field("by").type
+    sums = placed.mapInArrow(dealt, placed.select("by", F.lit(0).alias("rep"), F.lit(0.0).alias("s")).schema).groupBy("by", "rep").agg(F.sum("s").alias("s"))
+    if spearman:
+        m = rows.groupBy("by").agg(F.count("*").alias("n"), F.sum("x").alias("mx"), F.sum("y").alias("my"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("y") * F.col("y")).alias("yy"))
+        centred = lambda a, b, c: F.col(a) - F.col(b) * F.col(c) / F.col("n")
+        size = F.sqrt(centred("xx", "mx", "mx") * centred("yy", "my", "my"))
+        per = sums.join(m.withColumnRenamed("by", "_by"), F.col("by").eqNullSafe(F.col("_by"))).select("rep", "n", F.coalesce(F.try_divide(centred("s", "mx", "my"), size), F.lit(0.0)).alias("v"))
+        means = per.groupBy("rep").agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("m"))
+        reached = F.abs("m") >= F.abs("observed") - 1e-12
+    else:
+        n = sum(n for n, _ in sizes.values())
+        means = sums.groupBy("rep").agg((F.sum("s") / n).alias("m"))
+        reached = F.col("m") >= F.col("observed")
+    observed = means.where("rep = 0").select(F.col("m").alias("observed"))
+    return means.where("rep > 0").crossJoin(F.broadcast(observed)).groupBy("observed").agg(((F.count_if(reached) + 1) / (F.count("*") + 1)).alias("p"))
+
+
+def _pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Neighbouring blocks (lo, hi, s, w) of a range made one as long as a mean is not over the one before it."""
+    out: list[list[float]] = []
+    for b in batches:
+        for lo, hi, s, w in zip(*(b.column(c).to_pylist() for c in ("lo", "hi", "s", "w")), strict=True):
+            block = [lo, hi, s, w]
+            while out and out[-1][2] * block[3] >= block[2] * out[-1][3]:
+                last = out.pop()
+                block = [last[0], block[1], last[2] + block[2], last[3] + block[3]]
+            out.append(block)
+    columns = list(zip(*out, strict=True)) or [[]] * 4
+    yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64()) for c in columns], ["lo", "hi", "s", "w"])
 
 
 def isotonic(df: DataFrame, p: str, y: str) -> DataFrame:
-    """(boundary, value): the rising step function nearest to y, over sums at each different p."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import IsotonicRegression
-
-    sums = df.groupBy(p).agg(F.avg(y).alias("label"), F.count("*").cast("double").alias("weight"))
-    rows = VectorAssembler(inputCols=[p], outputCol="features").transform(sums)
-    model = IsotonicRegression(weightCol="weight").fit(rows)
-    return df.sparkSession.createDataFrame(list(zip(model.boundaries.toArray().tolist(), model.predictions.toArray().tolist(), strict=True)), "boundary double, value double")
+    """(boundary, value): the rising step function nearest to y: the ends of each step.
+
+    Blocks of a range are pooled where they are, and again over ranges that are cut elsewhere, until no mean is below the one
+    before it. Pooling in any order gives the one answer. Nulls are left out.
+    """
+    blocks = stored(df.select(F.col(p).cast("double").alias("lo"), F.col(y).cast("double").alias("y")).dropna().groupBy("lo").agg(F.sum("y").alias("s"), F.count("*").cast("double").alias("w")).select("lo", F.col("lo").alias("hi"), "s", "w"))
+    n, ranges, mean = None, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col("s") / F.col("w")
+    while True:
+        pooled = blocks.repartitionByRange(ranges, "lo").sortWithinPartitions("lo").mapInArrow(_pooled, "lo double, hi double, s double, w double")
+        told = stored(pooled.withColumn("range", F.spark_partition_id()))
+        blocks = told.drop("range")
+        # a row a range: do the means rise from each range to the next?
+        ends = sorted(told.groupBy("range").agg(F.min("lo"), F.min_by(mean, "lo"), F.max_by(mean, "lo"), F.count("*")).drop("range").collect())
+        if all(a[2] < b[1] for a, b in itertools.pairwise(ends)):
+            break
+        # cut elsewhere; into fewer ranges where that has pooled nothing, as too few rows always have the same cuts
+        left = sum(e[3] for e in ends)
+        n, ranges = left, max(1, ranges // 2) if left == n else ranges + 1 if ranges % 2 == 0 else max(1, ranges - 1)
+    value = F.col("s") / F.col("w")
+    ends = F.when(F.col("lo") < F.col("hi"), F.array("lo", "hi")).otherwise(F.array("lo"))
+    return blocks.select(F.explode(ends).alias("boundary"), value.alias("value"))
