@@ -82,3 +82,20 @@ def changes_only(df: DataFrame, keys: list[str], order: list[str], value: str) -
 def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row for each key: the first in an order."""
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rn = 1").drop("_rn")
+
+
+def testable(contests: DataFrame, ranks: DataFrame, sizes: list[int], order: list[str], least: int) -> DataFrame:
+    """(size, held, testable) for each number of chosen entities: contests between two of them, and those of them in which both had `least` before.
+
+    contests: contest_id, a_id, b_id and order; ranks: entity and rank from 1, by which entities are chosen. Only contests that are
+    held count as history. A size without contests has no row.
+    """
+    of = lambda s: ranks.select(F.col("entity").alias(f"{s}_id"), F.col("rank").alias(f"_{s}"))
+    both = contests.join(of("a"), "a_id").join(of("b"), "b_id")
+    in_ = F.filter(F.array(*map(F.lit, sizes)), lambda n: n >= F.greatest("_a", "_b"))
+    keys = [c for c in order if c != "contest_id"]
+    each = both.select("contest_id", *keys, "a_id", "b_id", F.explode(in_).alias("size"))
+    sides = each.select("size", "contest_id", *keys, F.explode(F.array("a_id", "b_id")).alias("entity"))
+    seen = F.row_number().over(Window.partitionBy("size", "entity").orderBy(*order)) - 1
+    fewest = sides.withColumn("seen", seen).groupBy("size", "contest_id").agg(F.min("seen").alias("seen"))
+    return fewest.groupBy("size").agg(F.count("*").alias("held"), F.count_if(F.col("seen") >= least).alias("testable"))

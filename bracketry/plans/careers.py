@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import history as H
-from .base import AS_OF, CONTEST, perspectives, table
+from ..operators.scan import sums_before
+from .base import AS_OF, CONTEST, contests, perspectives, table
 from .registry import query
 
 ORDER = ["day", "contest_id"]
@@ -226,3 +227,19 @@ def q_trailing_range(spark, sf):
     d = table(spark, sf, "events").groupBy("user_id", F.to_date("ts").alias("day")).count()
     w = Window.partitionBy("user_id").orderBy(F.datediff("day", F.lit("1970-01-01"))).rangeBetween(-7, -1)
     return d.select("user_id", "day", F.sum("count").over(w).alias("last7"))
+
+
+SIZES = [25, 50, 100, 400, 1_000_000]
+
+
+@query(CONTEST + f"""
+, r AS (SELECT entity, row_number() OVER (ORDER BY count(*) DESC, entity) AS rank FROM side GROUP BY entity),
+h AS (SELECT n AS size, contest_id, day, a_id, b_id FROM contest JOIN r a ON a.entity = a_id JOIN r b ON b.entity = b_id, (SELECT unnest({SIZES}) AS n) WHERE n >= greatest(a.rank, b.rank)),
+s AS (SELECT size, contest_id, row_number() OVER (PARTITION BY size, e ORDER BY day, contest_id) - 1 AS seen FROM (SELECT *, unnest([a_id, b_id]) AS e FROM h)),
+m AS (SELECT size, contest_id, min(seen) AS seen FROM s GROUP BY ALL)
+SELECT size, count(*) AS held, count(*) FILTER (seen >= 3) AS testable FROM m GROUP BY size""")
+def q_testable_contests(spark, sf):
+    """What the contests between the entities with most contests would allow to test, for a few numbers of these."""
+    counts = perspectives(spark, sf).groupBy("entity").agg(F.count("*").alias("n"), F.lit(1).cast("long").alias("one")).withColumn("fewer", -F.col("n"))
+    ranks = sums_before(counts, [], ["fewer", "entity"], ["one"]).select("entity", (F.col("before_one") + 1).alias("rank"))
+    return H.testable(contests(spark, sf), ranks, SIZES, ["day", "contest_id"], 3)
