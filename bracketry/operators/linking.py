@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 AUTOMATON_LETTERS = 2_000_000
 #: What boundaries are beside: letters, digits and underscore, of ASCII alone as in most pattern languages, or of all scripts.
 ASCII, ALL_SCRIPTS = "A-Za-z0-9_", r"\p{L}\p{N}_"
+#: Letters that a last name and a title have at least, to be aliases.
 MIN_SURNAME, MIN_TITLE = 4, 5
 SPANS = "array<struct<start: int, end: int, kind: int, target_id: string, alias: string>>"
 

@@ -22,6 +22,15 @@ TABLE = f"struct<table: int, parent: int, id: string, class: string, rows: array
 PAGE = f"struct<tables: array<{TABLE}>, items: array<struct<class: string, text: string, links: {LINK}>>, headings: array<struct<level: int, class: string, text: string>>>"
 
 
+#: Links, classes, attributes and phrases of the pages that are read, and the columns of their tables of rounds.
+MATCHUP_LINK, SIDE_LINK, JUDGE_LINK = "/cnadm/matchups/", "/fighters/", "judge/"
+TOP_CELL, LIST_CELL, SCORE_ROW, BOOK, PRICED = "top-cell", "list", "decision", "data-b", "data-li"
+ROUND_ROW = r"Round\s*(\d+)"
+WAYS = r"(?i)^(.+?)\s+wins\s+by\s+(TKO/KO|KO/TKO|submission|decision)\s*$"
+MAIN = ["kd", "sig", "sig_share", "total", "td", "td_share", "sub", "rev", "control"]
+ZONES = ["sig", "sig_share", "head", "body", "leg", "distance", "clinch", "ground"]
+
+
 def with_page(df: DataFrame, html_col: str = "html") -> DataFrame:
     """df with page; a column of that name is replaced."""
     kind = to_arrow_type(_parse_datatype_string(PAGE))
@@ -84,19 +93,6 @@ def marked(rows: DataFrame, keys: list[str], pattern: str) -> DataFrame:
     return told.where("_mark is null").drop("_mark")
 
 
-def two_sided(cell: Column, side: int) -> Column:
-    """The side's line of a cell of two lines."""
-    return F.get(cell["parts"], F.lit(side))
-
-
-def number(text: Column) -> Column:
-    return F.regexp_replace(text, "[%,]", "").try_cast("double")
-
-
-MAIN = ["kd", "sig", "sig_share", "total", "td", "td_share", "sub", "rev", "control"]
-ZONES = ["sig", "sig_share", "head", "body", "leg", "distance", "clinch", "ground"]
-
-
 def round_stats(df: DataFrame, keys: list[str], id_pattern: str = r"([^/]+)/?$") -> DataFrame:
     """A row a round and side of pages with two tables of rounds: the first with ten columns of totals, the second with nine of zones.
 
@@ -104,8 +100,8 @@ def round_stats(df: DataFrame, keys: list[str], id_pattern: str = r"([^/]+)/?$")
     or links are left out, and missing figures are 0, as is the second table of a side that has none. A page with one such table
     alone has no rounds.
     """
-    heads = F.exists("x.rows", lambda r: (F.size(r["cells"]) == 1) & F.get(r["cells"], F.lit(0))["text"].rlike(r"Round\s*\d+"))
-    rows = marked(table_rows(df, keys, heads), keys, r"Round\s*(\d+)").where("mark is not null")
+    heads = F.exists("x.rows", lambda r: (F.size(r["cells"]) == 1) & F.get(r["cells"], F.lit(0))["text"].rlike(ROUND_ROW))
+    rows = marked(table_rows(df, keys, heads), keys, ROUND_ROW).where("mark is not null")
     at = Window.partitionBy(*keys).orderBy("table")
     rows = rows.withColumns({"_nth": F.dense_rank().over(at), "_n": F.size(F.collect_set("table").over(Window.partitionBy(*keys)))}).where("_n >= 2 and _nth <= 2")
     enough = F.size("cells") >= F.when(F.col("_nth") == 1, 10).otherwise(9)
@@ -137,7 +133,7 @@ def labelled(df: DataFrame, keys: list[str], labels: dict[str, str]) -> DataFram
     return df.select(*keys, *[value(label).alias(name) for name, label in labels.items()])
 
 
-def cards(df: DataFrame, keys: list[str], judge: str = "judge/") -> DataFrame:
+def cards(df: DataFrame, keys: list[str], judge: str = JUDGE_LINK) -> DataFrame:
     """(keys, table, judge, a, b, round, score_a, score_b) of tables that link to a judge.
 
     The first row with two cells of the class top-cell names the sides; rows of the class decision have a round and two scores
@@ -146,17 +142,17 @@ def cards(df: DataFrame, keys: list[str], judge: str = "judge/") -> DataFrame:
     has = lambda cls, name: F.array_contains(F.split(cls, r"\s+"), name)
     links = F.flatten(F.flatten(F.transform("x.rows", lambda r: F.transform(r["cells"], lambda c: c["links"]))))
     own = F.filter(links, lambda a: F.startswith(a["href"], F.lit(judge)))
-    tops = F.filter(F.transform("x.rows", lambda r: F.filter(r["cells"], lambda c: has(c["class"], "top-cell"))), lambda c: F.size(c) >= 2)
+    tops = F.filter(F.transform("x.rows", lambda r: F.filter(r["cells"], lambda c: has(c["class"], TOP_CELL))), lambda c: F.size(c) >= 2)
     side = lambda i: F.lower(F.regexp_replace(F.get(F.get(tops, F.lit(0)), F.lit(i))["text"], "[^A-Za-z]", ""))
     t = df.select(*keys, F.explode("page.tables").alias("x")).select(*keys, "x", F.get(own, F.lit(0))["text"].alias("judge"), side(0).alias("a"), side(1).alias("b"))
     rows = t.where("judge is not null and a <> '' and b <> ''").select(*keys, "x.table", "judge", "a", "b", F.explode("x.rows").alias("r"))
-    lists = F.filter("r.cells", lambda c: has(c["class"], "list"))
+    lists = F.filter("r.cells", lambda c: has(c["class"], LIST_CELL))
     score = lambda i: F.get(lists, F.lit(i))["text"].try_cast("int")
-    out = rows.where(has(F.col("r.class"), "decision")).select(*keys, "table", "judge", "a", "b", score(0).alias("round"), score(1).alias("score_a"), score(2).alias("score_b"))
+    out = rows.where(has(F.col("r.class"), SCORE_ROW)).select(*keys, "table", "judge", "a", "b", score(0).alias("round"), score(1).alias("score_a"), score(2).alias("score_b"))
     return out.dropna(subset=["round", "score_a", "score_b"])
 
 
-def odds_grid(df: DataFrame, keys: list[str], start: str = "/cnadm/matchups/", who: str = "/fighters/") -> DataFrame:
+def odds_grid(df: DataFrame, keys: list[str], start: str = MATCHUP_LINK, who: str = SIDE_LINK) -> DataFrame:
     """(keys, table, matchup, place, label, who, book, price): a row a price in tables of rows for each side and columns for books.
 
     A row whose head cell links to start and to who is side 0 of a matchup, and the row after it side 1 if its head links to who;
@@ -164,11 +160,11 @@ def odds_grid(df: DataFrame, keys: list[str], start: str = "/cnadm/matchups/", w
     a price cell's data-li begins with the book's number, and its text with an American price, given back as a decimal; cells
     without one give no row. Rows before the first matchup, and matchups without a second side, are left out.
     """
-    books = F.filter(F.flatten(F.transform("x.rows", lambda r: r["cells"])), lambda c: F.element_at(c["data"], "data-b").isNotNull())
-    named = F.transform(books, lambda c: F.struct(F.element_at(c["data"], "data-b").alias("b"), F.coalesce(F.get(c["links"], F.lit(0))["text"], c["text"]).alias("name")))
+    books = F.filter(F.flatten(F.transform("x.rows", lambda r: r["cells"])), lambda c: F.element_at(c["data"], BOOK).isNotNull())
+    named = F.transform(books, lambda c: F.struct(F.element_at(c["data"], BOOK).alias("b"), F.coalesce(F.get(c["links"], F.lit(0))["text"], c["text"]).alias("name")))
     t = df.select(*keys, F.explode("page.tables").alias("x")).select(*keys, "x", named.alias("books")).where(F.size("books") > 0)
     rows = t.select(*keys, "x.table", "books", F.posexplode("x.rows").alias("row", "r"))
-    head = F.get(F.filter("r.cells", lambda c: c["head"] & F.element_at(c["data"], "data-b").isNull()), F.lit(0))
+    head = F.get(F.filter("r.cells", lambda c: c["head"] & F.element_at(c["data"], BOOK).isNull()), F.lit(0))
     link = lambda prefix: F.get(F.filter(head["links"], lambda a: F.startswith(a["href"], F.lit(prefix))), F.lit(0))
     told = rows.select(*keys, "table", "row", "books", "r.cells", head["text"].alias("label"), link(start)["href"].alias("_start"), link(who)["href"].alias("_who"), link(who)["text"].alias("name")).where("label is not null")
     own = Window.partitionBy(*keys, "table").orderBy("row")
@@ -180,7 +176,7 @@ def odds_grid(df: DataFrame, keys: list[str], start: str = "/cnadm/matchups/", w
     told = told.withColumns({"matchup": F.regexp_extract(F.first("_start").over(within.orderBy("row")), r"(\d+)/?$", 1), "_stray": F.max(F.when((F.col("place") > 1) & F.col("_who").isNotNull(), 1).otherwise(0)).over(within.orderBy("row")), "_two": F.max(F.when((F.col("place") == 1) & F.col("_who").isNotNull(), 1).otherwise(0)).over(within)})
     kept = told.where("_two = 1 and _stray = 0 and matchup <> ''")
     cells = kept.select(*keys, "table", "matchup", "place", "label", F.coalesce("name", F.lit("")).alias("who"), "books", F.explode("cells").alias("c"))
-    book = F.regexp_extract(F.element_at("c.data", "data-li"), r'^\[\s*"?(\d+)', 1)
+    book = F.regexp_extract(F.element_at("c.data", PRICED), r'^\[\s*"?(\d+)', 1)
     found = cells.withColumns({"_book": F.get(F.filter("books", lambda b: b["b"] == book), F.lit(0))["name"], "_price": F.regexp_extract("c.text", r"^([+\-]?\d+)(?:$|[^\d.,/%])", 1).try_cast("int")})
     priced = found.where(F.col("_book").isNotNull()).select(*keys, "table", "matchup", "place", "label", "who", F.col("_book").alias("book"), american_to_decimal(F.col("_price")).alias("price"))
     return priced.where("price is not null")
@@ -197,13 +193,12 @@ def consensus(grid_: DataFrame, keys: list[str]) -> DataFrame:
     props = F.array_sort(F.collect_list(F.when(F.col("place") > 1, F.struct("place", "label", "mid"))))
     one = per.groupBy(*keys, "table", "matchup").agg(side(0, "who").alias("a"), side(1, "who").alias("b"), *[side(p, c).alias(f"{n}_{s}") for c, n in (("best", "best"), ("mid", "median"), ("n", "n")) for p, s in ((0, "a"), (1, "b"))], props.alias("props"))
     words = lambda c: F.split(F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " ")), " ")
-    pattern = r"(?i)^(.+?)\s+wins\s+by\s+(TKO/KO|KO/TKO|submission|decision)\s*$"
 
     def key(p: Column) -> Column:
-        name, how = words(F.regexp_extract(p["label"], pattern, 1)), F.lower(F.regexp_extract(p["label"], pattern, 2))
+        name, how = words(F.regexp_extract(p["label"], WAYS, 1)), F.lower(F.regexp_extract(p["label"], WAYS, 2))
         of = lambda c: F.size(F.array_except(name, words(F.coalesce(F.col(c), F.lit(""))))) == 0
         sides = F.when(of("a") & ~of("b"), "a_").when(of("b") & ~of("a"), "b_")
-        return F.when(p["label"].rlike(pattern), F.concat(sides, F.when(how == "submission", "sub").when(how == "decision", "dec").otherwise("ko")))
+        return F.when(p["label"].rlike(WAYS), F.concat(sides, F.when(how == "submission", "sub").when(how == "decision", "dec").otherwise("ko")))
 
     keyed = F.filter(F.transform("props", lambda p: F.struct(key(p).alias("k"), p["mid"].alias("v"))), lambda x: x["k"].isNotNull())
     once = F.filter(F.transform(keyed, lambda x, i: F.struct(x["k"].alias("k"), x["v"].alias("v"), F.exists(F.slice(keyed, 1, i), lambda y: y["k"] == x["k"]).alias("again"))), lambda x: ~x["again"])
