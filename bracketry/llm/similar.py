@@ -34,7 +34,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 SAMPLE, SAMPLE_SHARE, FREQUENT, SENT = 8_000, 50, 3, 1 << 18
 PARITIES = 1024
 #: Bits within which fingerprints are proposed.
-RADIUS = 3
+RADIUS = 2
 
 
 def shingle_set(text: str | None) -> np.ndarray:
