@@ -6,25 +6,29 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written as Parquet in the shared checkpoint folder and read again: lineage is cut, a lost executor costs one round.
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared checkpoint folder.
 
     Where no folder is set, one of our own if driver and executors are one process, else an error.
     """
-    spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         if not re.match(r"local(\[[\d*,]+\])?$", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="bracketry-"))
         folder = spark.sparkContext.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/bracketry/round-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/bracketry/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written as Parquet in the shared checkpoint folder and read again: lineage is cut, a lost executor costs one round."""
+    path = scratch(df.sparkSession, "round")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def smallest_reachable(links: DataFrame, a: str, b: str) -> DataFrame:

@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return put
 
 
-from . import careers, cuts, details, fits, judging, linking, lookups, markets, merges, pages, ratings, resolution, rounds, scores, streams, texts, trading, trials  # noqa: E402, F401
+from . import careers, choice, cuts, details, fits, judging, linking, lookups, markets, merges, pages, pasting, ratings, resolution, rounds, scores, streams, texts, trading, trials  # noqa: E402, F401
