@@ -27,8 +27,8 @@ def plain(rows, most):
     return out
 
 
-def picks(spark, rows, most):
-    return [tuple(r) for r in greedy_cover(spark.createDataFrame(rows, ROWS), "i", "e", most, "w").orderBy("rank").collect()]
+def picks(spark, rows, most, few=0):
+    return [tuple(r) for r in greedy_cover(spark.createDataFrame(rows, ROWS), "i", "e", most, "w", few).orderBy("rank").collect()]
 
 
 @pytest.mark.parametrize(("seed", "most"), [(1, 100), (2, 5), (3, 1)])
@@ -37,7 +37,8 @@ def test_equals_one_pick_at_a_time(spark, seed, most):
     rnd = random.Random(seed)
     rows = [(rnd.randrange(25), rnd.randrange(40), rnd.randrange(4)) for _ in range(120)] + [(i, 7, 1) for i in range(60)]
     rows += [*rows[:9], (None, 1, 1), (1, None, 1), (2, 3, None), (99, 98, -1)]
-    assert picks(spark, rows, most) == plain(rows, most)
+    for few in (0, 60, 10_000):
+        assert picks(spark, rows, most, few) == plain(rows, most), few
 
 
 def test_a_chain_of_items_that_wait(spark):
@@ -47,7 +48,7 @@ def test_a_chain_of_items_that_wait(spark):
 
 
 def test_without_rows(spark):
-    assert picks(spark, [], 3) == []
+    assert picks(spark, [], 3) == picks(spark, [], 3, 10) == []
     with pytest.raises(ValueError, match="most"):
         picks(spark, [], 0)
 
