@@ -169,10 +169,11 @@ def q_blend_selection(spark, sf):
 
     p, m = F.col("p"), F.least(F.lit(0.99), 1 / F.col("price"))
     sharp = 1 / (1 + F.exp(-1.5 * F.log(p / (1 - p))))
-    each = F.array(*[F.struct(F.lit(n).alias("blend"), c.alias("q")) for n, c in (("model", p), ("market", m), ("mean", (p + m) / 2), ("sharp", sharp))])
-    losses = priced(spark, sf).select("y", F.inline(each)).groupBy("blend").agg(F.avg(log_loss(F.col("q"), F.col("y"))).alias("l"))
-    best = losses.agg(F.min("l").alias("least"))
-    return losses.crossJoin(F.broadcast(best)).select("blend", F.round("l", 6).alias("loss"), (F.col("l") == F.col("least")).alias("chosen"))
+    blends = {"model": p, "market": m, "mean": (p + m) / 2, "sharp": sharp}
+    # one pass and one row of sums: a loss that is summed twice may differ from itself in its last digits
+    losses = priced(spark, sf).agg(F.count("y").alias("n"), *[F.avg(log_loss(q, F.col("y"))).alias(n) for n, q in blends.items()]).where("n > 0")
+    each = losses.select(F.least(*blends).alias("least"), F.inline(F.array(*[F.struct(F.lit(n).alias("blend"), F.col(n).alias("l")) for n in blends])))
+    return each.select("blend", F.round("l", 6).alias("loss"), (F.col("l") == F.col("least")).alias("chosen"))
 
 
 @query(CASE + """
