@@ -19,7 +19,7 @@ from .tagstream import read_page
 LINK = "array<struct<href: string, text: string>>"
 CELL = f"struct<col: int, rowspan: int, colspan: int, head: boolean, class: string, data: map<string, string>, text: string, parts: array<string>, links: {LINK}>"
 TABLE = f"struct<table: int, parent: int, id: string, class: string, rows: array<struct<section: string, class: string, cells: array<{CELL}>>>>"
-PAGE = f"struct<tables: array<{TABLE}>, items: array<struct<class: string, text: string, links: {LINK}>>, headings: array<struct<level: int, class: string, text: string>>>"
+PAGE = f"struct<tables: array<{TABLE}>, items: array<struct<class: string, text: string, links: {LINK}>>, headings: array<struct<level: int, class: string, text: string, source: string>>>"
 
 
 #: Links, classes, attributes and phrases of the pages that are read, and the columns of their tables of rounds.

@@ -115,3 +115,13 @@ def test_odds(spark):
 def test_a_page_is_read_once(spark):
     plan = pages.round_stats(framed(spark, stat_page([1])), ["id"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_page_items_leave_other_references_as_written(spark, tmp_path):
+    from bracketry.plans import registry
+    from tests import oracle
+
+    html = ['<h1>a &amp;&amp</h1><li><a href="/x">x</a></li>', "<h1>t = &quot;0b96</h1>", "<h1>no <b>end</h1><h1>  1 &lt;\n 2</h1>", "<p>none", None, "<h1>open<h2>x</h2>"]
+    spark.createDataFrame(list(enumerate(html)), "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages")
+    next((tmp_path / "pages").glob("*.parquet")).rename(tmp_path / "pages.parquet")
+    assert oracle.difference(registry.QUERIES["q_page_items"](spark, str(tmp_path)), oracle.connect(str(tmp_path)), registry.SQL["q_page_items"]) == ""
