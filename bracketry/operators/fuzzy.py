@@ -15,13 +15,17 @@ def near_days(left: DataFrame, right: DataFrame, day: str, other: str, days: int
 
 
 def pair_scores(a: Column, b: Column, x: Column, y: Column, score=T.edit_ratio) -> Column:
-    """struct<mean, weaker, product, turned> of two pairs of names, the better of both orientations by the mean."""
+    """Columns mean, weaker, product and turned of two pairs of names, the better of both orientations by the mean.
 
-    def of(p: Column, q: Column, turned: bool) -> Column:
-        return F.struct(((p + q) / 2).alias("mean"), F.least(p, q).alias("weaker"), (p * q).alias("product"), F.lit(turned).alias("turned"))
+    A generator, so that each of the four scores is worked out once, whatever reads the columns.
+    """
+
+    def of(s: Column, p: str, q: str, turned: bool) -> Column:
+        return F.struct(((s[p] + s[q]) / 2).alias("mean"), F.least(s[p], s[q]).alias("weaker"), (s[p] * s[q]).alias("product"), F.lit(turned).alias("turned"))
 
-    straight, turned = of(score(a, x), score(b, y), False), of(score(a, y), score(b, x), True)
-    return F.when(straight["mean"] >= turned["mean"], straight).otherwise(turned)
+    four = F.array(F.struct(score(a, x).alias("p"), score(b, y).alias("q"), score(a, y).alias("r"), score(b, x).alias("s")))
+    better = lambda s: F.when(s["p"] + s["q"] >= s["r"] + s["s"], of(s, "p", "q", False)).otherwise(of(s, "r", "s", True))
+    return F.inline(F.transform(four, better))
 
 
 def best(df: DataFrame, key: str, order: list[Column]) -> DataFrame:

@@ -14,3 +14,22 @@ def scans(df, name: str) -> int:
 
 def test_blend_losses_are_summed_once(spark):
     assert scans(registry.QUERIES["q_blend_selection"](spark, SMALL), "o_orderkey") and scans(registry.QUERIES["q_blend_selection"](spark, SMALL), "Relation [") == 1
+
+
+def test_alike_names_are_not_met_by_day_alone(spark, monkeypatch):
+    """Feeds with a name in common with a contest are settled without all contests of their days."""
+    from bracketry.plans import resolution as R
+
+    left = []
+    monkeypatch.setattr(R, "candidates", lambda f, n, own=R.candidates: left.append(f.count()) or own(f, n))
+    fed = R.feed(spark, SMALL).count()
+    assert registry.QUERIES["q_fuzzy_pairs"](spark, SMALL).count() == fed and registry.QUERIES["q_product_pairs"](spark, SMALL).count() == fed
+    assert fed > 50 and left == [0, 0]
+
+
+def test_unique_match_leaves_out_feeds_with_two(spark):
+    from bracketry.plans import resolution as R
+
+    f = spark.sql("select 1L feed_id, date '2001-01-02' fed, 'anna alvarez 1' x, 'boris brandt 2' y")
+    n = spark.sql("select id contest_id, date '2001-01-04' day, 'boris brandt 3' a, 'nna alvarez 1' b, '' sa, '' sb from range(100)")
+    assert R.by_ends(f, n, 8).count() == R.MOST_BY_ENDS
