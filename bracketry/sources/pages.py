@@ -7,6 +7,7 @@ no tables, items or headings. A row of a table keeps its place, whatever else th
 from __future__ import annotations
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -31,13 +32,32 @@ MAIN = ["kd", "sig", "sig_share", "total", "td", "td_share", "sub", "rev", "cont
 ZONES = ["sig", "sig_share", "head", "body", "leg", "distance", "clinch", "ground"]
 
 
+#: Letters of pages that are held as Python objects at once, unless one page has more.
+LETTERS = 2_000_000
+
+
+def _stretches(html: pa.Array) -> list[int]:
+    """Ends of stretches of pages with so many letters."""
+    ends, held = [], 0
+    for i, n in enumerate(pc.binary_length(html).to_pylist()):
+        if held and held + (n or 0) > LETTERS:
+            ends.append(i)
+            held = 0
+        held += n or 0
+    return [*ends, len(html)] if len(html) else ends
+
+
 def with_page(df: DataFrame, html_col: str = "html") -> DataFrame:
     """df with page; a column of that name is replaced."""
     kind = to_arrow_type(_parse_datatype_string(PAGE))
 
     @F.arrow_udf(PAGE)
     def page_of(html: pa.Array) -> pa.Array:
-        return pa.array([read_page(t or "") for t in html.to_pylist()], kind)
+        made, at = [], 0
+        for to in _stretches(html):
+            made.append(pa.array([read_page(t.as_py() or "") for t in html[at:to]], kind))
+            at = to
+        return pa.concat_arrays(made) if made else pa.array([], kind)
 
     # else Spark asks for tables before it lists them, and reads each page twice
     return df.withColumn("page", page_of.asNondeterministic()(F.col(html_col).cast("string")))

@@ -33,3 +33,29 @@ def test_unique_match_leaves_out_feeds_with_two(spark):
     f = spark.sql("select 1L feed_id, date '2001-01-02' fed, 'anna alvarez 1' x, 'boris brandt 2' y")
     n = spark.sql("select id contest_id, date '2001-01-04' day, 'boris brandt 3' a, 'nna alvarez 1' b, '' sa, '' sb from range(100)")
     assert R.by_ends(f, n, 8).count() == R.MOST_BY_ENDS
+
+
+def test_lines_of_contests_are_cut_by_their_number(spark, monkeypatch):
+    """Tasks hold so many lines, whatever the input, and no step after the join moves them again."""
+    from bracketry.plans import rounds
+
+    monkeypatch.setattr(rounds, "LINES", 500)
+    assert rounds.cards(spark, SMALL).rdd.getNumPartitions() >= 12
+    assert registry.QUERIES["q_margin_per_round"](spark, SMALL).rdd.getNumPartitions() >= 12
+
+
+def test_page_match_joins_titles_not_pages(spark):
+    plan = registry.QUERIES["q_page_match"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and plan.count("Aggregate [day") >= 3
+
+
+def test_pages_are_read_in_parts(spark, monkeypatch):
+    from bracketry.plans import pages as plans
+    from bracketry.sources import pages
+
+    monkeypatch.setattr(plans, "PAGES", 100)
+    assert plans._round_pages(spark, SMALL).rdd.getNumPartitions() >= 15
+    import pyarrow as pa
+
+    assert pages._stretches(pa.array(["x" * 1_500_000, None, "y" * 1_000_000, "z" * 3_000_000, ""])) == [2, 3, 4, 5]
+    assert pages._stretches(pa.array([], pa.string())) == []
