@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .graph import stored
 
 
 def near_days(left: DataFrame, right: DataFrame, day: str, other: str, days: int) -> DataFrame:
@@ -48,18 +49,37 @@ def first_of(rows: DataFrame, key: Column, lookups: list[tuple[str, Column, Data
     return out.select(*rows.columns, found.alias("found"), by.alias("by"))
 
 
-def similar(df: DataFrame, key: str, grams: Column, threshold: float, block: DataFrame | None = None) -> DataFrame:
-    """(a, b, similarity), a < b, of all rows whose sets of grams have a Jaccard similarity above the threshold.
+def may_be_alike(rows: DataFrame, threshold: float) -> DataFrame:
+    """(id_a, id_b), id_a < id_b, of rows (id, g): all pairs of sets above the threshold, and few others.
 
-    Sets that are so alike share one of their n - ceil(t n) + 1 rarest grams. Rows meet there, each pair once, and are then
-    compared by all grams. Grams are ranked by their counts over all rows.
+    Sets of n and m grams that are so alike differ in d = (1 - t) / (1 + t) (n + m) grams at most. Grams are dealt into d + 1 parts
+    by their hash, so that the two sets agree in one part at least, and rows meet by the whole of a part: that is much rarer than
+    one gram in common. d is that of a class of sizes; a row stands under its own class and the next one, so that sizes that may
+    be alike meet. Where rows meet, the parities of 128 bits are a lower bound of the difference.
     """
-    rows = df.select(F.col(key).alias("k"), grams.alias("g")).where(F.size("g") > 0)
-    each = rows.select("k", F.size("g").alias("n"), F.explode("g").alias("x"))
-    counts = each.groupBy("x").agg(F.count("*").alias("c"))
-    ranked = each.join(counts, "x").withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("c", "x")))
-    first = ranked.where(F.col("r") <= F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1).where("c > 1").select("k", "n", "x")
-    a, b = first.select("x", F.col("k").alias("a"), F.col("n").alias("na")), first.select("x", F.col("k").alias("b"), F.col("n").alias("nb"))
-    met = a.join(b, "x").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb"))).select("a", "b").distinct()
-    one, two = rows.select(F.col("k").alias("a"), F.col("g").alias("ga")), rows.select(F.col("k").alias("b"), F.col("g").alias("gb"))
-    return met.join(one, "a").join(two, "b").withColumn("similarity", T.jaccard(F.col("ga"), F.col("gb"))).where(F.col("similarity") > threshold).select("a", "b", "similarity")
+    apart, least = (1 - threshold) / (1 + threshold), [1]
+    while least[-1] < 1 << 31:
+        least.append(int(least[-1] / threshold + 1e-9) + 1)
+    parts = F.array(*[F.lit(int(apart * 2 * (n - 1) + 1e-9) + 1) for n in least[1:]])
+    hashed = rows.select("id", F.size("g").alias("n"), F.array_sort(F.transform("g", lambda x: F.xxhash64(x))).alias("h"))
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))
+    odd = lambda half: F.aggregate(F.filter("h", lambda x: x.bitwiseAND(64) == half), F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(bit(x)))
+    own = F.size(F.filter(F.array(*map(F.lit, least[:-1])), lambda x: x <= F.col("n"))) - 1
+    placed = hashed.select("id", "n", "h", odd(0).alias("u"), odd(64).alias("v"), F.posexplode(F.array(own, own + 1)).alias("next", "size"))
+    each = placed.select("*", F.get(parts, F.col("size")).alias("in")).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("in") - 1)))
+    # the part's number is of bits that the parities do not take
+    part = F.filter("h", lambda x: F.pmod(F.shiftrightunsigned(x, 8), F.col("in")) == F.col("p"))
+    signed = each.select("id", "n", "u", "v", "next", F.xxhash64("size", "p", part).alias("x"))
+    a, b = (signed.select("x", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "u", "v", "next")]) for s in ("a", "b"))
+    least_apart = sum(F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in ("u", "v"))
+    near = (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")) & (least_apart <= apart * (F.col("n_a") + F.col("n_b")) + 1e-9)
+    return a.join(b, "x").where((F.col("id_a") < F.col("id_b")) & ((F.col("next_a") == 0) | (F.col("next_b") == 0)) & near).select("id_a", "id_b").distinct()
+
+
+def similar(df: DataFrame, key: str, grams: Column, threshold: float, block: DataFrame | None = None) -> DataFrame:
+    """(a, b, similarity), a < b, of all rows whose sets of grams have a Jaccard similarity above the threshold, 0 < threshold < 1."""
+    rows = stored(df.select(F.col(key).alias("k"), grams.alias("g")).where(F.size("g") > 0).withColumn("id", F.monotonically_increasing_id()))
+    met = may_be_alike(rows, threshold)
+    of = lambda s: rows.select(F.col("id").alias(f"id_{s}"), F.col("k").alias(f"k{s}"), F.col("g").alias(f"g{s}"))
+    told = met.join(of("a"), "id_a").join(of("b"), "id_b").where("ka <> kb").withColumn("similarity", T.jaccard(F.col("ga"), F.col("gb"))).where(F.col("similarity") > threshold)
+    return told.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), "similarity")

@@ -71,3 +71,24 @@ def test_shared_opponents_by_lists_and_by_rows(spark, monkeypatch):
     assert df._jdf.queryExecution().optimizedPlan().toString().count("opponent#") and "Aggregate [contest_id" not in df._jdf.queryExecution().optimizedPlan().toString()
     monkeypatch.setattr(lookups, "LISTED", 20)
     assert oracle.difference(registry.QUERIES["q_common_neighbours"](spark, SMALL), con, registry.SQL["q_common_neighbours"]) == ""
+
+
+def test_sets_of_common_grams_meet_by_parts_of_sets(spark):
+    """Sets out of a few grams: nearly all pairs share a gram, rarest or not, and only those that may be alike are compared."""
+    import random
+
+    from bracketry.operators import fuzzy
+
+    r = random.Random(4)
+    sets = [set(r.sample(range(150), 45)) for _ in range(400)]
+    sets += [s - {min(s)} | {999} for s in sets[:30]] + [{1}, {1, 2}, {1, 2, 3}]
+    rows = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "id long, g array<int>")
+    want = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and len(a & b) > 0.85 * len(a | b)}
+    met = {tuple(x) for x in fuzzy.may_be_alike(rows, 0.85).collect()}
+    assert len(want) == 30 and want <= met and len(met) < 200
+
+
+def test_titles_of_large_groups_are_met_by_day(spark):
+    """What a row looks back to is found for its title and day: rows of a title are not multiplied by the titles like it."""
+    plan = registry.QUERIES["q_near_dup_7d"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [title") >= 1 and "Aggregate [doc_id" not in plan
