@@ -253,3 +253,27 @@ def test_best_and_only_candidates(spark):
     assert [x.c for x in fuzzy.only(d, "k").collect()] == ["c"]
     near = fuzzy.near_days(spark.sql("select date '2000-01-03' as x"), spark.sql("select explode(sequence(date '2000-01-01', date '2000-01-09')) as y"), "x", "y", 2)
     assert near.count() == 5
+
+
+def test_replay_by_slabs_and_parts(spark, monkeypatch):
+    """Slabs of several parts give the plain replay, and tables are as many as slabs, not as the longest chain of contests."""
+    monkeypatch.setattr(replay, "FEW", 10)
+    made = []
+    monkeypatch.setattr(replay, "stored", lambda df, own=replay.stored: made.append(1) or own(df))
+    r = random.Random(8)
+    rows = [(k, k // 7, *([0, k % 50 + 1] if k % 2 else r.sample(range(100), 2)), r.choice([0, 1, None])) for k in range(120)]
+    got = replay.by_side(replay.elo(spark.createDataFrame(rows, REPLAYED), ["day", "contest_id"]), ["rating"]).collect()
+    assert {(x.contest_id, x.entity): (x.rating, x.rating_after) for x in got} == {k: pytest.approx(v) for k, v in plain_elo([x for x in rows if x[2] != x[3]]).items()}
+    assert len(made) <= 4
+
+
+def test_parts_of_a_slab_share_no_entity():
+    r = random.Random(2)
+    import numpy as np
+
+    a, b = (np.array([r.randrange(400) for _ in range(150)]) for _ in range(2))
+    part = replay._apart(a, b, 4)
+    at = {}
+    for x, y, p in zip(a.tolist(), b.tolist(), part.tolist(), strict=True):
+        assert at.setdefault(x, p) == p and at.setdefault(y, p) == p
+    assert set(part.tolist()) == {0, 1, 2, 3}
