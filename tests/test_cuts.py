@@ -53,6 +53,19 @@ def test_flips_never_let_the_cut_fall(spark):
     assert cuts.max_cut(cuts.conflicts(spark.createDataFrame([], LINKS), "a", "b", "w")).count() == 0
 
 
+def test_small_components_are_cut_in_tasks_as_by_rounds(spark, monkeypatch):
+    """Same labels both ways; without a large component no round of the cut is a table."""
+    rnd = random.Random(11)
+    g = [(40 * k + i, 40 * k + j, float(rnd.randrange(1, 9))) for k, n in enumerate((2, 3, 5, 12, 25)) for i in range(n) for j in range(i) if rnd.random() < 0.3 or j == i - 1]
+    edges = cuts.conflicts(spark.createDataFrame(g, LINKS), "a", "b", "w")
+    made = []
+    monkeypatch.setattr(cuts, "stored", lambda df, own=cuts.stored: made.append(1) or own(df))
+    whole = {tuple(r) for r in cuts.max_cut(edges).collect()}
+    assert len(made) <= 4 and len(whole) == 47
+    monkeypatch.setattr(cuts, "WHOLE", 60)
+    assert {tuple(r) for r in cuts.max_cut(edges).collect()} == whole
+
+
 def test_alignment_is_the_best_of_all_orientations(spark):
     rnd = np.random.default_rng(1)
     labels, signs, vectors = [], {}, {}
