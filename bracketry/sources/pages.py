@@ -2,10 +2,17 @@
 
 `with_page` adds the struct page (tables, items, headings); all else is DataFrame and Column functions over it. Null pages have
 no tables, items or headings. A row of a table keeps its place, whatever else the page has.
+
+`page_rounds` reads the rows of `round_stats` out of whole batches of pages (`pagebatch.py`): a page becomes neither Python objects nor
+one row of Spark's, and what it gives is not shuffled.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +22,7 @@ from pyspark.sql.types import _parse_datatype_string
 
 from ..functions.odds import american_to_decimal
 from ..functions.text import clock_seconds, landed_of_attempted
+from .pagebatch import Tables, groups, read_tables
 from .tagstream import read_page
 
 LINK = "array<struct<href: string, text: string>>"
@@ -223,3 +231,113 @@ def consensus(grid_: DataFrame, keys: list[str]) -> DataFrame:
     keyed = F.filter(F.transform("props", lambda p: F.struct(key(p).alias("k"), p["mid"].alias("v"))), lambda x: x["k"].isNotNull())
     once = F.filter(F.transform(keyed, lambda x, i: F.struct(x["k"].alias("k"), x["v"].alias("v"), F.exists(F.slice(keyed, 1, i), lambda y: y["k"] == x["k"]).alias("again"))), lambda x: ~x["again"])
     return one.withColumn("methods", F.map_from_entries(F.transform(once, lambda x: F.struct(x["k"], x["v"])))).drop("props")
+
+
+def _batches(df: DataFrame, keys: list[str], html_col: str, kinds: str, told: Callable[[Tables], tuple[np.ndarray, list[pa.Array]]]) -> DataFrame:
+    """keys and what told gives for each page's tables: the pages of its rows, and their columns."""
+    fields = to_arrow_type(_parse_datatype_string(f"struct<{kinds}>"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            html, at = batch.column(len(keys)), 0
+            for to in _stretches(html):
+                for tables in read_tables(html[at:to]):
+                    page, columns = told(tables)
+                    own = [batch.column(i).take(pa.array(page + at)) for i in range(len(keys))]
+                    yield pa.RecordBatch.from_arrays(own + [c.cast(f.type) for c, f in zip(columns, fields, strict=True)], names=[*keys, *(f.name for f in fields)])
+                at = to
+
+    own = df.select(*keys, F.col(html_col).cast("string").alias("_html"))
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[:-1]] + [kinds])
+    return own.mapInArrow(read, schema)
+
+
+def _by_value(texts: pa.Array, value: Callable[[str], int]) -> np.ndarray:
+    """value of each text, asked once for equal ones."""
+    coded = texts.dictionary_encode()
+    return np.array([value(t) for t in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy(zero_copy_only=False)] if len(texts) else np.zeros(0, np.int64)
+
+
+def _codes(texts: np.ndarray) -> np.ndarray:
+    return pa.array(texts, pa.large_string()).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _whole(text: str, otherwise: int = 0) -> int:
+    """A whole number as Spark casts it."""
+    m = re.fullmatch(r"[\x00-\x20\x7f]*([+-]?[0-9]+)[\x00-\x20\x7f]*", text)
+    return int(m[1]) if m and len(m[1]) < 100 and -(1 << 31) <= int(m[1]) < 1 << 31 else otherwise
+
+
+def _clock(text: str) -> int:
+    m = re.fullmatch(r"([0-9]+):([0-5][0-9])", text)
+    return _whole(m[1]) * 60 + int(m[2]) if m else 0
+
+
+def _of(k: int) -> Callable[[str], int]:
+    def value(text: str) -> int:
+        m = re.fullmatch(r"([0-9]+) of ([0-9]+)", text)
+        return _whole(m[k]) if m else 0
+
+    return value
+
+
+#: Figures of a side's round: which table and line they are in, and how they are read.
+FIGURES = {n: (1, 1 + MAIN.index(c), f) for n, c, f in (("knockdowns", "kd", lambda t: _whole(re.sub(r"\s", "", t, flags=re.ASCII))), ("submissions", "sub", lambda t: _whole(re.sub(r"\s", "", t, flags=re.ASCII))), ("reversals", "rev", lambda t: _whole(re.sub(r"\s", "", t, flags=re.ASCII))), ("control", "control", _clock))}
+FIGURES |= {f"{n}_{w}": (1, 1 + MAIN.index(c), _of(k)) for n, c in (("sig", "sig"), ("total", "total"), ("takedowns", "td")) for k, w in ((1, "landed"), (2, "attempted"))}
+FIGURES |= {f"{n}_{w}": (2, 1 + ZONES.index(n), _of(k)) for n in ZONES[2:] for k, w in ((1, "landed"), (2, "attempted")) if k == 1 or n in ("head", "body", "leg")}
+
+
+def page_rounds(df: DataFrame, keys: list[str], html_col: str = "html", id_pattern: str = r"([^/]+)/?$") -> DataFrame:
+    """round_stats() of pages as they are written."""
+    ids, mark_of = re.compile(id_pattern, re.ASCII), re.compile(ROUND_ROW, re.ASCII)
+
+    def mark(text: str) -> int:
+        m = mark_of.search(text)
+        return _whole(m[1], -1) if m else -1
+
+    def whose(attrs: dict) -> str:
+        m = ids.search(attrs["href"])
+        return (m[1] or "") if m else ""
+
+    def told(t: Tables) -> tuple[np.ndarray, list[pa.Array]]:
+        # the rows after a mark, and the first two tables with such rows
+        alone, marks, i = np.flatnonzero(t.cells_of_row == 1), np.full(len(t.row_table), -1), np.arange(len(t.row_table))
+        marks[alone] = _by_value(t.texts(t.first_cell[alone]), mark)
+        last = np.maximum.accumulate(np.where(marks >= 0, i, -1)) if len(i) else i
+        rows = np.flatnonzero((marks < 0) & (last >= groups(t.row_table)[0]))
+        tables = np.unique(t.row_table[rows])
+        pages = t.table_page[tables]
+        nth = np.full(len(t.table_page), 9)
+        begin, end = groups(pages)
+        nth[tables] = 1 + np.arange(len(tables)) - begin
+        nth[tables[end - begin < 2]] = 9
+        nth = nth[t.row_table[rows]]
+        enough = np.where(nth == 1, 10, 9)
+        rows, nth = (x[(nth <= 2) & (t.cells_of_row[rows] >= enough)] for x in (rows, nth))
+        linked = t.links[t.first_cell[rows]] >= 2
+        rows, nth, side = np.repeat(rows[linked], 2), np.repeat(nth[linked], 2), np.tile([0, 1], int(linked.sum()))
+        who = t.each(whose, t.link_attr[t.first_link[t.first_cell[rows]] + side])
+        own = who.astype(bool)
+        rows, nth, side, who = rows[own], nth[own], side[own], who[own]
+        # a round and side is in order with all that tells of it
+        page, number, name = t.table_page[t.row_table[rows]], marks[last[rows]], _codes(who)
+        order = np.lexsort((name, number, page))
+        rows, nth, side, who, page, number, name = (x[order] for x in (rows, nth, side, who, page, number, name))
+        new = np.ones(len(rows), bool)
+        new[1:] = (page[1:] != page[:-1]) | (number[1:] != number[:-1]) | (name[1:] != name[:-1])
+        begins = np.flatnonzero(new)
+        lines, most = {}, []
+        for k, line, value in FIGURES.values():
+            if (k, line) not in lines:
+                cell = t.first_cell[rows] + line
+                has = (nth == k) & (side < t.pieces[np.where(nth == k, cell, 0)] if len(rows) else False)
+                piece = np.where(has, t.first_piece[np.where(has, cell, 0)] + side, 0) if has.any() else np.zeros(len(rows), np.int64)
+                lines[k, line] = t.strings(t.piece_at[piece], np.where(has, t.piece_size[piece], 0)).dictionary_encode() if has.any() else None
+            coded = lines[k, line]
+            got = np.zeros(len(rows), np.int64) if coded is None else np.array([value(x) for x in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy()]
+            got = np.maximum.reduceat(np.where(nth == k, got, -(1 << 40)), begins) if len(rows) else got
+            most.append(pa.array(np.where(got == -(1 << 40), 0, got)))
+        least = np.minimum.reduceat(side, begins) if len(rows) else side
+        return page[begins], [pa.array(number[begins]), pa.array(who[begins], pa.string()), *most, pa.array(least)]
+
+    return _batches(df, keys, html_col, ", ".join(["round: int", "who: string", *(f"{n}: int" for n in FIGURES), "side: int"]), told)

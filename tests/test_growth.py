@@ -92,3 +92,9 @@ def test_titles_of_large_groups_are_met_by_day(spark):
     """What a row looks back to is found for its title and day: rows of a title are not multiplied by the titles like it."""
     plan = registry.QUERIES["q_near_dup_7d"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate [title") >= 1 and "Aggregate [doc_id" not in plan
+
+
+def test_rounds_of_pages_are_not_shuffled(spark):
+    """Pages are read where they are written, and their rows stay there."""
+    plan = registry.QUERIES["q_page_rounds"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("Exchange") == 1 and "Window" not in plan and "Aggregate" not in plan

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import random
 import time
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from bracketry.sources import pages
+from bracketry.sources.pagebatch import read_tables
 from bracketry.sources.tagstream import read_page
 
 
@@ -125,3 +129,60 @@ def test_page_items_leave_other_references_as_written(spark, tmp_path):
     spark.createDataFrame(list(enumerate(html)), "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages")
     next((tmp_path / "pages").glob("*.parquet")).rename(tmp_path / "pages.parquet")
     assert oracle.difference(registry.QUERIES["q_page_items"](spark, str(tmp_path)), oracle.connect(str(tmp_path)), registry.SQL["q_page_items"]) == ""
+
+
+def of_batch(html):
+    """Tables of each page out of the columns of a batch, and how many pages were plain."""
+    got, plain = {}, 0
+    for k, t in enumerate(read_tables(pa.array(["before<td>", *html], pa.string())[1:])):
+        tables, rows = [(p, n, []) for p, n in zip(t.table_page.tolist(), t.table_no.tolist(), strict=True)], []
+        for i in t.row_table.tolist():
+            rows.append([])
+            tables[i][2].append(rows[-1])
+        texts, pieces, links = t.texts(np.arange(len(t.cell_row))).to_pylist(), t.strings(t.piece_at, t.piece_size).to_pylist(), t.strings(t.link_at, t.link_size).to_pylist()
+        for c, r in enumerate(t.cell_row.tolist()):
+            data = t.attrs[t.cell_attr[c]] if t.cell_attr[c] >= 0 else {}
+            own, its = slice(t.first_piece[c], t.first_piece[c] + t.pieces[c]), range(t.first_link[c], t.first_link[c] + t.links[c])
+            rows[r].append((bool(t.cell_head[c]), {k: v for k, v in data.items() if k.startswith("data-")}, texts[c], pieces[own], [(t.attrs[t.link_attr[j]]["href"], links[j]) for j in its]))
+        for p, n, x in tables:
+            got.setdefault(p, []).append((n, x))
+        plain += len({p for p, _, _ in tables}) if k == 0 else 0
+    return [got.get(p, []) for p in range(len(html))], plain
+
+
+def walked(html):
+    cell = lambda c: (c["head"], dict(c["data"]), c["text"], c["parts"], [(a["href"], a["text"]) for a in c["links"]])
+    return [(t["table"], [[cell(c) for c in r["cells"]] for r in t["rows"]]) for t in read_page(html or "")["tables"]]
+
+
+def test_batches_of_pages_are_as_pages_alone():
+    r = random.Random(3)
+    tidy = ["<table>", "</table>", "<tr>", "<td>", "<th>", "</td>", "</tr>", "<tbody>", "</thead>", "<p>", "</p>", "<br>", "<a href=u>", "</a>", "x", " y ", "<td data-b=2 class=k>", "<span>", "&lt;", "z  z", "<div>", "<!-- c -->", "<title>t</title>", "<a href='/x y'>", "\n", "é"]
+    odd = ["<ul>", "<li>", "</ul>", "<td data-li=\"[2\" data-b='>' >", "<!--", "-->", "<script>1<2</script>", "<script><td></script>", "</script>", "<h1>", "<p a='", "'", '"', ">", "<td x=\"a' ", "<a href>", "</a x='>'>", "<p/>", "<li", "<td\0>", "&#160;", "&am", "p;", "<", "1 < 2", "<TD class=x>", "<td", "</", "<textarea>"]
+    pages_ = [None, ""]
+    for _ in range(4000):
+        bits = r.choice([tidy, tidy, tidy + odd])
+        pages_.append(r.choice(["", "<table>", "<ul><li>a<table><tr>", "<table><tr><td>"]) + "".join(r.choice(bits) for _ in range(r.randint(0, 40))))
+    plain = 0
+    for at in range(0, len(pages_), 61):
+        got, n = of_batch(pages_[at : at + 61])
+        plain += n
+        for html, x in zip(pages_[at : at + 61], got, strict=True):
+            assert x == walked(html), html
+    assert plain > 1000
+    assert of_batch([])[0] == [] and of_batch([None])[0] == [[]]
+
+
+def test_rounds_of_batches_of_pages(spark):
+    r = random.Random(5)
+    two = lambda: f"<td><p>{r.choice(['1 of 2', '3', ' 7 of 9', '0:59', '12:61', '99999999999', '', '+4', '1 2', '5 of 3x', '-3'])}</p><p>{r.choice(['1 of 2', '3', '2:10', 'x', '6 of 60'])}</p>"
+
+    def line():
+        who = f"<tr><td><a href='/f/{r.choice('ab')}'>x</a><a href='/f/{r.choice(['b', 'c/', '/', ''])}'>y</a>" if r.random() < 0.3 else "<tr><td><a href='/f/aa'>x</a><a href=/f/bb>y</a>"
+        return r.choice([f"<tr><td>Round {r.choice(['1', '2', '02', '99999999999', 'x'])}", "<thead><tr><th colspan=3> Round\n3 <b>x</b></thead>", "<tr><td>short"] + [who + "".join(two() for _ in range(r.randint(7, 10)))] * 3)
+
+    html = ["".join(r.choice(["<table>", "<table>", "<table><tr><td><table>"]) + "".join(line() for _ in range(r.randint(0, 6))) + r.choice(["</table>", ""]) for _ in range(r.randint(0, 4))) for _ in range(800)]
+    d = framed(spark, stat_page([1, 2, 3]), stat_page([1], "</td></td>"), "<table><tr><th>Round 1</table>", None, *html)
+    want = pages.round_stats(d, ["id"])
+    got = pages.page_rounds(d, ["id"]).select(want.columns)
+    assert got.dtypes == want.dtypes and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 200
