@@ -3,8 +3,8 @@
 `with_page` adds the struct page (tables, items, headings); all else is DataFrame and Column functions over it. Null pages have
 no tables, items or headings. A row of a table keeps its place, whatever else the page has.
 
-`page_rounds` reads the rows of `round_stats` out of whole batches of pages (`pagebatch.py`): a page becomes neither Python objects nor
-one row of Spark's, and what it gives is not shuffled.
+`page_rounds` and `page_matchups` read the rows of `round_stats` and `odds_grid` out of whole batches of pages (`pagebatch.py`): a
+page becomes neither Python objects nor one row of Spark's, and what it gives is not shuffled.
 """
 
 from __future__ import annotations
@@ -216,10 +216,19 @@ def consensus(grid_: DataFrame, keys: list[str]) -> DataFrame:
     methods maps a_ko, b_dec and so on to the median of the proposition "Name wins by method", if the name's words are all
     in one side's name and not in the other's; of several the first row counts.
     """
-    per = grid_.groupBy(*keys, "table", "matchup", "place", "label", "who").agg(F.max("price").alias("best"), F.median("price").alias("mid"), F.count("*").cast("int").alias("n"))
-    side = lambda p, c: F.max(F.when(F.col("place") == p, F.col(c)))
-    props = F.array_sort(F.collect_list(F.when(F.col("place") > 1, F.struct("place", "label", "mid"))))
-    one = per.groupBy(*keys, "table", "matchup").agg(side(0, "who").alias("a"), side(1, "who").alias("b"), *[side(p, c).alias(f"{n}_{s}") for c, n in (("best", "best"), ("mid", "median"), ("n", "n")) for p, s in ((0, "a"), (1, "b"))], props.alias("props"))
+    per = grid_.groupBy(*keys, "table", "matchup", "place", "label", "who").agg(F.collect_list("price").alias("prices"))
+    return consensus_of_places(per.groupBy(*keys, "table", "matchup").agg(F.collect_list(F.struct("place", "label", "who", "prices")).alias("places")), keys)
+
+
+def consensus_of_places(d: DataFrame, keys: list[str]) -> DataFrame:
+    """consensus() of a row a matchup with its places, an array of (place, label, who, prices)."""
+    at = lambda c, i: F.get(c, i.cast("int"))
+    middle = lambda c: 0.5 * at(c, F.floor((F.size(c) - 1) / 2)) + 0.5 * at(c, F.floor(F.size(c) / 2))
+    told = d.withColumn("_p", F.transform("places", lambda p: F.struct(p["place"].alias("place"), p["label"].alias("label"), p["who"].alias("who"), F.array_sort(p["prices"]).alias("sorted"))))
+    told = told.withColumn("_p", F.transform("_p", lambda p: F.struct(p["place"].alias("place"), p["label"].alias("label"), p["who"].alias("who"), F.array_max(p["sorted"]).alias("best"), middle(p["sorted"]).alias("median"), F.size(p["sorted"]).alias("n"))))
+    told = told.withColumns({"_0": F.filter("_p", lambda p: p["place"] == 0), "_1": F.filter("_p", lambda p: p["place"] == 1), "_props": F.array_sort(F.transform(F.filter("_p", lambda p: p["place"] > 1), lambda p: F.struct(p["place"], p["label"], p["median"].alias("mid"))))})
+    most = lambda i, name: F.array_max(F.col(f"_{i}")[name])
+    one = told.select(*keys, "table", "matchup", most(0, "who").alias("a"), most(1, "who").alias("b"), *[most(i, n).alias(f"{n}_{s}") for n in ("best", "median", "n") for i, s in ((0, "a"), (1, "b"))], "_props")
     words = lambda c: F.split(F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " ")), " ")
 
     def key(p: Column) -> Column:
@@ -228,9 +237,9 @@ def consensus(grid_: DataFrame, keys: list[str]) -> DataFrame:
         sides = F.when(of("a") & ~of("b"), "a_").when(of("b") & ~of("a"), "b_")
         return F.when(p["label"].rlike(WAYS), F.concat(sides, F.when(how == "submission", "sub").when(how == "decision", "dec").otherwise("ko")))
 
-    keyed = F.filter(F.transform("props", lambda p: F.struct(key(p).alias("k"), p["mid"].alias("v"))), lambda x: x["k"].isNotNull())
-    once = F.filter(F.transform(keyed, lambda x, i: F.struct(x["k"].alias("k"), x["v"].alias("v"), F.exists(F.slice(keyed, 1, i), lambda y: y["k"] == x["k"]).alias("again"))), lambda x: ~x["again"])
-    return one.withColumn("methods", F.map_from_entries(F.transform(once, lambda x: F.struct(x["k"], x["v"])))).drop("props")
+    one = one.withColumn("_keyed", F.filter(F.transform("_props", lambda p: F.struct(key(p).alias("k"), p["mid"].alias("v"))), lambda x: x["k"].isNotNull()))
+    once = F.filter(F.transform("_keyed", lambda x, i: F.struct(x["k"].alias("k"), x["v"].alias("v"), F.exists(F.slice("_keyed", 1, i), lambda y: y["k"] == x["k"]).alias("again"))), lambda x: ~x["again"])
+    return one.withColumn("methods", F.map_from_entries(F.transform(once, lambda x: F.struct(x["k"], x["v"])))).drop("_props", "_keyed")
 
 
 def _batches(df: DataFrame, keys: list[str], html_col: str, kinds: str, told: Callable[[Tables], tuple[np.ndarray, list[pa.Array]]]) -> DataFrame:
@@ -341,3 +350,91 @@ def page_rounds(df: DataFrame, keys: list[str], html_col: str = "html", id_patte
         return page[begins], [pa.array(number[begins]), pa.array(who[begins], pa.string()), *most, pa.array(least)]
 
     return _batches(df, keys, html_col, ", ".join(["round: int", "who: string", *(f"{n}: int" for n in FIGURES), "side: int"]), told)
+
+
+def page_matchups(df: DataFrame, keys: list[str], html_col: str = "html", start: str = MATCHUP_LINK, who: str = SIDE_LINK) -> DataFrame:
+    """(keys, table, matchup, places) of pages as they are written, for consensus_of_places(): odds_grid() in a row a matchup, with prices of all books as Americans write them."""
+    number, begins_with, price_of = re.compile(r"(\d+)/?$", re.ASCII), re.compile(r'^\[\s*"?(\d+)', re.ASCII), re.compile(r"^([+\-]?\d+)(?:$|[^\d.,/%])", re.ASCII)
+
+    def price(text: str) -> int:
+        m = price_of.search(text)
+        return _whole(m[1]) if m else 0
+
+    def first(pattern: re.Pattern, text: str) -> str:
+        m = pattern.search(text)
+        return m[1] if m else ""
+
+    def told(t: Tables) -> tuple[np.ndarray, list[pa.Array]]:
+        def of_attrs(value: Callable[[dict], str | None]) -> np.ndarray:
+            got = np.empty(len(t.attrs) + 1, object)
+            got[: len(t.attrs)] = [value(a) for a in t.attrs]
+            return got
+
+        starts = of_attrs(lambda a: first(number, a["href"]) if a.get("href", "").startswith(start) and "href" in a else None)
+        whose = of_attrs(lambda a: "" if a.get("href", "").startswith(who) and "href" in a else None)
+        book, priced = of_attrs(lambda a: a.get(BOOK)), of_attrs(lambda a: first(begins_with, a[PRICED]) if PRICED in a else None)
+        table_of = t.row_table[t.cell_row]
+        books = np.flatnonzero(np.not_equal(book, None)[t.cell_attr])
+        booked = np.zeros(len(t.table_page), bool)
+        booked[table_of[books]] = True
+        # rows with a head cell that is no book's, in tables with books
+        heads = np.flatnonzero(t.cell_head & ~np.not_equal(book, None)[t.cell_attr] & booked[table_of])
+        rows, at = np.unique(t.cell_row[heads], return_index=True)
+        heads = heads[at]
+
+        def link_of(which: np.ndarray) -> np.ndarray:
+            """The first such link of each head, or -1."""
+            links = np.flatnonzero(np.not_equal(which, None)[t.link_attr])
+            cells, at = np.unique(t.link_cell[links], return_index=True)
+            k = np.minimum(np.searchsorted(cells, heads), max(len(cells) - 1, 0))
+            return np.where(cells[k] == heads, links[at][k], -1) if len(cells) else np.full(len(heads), -1)
+
+        began, named = link_of(starts), link_of(whose)
+        # matchups: from a row with both links on
+        i, table = np.arange(len(rows)), t.row_table[rows]
+        block = np.maximum.accumulate(np.where((began >= 0) & (named >= 0), i, -1)) if len(i) else i
+        block = np.where(block >= groups(table)[0], block, -1)
+        place = i - block
+        second = np.minimum(block + 1, max(len(i) - 1, 0))
+        two = (block[second] == block) & (second > block) & (named[second] >= 0) if len(i) else i > 0
+        stray = np.maximum.accumulate(np.where((place > 1) & (named >= 0), i, -1)) >= block if len(i) else i > 0
+        matchup = starts[t.link_attr[began[block]]] if len(i) and len(t.link_attr) else np.empty(len(i), object)
+        own = (block >= 0) & two & ~stray
+        own[own] = matchup[own].astype(bool)
+        rows, heads, place, matchup, table, named = (x[own] for x in (rows, heads, place, matchup, table, named))
+        # prices of their cells
+        row_at = np.full(len(t.row_table), -1)
+        row_at[rows] = np.arange(len(rows))
+        cells = np.flatnonzero((row_at[t.cell_row] >= 0) & np.not_equal(priced, None)[t.cell_attr])
+        codes = _codes(np.concatenate([priced[t.cell_attr[cells]], book[t.cell_attr[books]]]))
+        key = np.concatenate([table_of[cells], table_of[books]]) * (codes.max(initial=0) + 1) + codes
+        cells = cells[np.isin(key[: len(cells)], key[len(cells) :])]
+        prices = _by_value(t.texts(cells), price)
+        cells, prices = (x[np.abs(prices) >= 100] for x in (cells, prices))
+        n = np.bincount(row_at[t.cell_row[cells]], minlength=len(rows))
+        # rows of a place, label and name of a matchup are one place
+        label, name = t.texts(heads), t.strings(np.append(t.link_at, 0)[named], np.append(t.link_size, 0)[named])
+        keys_ = (table, _codes(matchup), place, *(x.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64) for x in (label, name)))
+        order = np.lexsort(keys_[::-1])
+        order = order[n[order] > 0]
+        new = np.zeros(len(order), bool)
+        new[:1] = True
+        for x in keys_[:2]:
+            new[1:] |= x[order][1:] != x[order][:-1]
+        matchups, place_begins = np.flatnonzero(new), new.copy()
+        for x in keys_[2:]:
+            place_begins[1:] |= x[order][1:] != x[order][:-1]
+        places = np.flatnonzero(place_begins)
+        rank = np.zeros(len(rows), np.int64)
+        rank[order] = np.arange(len(order))
+        prices = prices[np.argsort(rank[row_at[t.cell_row[cells]]], kind="stable")]
+        price_ends = np.concatenate([[0], np.cumsum(n[order])])
+        offsets = lambda x: pa.array(x.astype(np.int32))
+        lists = pa.ListArray.from_arrays(offsets(price_ends[np.append(places, len(order))]), pa.array(prices.astype(np.int32)))
+        of_place = order[places]
+        told_ = pa.StructArray.from_arrays([pa.array(place[of_place].astype(np.int32)), label.take(pa.array(of_place)).cast(pa.string()), name.take(pa.array(of_place)).cast(pa.string()), lists], ["place", "label", "who", "prices"])
+        grouped = pa.ListArray.from_arrays(offsets(np.searchsorted(places, np.append(matchups, len(order)))), told_)
+        one = order[matchups]
+        return t.table_page[table[one]], [pa.array(t.table_no[table[one]]), pa.array(matchup[one], pa.string()), grouped]
+
+    return _batches(df, keys, html_col, "table: int, matchup: string, places: array<struct<place: int, label: string, who: string, prices: array<int>>>", told).withColumn("places", F.transform("places", lambda p: p.withField("prices", F.transform(p["prices"], american_to_decimal))))

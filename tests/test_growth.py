@@ -98,3 +98,9 @@ def test_rounds_of_pages_are_not_shuffled(spark):
     """Pages are read where they are written, and their rows stay there."""
     plan = registry.QUERIES["q_page_rounds"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1 and plan.count("Exchange") == 1 and "Window" not in plan and "Aggregate" not in plan
+
+
+def test_odds_of_pages_are_not_shuffled(spark):
+    """A page of any size is no row of Spark's with all its cells, and matchups stay where their page is read."""
+    plan = registry.QUERIES["q_page_odds"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("Exchange") == 1 and "Window" not in plan and "Generate" not in plan

@@ -186,3 +186,26 @@ def test_rounds_of_batches_of_pages(spark):
     want = pages.round_stats(d, ["id"])
     got = pages.page_rounds(d, ["id"]).select(want.columns)
     assert got.dtypes == want.dtypes and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 200
+
+
+def test_matchups_of_batches_of_pages(spark):
+    r = random.Random(7)
+    price = lambda: r.choice([f"<td data-li='[{r.choice('123')}, 1]'><span>{r.choice(['+150', '-200', '+99', '300', '+101.5', 'n/a', '-99999999999'])}</span><span>▲</span>", "<td>", "<td data-li=x>+200", "<td data-li='[ \"2'>-110"])
+
+    def row():
+        name = r.choice(["Ann", "Bo X", "Cy &amp; D", "Di"])
+        kinds = [f"<th><a href='/cnadm/matchups/{r.choice('778')}'>e</a><a href='/fighters/{name}'>{name}</a>", f"<th><a href='/fighters/{name}'>{name}</a>", f"<th>{name} wins by {r.choice(['TKO/KO', 'submission', 'Decision', 'KO/TKO', 'luck'])}", "<td>no head", "<th><a href='/cnadm/matchups/x'>e</a><a href='/fighters/q'>q</a>"]
+        return "<tr>" + r.choice(kinds) + "".join(price() for _ in range(r.randint(0, 4)))
+
+    heads = lambda: "".join(r.choice(["<th>junk", f"<th data-b={r.choice('123')}><a href=b>B{r.randint(1, 4)}</a>x", "<th data-b>No"]) for _ in range(r.randint(0, 4)))
+    html = ["".join("<table>" + heads() + "".join(row() for _ in range(r.randint(0, 12))) + r.choice(["</table>", "</table>", ""]) for _ in range(r.randint(0, 3))) for _ in range(1500)]
+    d = framed(spark, None, *html)
+    g = pages.odds_grid(d, ["id"])
+    want, got = pages.consensus(g, ["id"]), pages.consensus_of_places(pages.page_matchups(d, ["id"]), ["id"])
+    assert got.select(want.columns).dtypes == want.dtypes
+    rows = lambda x: sorted((tuple(sorted(v.items()) if isinstance(v, dict) else v for v in t) for t in x.select(want.columns).collect()), key=repr)
+    assert rows(got) == rows(want) and got.count() > 150
+    # medians as Spark has them
+    mid = g.groupBy("id", "table", "matchup", "place", "label", "who").agg(F.median("price").alias("m")).where("place = 0").groupBy("id", "table", "matchup").agg(F.max("m").alias("m"))
+    told = {(x.id, x.table, x.matchup): x.median_a for x in got.collect() if x.median_a is not None}
+    assert {(x.id, x.table, x.matchup): x.m for x in mid.collect()} == told
