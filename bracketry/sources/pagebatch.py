@@ -37,9 +37,8 @@ WORDS, SIZES, WORD_CODES = (np.array(c, t) for c, t in zip(zip(*_WORDS, strict=T
 MASKS = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
 LETTER = np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = True
-#: Letters that text can't have if it is to stay as written, next to blanks at its ends and two in a row.
-TO_MEND = np.zeros(256, bool)
-TO_MEND[[9, 10, 11, 12, 13, 28, 29, 30, 31, 38]] = TO_MEND[128:] = True
+#: The first two bytes of blanks beyond ASCII, and some others.
+BLANKS = np.array([0xC285, 0xC2A0, 0xE19A, 0xE280, 0xE281, 0xE380], np.uint16)
 
 
 def groups(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -49,6 +48,23 @@ def groups(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(turns, ends - turns), np.repeat(ends, ends - turns)
 
 
+def to_mend(letters: np.ndarray) -> np.ndarray:
+    """Letters that text can't have if it is to stay as written, next to blanks at its ends."""
+    blank, high = letters == 32, letters >= 128
+    bad = (letters < 32) | (letters == 38)
+    bad[1:] |= blank[1:] & blank[:-1]
+    if high.any():
+        i = np.flatnonzero(high[:-1] & high[1:])
+        bad[i] |= np.isin((letters[i].astype(np.uint16) << 8) | letters[i + 1], BLANKS)
+    return bad
+
+
+def joined(at: np.ndarray, size: np.ndarray, letters: np.ndarray) -> np.ndarray:
+    """The letters at these places, one place's after the other's."""
+    ends = np.cumsum(size)
+    return letters[np.repeat(at - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class Tables:
     """Tables of pages in columns: tables, rows, cells, pieces of cells and links of cells, each in the order in which it begins.
 
@@ -68,9 +84,7 @@ class Tables:
         self.piece_cell, self.link_cell = piece_cell, link_cell
 
     def strings(self, at: np.ndarray, size: np.ndarray) -> pa.Array:
-        ends = np.cumsum(size)
-        got = self.letters[np.repeat(at - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
-        return pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64)), pa.py_buffer(got)])
+        return pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int64)), pa.py_buffer(joined(at, size, self.letters))])
 
     def texts(self, cells: np.ndarray) -> pa.Array:
         """Whole texts of cells: their pieces that are not empty."""
@@ -130,23 +144,20 @@ def _tag(source: bytes, attrs: list[dict]) -> tuple[int, int]:
 class _Texts:
     """Texts between tags, as they are written where that is the text, else mended and kept beside the letters."""
 
-    def __init__(self, data: bytes, letters: np.ndarray, begin, end, counts, breaks):
-        self.data, self.begin, self.end, self.breaks = data, begin, end, np.concatenate([[0], np.cumsum(breaks)])
-        self.is_break = breaks
+    def __init__(self, data: bytes, letters: np.ndarray, begin: np.ndarray, end: np.ndarray, counts: np.ndarray, breaks: np.ndarray):
+        self.data, self.letters, self.begin, self.end, self.is_break, self.breaks = data, letters, begin, end, breaks, np.concatenate([[0], np.cumsum(breaks)])
         self.has = (end > begin) & counts
         self.full, self.before = np.flatnonzero(self.has), np.concatenate([[0], np.cumsum(self.has)])
-        bad = TO_MEND[letters]
-        bad[1:] |= (letters[1:] == 32) & (letters[:-1] == 32)
-        bad = np.concatenate([[0], np.cumsum(bad, dtype=np.int32)])
         a, b = begin[self.full], end[self.full]
         a = a + ((letters[a] == 32) & (b - a > 1))
         b = b - ((letters[b - 1] == 32) & (b - a > 1))
-        self.plain = (bad[b] == bad[a]) & (letters[a] != 32) & (letters[b - 1] != 32)
-        self.inner = a, b
+        self.inner, self.plain = (a, b), (letters[a] != 32) & (letters[b - 1] != 32)
+        bad = np.flatnonzero(to_mend(letters))
+        k = np.searchsorted(a, bad, "right") - 1
+        self.plain[k[(k >= 0) & (bad < b[k])] if len(a) else []] = False
         self.kept, self.size, self.known = [], len(letters), {}
 
-    def keep(self, text: str) -> tuple[int, int]:
-        got = text.encode()
+    def keep(self, got: bytes) -> tuple[int, int]:
         self.kept.append(got)
         self.size += len(got)
         return self.size - len(got), len(got)
@@ -155,35 +166,68 @@ class _Texts:
         """Places and sizes of the text after the tags from first up to last."""
         begin, end = self.before[first], self.before[last]
         n = end - begin
-        one = np.minimum(begin, max(len(self.full) - 1, 0))
         if not len(self.full):
             return np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+        one = np.minimum(begin, len(self.full) - 1)
         a, b = (x[one] for x in self.inner)
         at, size = np.where(n > 0, a, 0), np.where(n > 0, b - a, 0)
-        slow = np.flatnonzero((n > 1) | ((n == 1) & ~self.plain[one]))
+        slow = (n == 1) & ~self.plain[one]
+        several = np.flatnonzero(n > 1)
+        if len(several):
+            broken = self.breaks[last[several]] - self.breaks[first[several] + 1] > 0
+            slow[several[broken]] = True
+            at[several], size[several], fine = self.together(begin[several], n[several])
+            slow[several[~fine]] = True
+        slow = np.flatnonzero(slow)
         if len(slow):
-            broken = self.breaks[last[slow]] - self.breaks[np.minimum(first[slow] + 1, last[slow])] > 0
-            made = [self.mended(*x) for x in zip(begin[slow].tolist(), end[slow].tolist(), broken.tolist(), first[slow].tolist(), last[slow].tolist(), strict=True)]
+            made = [self.mended(*x) for x in zip(first[slow].tolist(), last[slow].tolist(), strict=True)]
             at[slow], size[slow] = np.array(made, np.int64).T
         return at, size
 
-    def mended(self, begin: int, end: int, broken: bool, first: int, last: int) -> tuple[int, int]:
-        if broken:
-            pieces = [[]]
-            for k in range(first, last):
-                if k > first and self.is_break[k]:
-                    pieces.append([])
-                if self.has[k]:
-                    pieces[-1].append(unescape(self.data[self.begin[k] : self.end[k]].decode()))
-            return self.keep(" ".join(filter(None, (" ".join("".join(p).split()) for p in pieces))))
-        chunks = [self.data[self.begin[k] : self.end[k]] for k in self.full[begin:end]]
-        key = chunks[0] if len(chunks) == 1 else tuple(chunks)
+    def together(self, begin: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Texts of n parts from begin on, put together, and whether that is the text."""
+        ends = np.cumsum(n)
+        parts = self.full[np.repeat(begin - ends + n, n) + np.arange(ends[-1])]
+        sizes = self.end[parts] - self.begin[parts]
+        got = joined(self.begin[parts], sizes, self.letters)
+        of_each = np.concatenate([[0], np.cumsum(sizes)])
+        to = of_each[ends]
+        at = np.concatenate([[0], to[:-1]])
+        fine = (got[at] != 32) & (got[to - 1] != 32)
+        bad = np.flatnonzero(to_mend(got))
+        fine[np.searchsorted(to, bad, "right")] = False
+        start, _ = self.keep(got.tobytes())
+        return at + start, to - at, fine
+
+    def mended(self, first: int, last: int) -> tuple[int, int]:
+        pieces = [[]]
+        for k in range(first, last):
+            if k > first and self.is_break[k]:
+                pieces.append([])
+            if self.has[k]:
+                pieces[-1].append(self.data[self.begin[k] : self.end[k]])
+        key = tuple(map(tuple, pieces))
         got = self.known.get(key)
         if got is None:
-            got = self.known[key] = self.keep(" ".join("".join([unescape(c.decode()) for c in chunks]).split()))
+            words = (" ".join("".join([unescape(c.decode()) for c in p]).split()) for p in pieces)
+            got = self.known[key] = self.keep(" ".join(filter(None, words)).encode())
         return got
 
 
+class _Tags(dict):
+    """Numbers of tags as they are written; each is read when it is first asked for."""
+
+    def __init__(self):
+        self.codes, self.attr, self.attrs = [], [], []
+
+    def __missing__(self, source: bytes) -> int:
+        code, attr = _tag(source, self.attrs)
+        self.codes.append(code)
+        self.attr.append(attr)
+        self[source] = n = len(self.codes) - 1
+        return n
+
+
 def _plain(data: bytes, first: np.ndarray, last: np.ndarray) -> tuple[Tables, np.ndarray]:
     """Tables of the plain pages among those that begin and end at these places, and which pages are not plain."""
     letters = np.frombuffer(data, np.uint8)
@@ -207,16 +251,9 @@ def _plain(data: bytes, first: np.ndarray, last: np.ndarray) -> tuple[Tables, np
     k = np.minimum(np.searchsorted(WORDS, word), len(WORDS) - 1)
     known = (WORDS[k] == word) & (SIZES[k] == size)
     code, attr = np.where(known, WORD_CODES[k], NONE), np.full(len(at), -1)
-    attrs, told, got = [], {}, []
-    rest = np.flatnonzero(~known)
-    for a, b in zip(at[rest].tolist(), (to[rest] + 1).tolist(), strict=True):
-        source = data[a:b]
-        x = told.get(source)
-        if x is None:
-            x = told[source] = _tag(source, attrs)
-        got.append(x)
-    if got:
-        code[rest], attr[rest] = np.array(got, np.int64).T
+    told, rest = _Tags(), np.flatnonzero(~known)
+    got = np.array([told[data[a:b]] for a, b in zip(at[rest].tolist(), (to[rest] + 1).tolist(), strict=True)], np.int64)
+    code[rest], attr[rest], attrs = np.array(told.codes, np.int64)[got], np.array(told.attr, np.int64)[got], told.attrs
     hidden[page[code == HIDDEN]] = True
     raw = (code >= OPEN_RAW) & (code < END_RAW)
     follows = np.zeros(len(code), bool)

@@ -296,8 +296,9 @@ FIGURES |= {f"{n}_{w}": (1, 1 + MAIN.index(c), _of(k)) for n, c in (("sig", "sig
 FIGURES |= {f"{n}_{w}": (2, 1 + ZONES.index(n), _of(k)) for n in ZONES[2:] for k, w in ((1, "landed"), (2, "attempted")) if k == 1 or n in ("head", "body", "leg")}
 
 
-def page_rounds(df: DataFrame, keys: list[str], html_col: str = "html", id_pattern: str = r"([^/]+)/?$") -> DataFrame:
-    """round_stats() of pages as they are written."""
+def page_rounds(df: DataFrame, keys: list[str], html_col: str = "html", id_pattern: str = r"([^/]+)/?$", figures: list[str] | None = None) -> DataFrame:
+    """round_stats() of pages as they are written, with these figures alone if they are given."""
+    figures = list(FIGURES) if figures is None else figures
     ids, mark_of = re.compile(id_pattern, re.ASCII), re.compile(ROUND_ROW, re.ASCII)
 
     def mark(text: str) -> int:
@@ -335,21 +336,23 @@ def page_rounds(df: DataFrame, keys: list[str], html_col: str = "html", id_patte
         new = np.ones(len(rows), bool)
         new[1:] = (page[1:] != page[:-1]) | (number[1:] != number[:-1]) | (name[1:] != name[:-1])
         begins = np.flatnonzero(new)
+        # lines of the two tables; a side without a line has an empty one
+        of_table = {k: np.flatnonzero(nth == k) for k in (1, 2)}
         lines, most = {}, []
-        for k, line, value in FIGURES.values():
+        for k, line, value in (FIGURES[n] for n in figures):
+            at = of_table[k]
             if (k, line) not in lines:
-                cell = t.first_cell[rows] + line
-                has = (nth == k) & (side < t.pieces[np.where(nth == k, cell, 0)] if len(rows) else False)
-                piece = np.where(has, t.first_piece[np.where(has, cell, 0)] + side, 0) if has.any() else np.zeros(len(rows), np.int64)
-                lines[k, line] = t.strings(t.piece_at[piece], np.where(has, t.piece_size[piece], 0)).dictionary_encode() if has.any() else None
-            coded = lines[k, line]
-            got = np.zeros(len(rows), np.int64) if coded is None else np.array([value(x) for x in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy()]
-            got = np.maximum.reduceat(np.where(nth == k, got, -(1 << 40)), begins) if len(rows) else got
+                cell = t.first_cell[rows[at]] + line
+                piece = np.where(side[at] < t.pieces[cell], t.first_piece[cell] + side[at], len(t.piece_at))
+                lines[k, line] = t.strings(np.append(t.piece_at, 0)[piece], np.append(t.piece_size, 0)[piece])
+            got = np.full(len(rows), -(1 << 40))
+            got[at] = _by_value(lines[k, line], value)
+            got = np.maximum.reduceat(got, begins) if len(rows) else got
             most.append(pa.array(np.where(got == -(1 << 40), 0, got)))
         least = np.minimum.reduceat(side, begins) if len(rows) else side
         return page[begins], [pa.array(number[begins]), pa.array(who[begins], pa.string()), *most, pa.array(least)]
 
-    return _batches(df, keys, html_col, ", ".join(["round: int", "who: string", *(f"{n}: int" for n in FIGURES), "side: int"]), told)
+    return _batches(df, keys, html_col, ", ".join(["round: int", "who: string", *(f"{n}: int" for n in figures), "side: int"]), told)
 
 
 def page_matchups(df: DataFrame, keys: list[str], html_col: str = "html", start: str = MATCHUP_LINK, who: str = SIDE_LINK) -> DataFrame:

@@ -157,7 +157,7 @@ def walked(html):
 
 def test_batches_of_pages_are_as_pages_alone():
     r = random.Random(3)
-    tidy = ["<table>", "</table>", "<tr>", "<td>", "<th>", "</td>", "</tr>", "<tbody>", "</thead>", "<p>", "</p>", "<br>", "<a href=u>", "</a>", "x", " y ", "<td data-b=2 class=k>", "<span>", "&lt;", "z  z", "<div>", "<!-- c -->", "<title>t</title>", "<a href='/x y'>", "\n", "é"]
+    tidy = ["<table>", "</table>", "<tr>", "<td>", "<th>", "</td>", "</tr>", "<tbody>", "</thead>", "<p>", "</p>", "<br>", "<a href=u>", "</a>", "x", " y ", "<td data-b=2 class=k>", "<span>", "&lt;", "z  z", "<div>", "<!-- c -->", "<title>t</title>", "<a href='/x y'>", "\n", "é", "▲", "\u2003", "\u00a0"]
     odd = ["<ul>", "<li>", "</ul>", "<td data-li=\"[2\" data-b='>' >", "<!--", "-->", "<script>1<2</script>", "<script><td></script>", "</script>", "<h1>", "<p a='", "'", '"', ">", "<td x=\"a' ", "<a href>", "</a x='>'>", "<p/>", "<li", "<td\0>", "&#160;", "&am", "p;", "<", "1 < 2", "<TD class=x>", "<td", "</", "<textarea>"]
     pages_ = [None, ""]
     for _ in range(4000):
