@@ -110,14 +110,14 @@ class Tables:
 
 
 #: Tags as most are written: small letters, values without references or quotes in them.
-TIDY = re.compile(r"""<([a-z][a-z0-9]*)((?: [a-z-]+=(?:"[^"&>]*"|'[^'&>]*'|[^\s"'&>]+))+)>""")
+TIDY = re.compile(r"""<([a-z][a-z0-9]*)((?: [a-z-]+=(?:"[^"&>]*"|'[^'&>]*'|[^\s"'&>]+))+)>\Z""")
 VALUES = re.compile(r"""([a-z-]+)=(?:"([^"]*)"|'([^']*)'|(\S+))""")
 
 
 def _tag(source: bytes, attrs: list[dict]) -> tuple[int, int]:
     """Code of a tag as written up to the first ">", and the number of its attributes; HIDDEN if the tag does not end there."""
     text = source.decode()
-    tidy = TIDY.fullmatch(text)
+    tidy = TIDY.match(text)
     if tidy:
         name, values = tidy.groups()
         found = {k: a or b or c for k, a, b, c in reversed(VALUES.findall(values))}

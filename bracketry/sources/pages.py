@@ -273,25 +273,29 @@ def _codes(texts: np.ndarray) -> np.ndarray:
 
 def _whole(text: str, otherwise: int = 0) -> int:
     """A whole number as Spark casts it."""
-    m = re.fullmatch(r"[\x00-\x20\x7f]*([+-]?[0-9]+)[\x00-\x20\x7f]*", text)
+    m = re.match(r"[\x00-\x20\x7f]*([+-]?[0-9]+)[\x00-\x20\x7f]*\Z", text)
     return int(m[1]) if m and len(m[1]) < 100 and -(1 << 31) <= int(m[1]) < 1 << 31 else otherwise
 
 
+def _spaced(text: str) -> int:
+    return _whole(re.sub(r"\s", "", text, flags=re.ASCII))
+
+
 def _clock(text: str) -> int:
-    m = re.fullmatch(r"([0-9]+):([0-5][0-9])", text)
+    m = re.match(r"([0-9]+):([0-5][0-9])\Z", text)
     return _whole(m[1]) * 60 + int(m[2]) if m else 0
 
 
 def _of(k: int) -> Callable[[str], int]:
     def value(text: str) -> int:
-        m = re.fullmatch(r"([0-9]+) of ([0-9]+)", text)
+        m = re.match(r"([0-9]+) of ([0-9]+)\Z", text)
         return _whole(m[k]) if m else 0
 
     return value
 
 
 #: Figures of a side's round: which table and line they are in, and how they are read.
-FIGURES = {n: (1, 1 + MAIN.index(c), f) for n, c, f in (("knockdowns", "kd", lambda t: _whole(re.sub(r"\s", "", t, flags=re.ASCII))), ("submissions", "sub", lambda t: _whole(re.sub(r"\s", "", t, flags=re.ASCII))), ("reversals", "rev", lambda t: _whole(re.sub(r"\s", "", t, flags=re.ASCII))), ("control", "control", _clock))}
+FIGURES = {n: (1, 1 + MAIN.index(c), f) for n, c, f in (("knockdowns", "kd", _spaced), ("submissions", "sub", _spaced), ("reversals", "rev", _spaced), ("control", "control", _clock))}
 FIGURES |= {f"{n}_{w}": (1, 1 + MAIN.index(c), _of(k)) for n, c in (("sig", "sig"), ("total", "total"), ("takedowns", "td")) for k, w in ((1, "landed"), (2, "attempted"))}
 FIGURES |= {f"{n}_{w}": (2, 1 + ZONES.index(n), _of(k)) for n in ZONES[2:] for k, w in ((1, "landed"), (2, "attempted")) if k == 1 or n in ("head", "body", "leg")}
 
@@ -417,15 +421,15 @@ def page_matchups(df: DataFrame, keys: list[str], html_col: str = "html", start:
         n = np.bincount(row_at[t.cell_row[cells]], minlength=len(rows))
         # rows of a place, label and name of a matchup are one place
         label, name = t.texts(heads), t.strings(np.append(t.link_at, 0)[named], np.append(t.link_size, 0)[named])
-        keys_ = (table, _codes(matchup), place, *(x.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64) for x in (label, name)))
-        order = np.lexsort(keys_[::-1])
+        by = (table, _codes(matchup), place, *(x.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64) for x in (label, name)))
+        order = np.lexsort(by[::-1])
         order = order[n[order] > 0]
         new = np.zeros(len(order), bool)
         new[:1] = True
-        for x in keys_[:2]:
+        for x in by[:2]:
             new[1:] |= x[order][1:] != x[order][:-1]
         matchups, place_begins = np.flatnonzero(new), new.copy()
-        for x in keys_[2:]:
+        for x in by[2:]:
             place_begins[1:] |= x[order][1:] != x[order][:-1]
         places = np.flatnonzero(place_begins)
         rank = np.zeros(len(rows), np.int64)
@@ -435,8 +439,8 @@ def page_matchups(df: DataFrame, keys: list[str], html_col: str = "html", start:
         offsets = lambda x: pa.array(x.astype(np.int32))
         lists = pa.ListArray.from_arrays(offsets(price_ends[np.append(places, len(order))]), pa.array(prices.astype(np.int32)))
         of_place = order[places]
-        told_ = pa.StructArray.from_arrays([pa.array(place[of_place].astype(np.int32)), label.take(pa.array(of_place)).cast(pa.string()), name.take(pa.array(of_place)).cast(pa.string()), lists], ["place", "label", "who", "prices"])
-        grouped = pa.ListArray.from_arrays(offsets(np.searchsorted(places, np.append(matchups, len(order)))), told_)
+        structs = pa.StructArray.from_arrays([pa.array(place[of_place].astype(np.int32)), label.take(pa.array(of_place)).cast(pa.string()), name.take(pa.array(of_place)).cast(pa.string()), lists], ["place", "label", "who", "prices"])
+        grouped = pa.ListArray.from_arrays(offsets(np.searchsorted(places, np.append(matchups, len(order)))), structs)
         one = order[matchups]
         return t.table_page[table[one]], [pa.array(t.table_no[table[one]]), pa.array(matchup[one], pa.string()), grouped]
 
